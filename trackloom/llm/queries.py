@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackloom.llm.exact_dedup import exact_dedup
+from trackloom.llm.quality_rules import quality_rules
+from trackloom.llm.secrets import BASE_KINDS, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secret_scan(_documents(spark, sf_dir))
+    is_base = lambda s: s["kind"].isin(*BASE_KINDS)
+    joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return spans.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(F.filter("spans", is_base)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
@@ -21,7 +31,44 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op5_exact_dedup": (op5_exact_dedup, OP5_SQL)}
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(_documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
+
+
+OP6_SQL = r"""
+WITH t AS (SELECT doc_id, source AS host, coalesce(text, '') AS t,
+                  list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+           FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(8) r(k) GROUP BY doc_id),
+m AS (SELECT t.doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+             len(regexp_extract_all(t, '[A-Z]{2,}')) AS n_upper, coalesce(n, 0) AS n_repeat_words
+      FROM t LEFT JOIN covered c ON c.doc_id = t.doc_id),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+             n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words
+             OR 2 * n_dup_lines > n_lines OR 10 * n_upper > 3 * n_words AS failed FROM m),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (failed) AS k FROM f GROUP BY host),
+g AS (SELECT sum(k) / sum(n) AS mean, sum(n) AS rows, count(*) AS hosts FROM h),
+v AS (SELECT any_value(mean) AS mean, (sum(n * (k / n - mean) * (k / n - mean)) - any_value(mean * (1 - mean) * hosts)) / any_value(rows) AS b FROM h, g),
+p AS (SELECT mean, CASE WHEN b > 0 THEN least(greatest(mean * (1 - mean) / b - 1, 1), 1000000) ELSE 1000000 END AS s FROM v),
+r AS (SELECT host, (k + mean * s) / (n + s) AS rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT failed AND rate <= 0.5 AS kept, round(rate, 6) AS host_rate
+FROM f JOIN r ON f.host IS NOT DISTINCT FROM r.host
+"""
+
+QUERIES = {
+    "op3_secret_scan": (op3_secret_scan, None),
+    "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
+    "op6_quality_rules": (op6_quality_rules, OP6_SQL),
+}
 
 
 def queries() -> dict:
