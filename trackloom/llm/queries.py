@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trackloom.llm.classifier import quality_classifier
 from trackloom.llm.exact_dedup import exact_dedup
 from trackloom.llm.quality_rules import quality_rules
 from trackloom.llm.secrets import BASE_KINDS, secret_scan
@@ -64,10 +65,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN r ON f.host IS NOT DISTINCT FROM r.host
 """
 
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op3_secret_scan": (op3_secret_scan, None),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
     "op6_quality_rules": (op6_quality_rules, OP6_SQL),
+    "op8_quality_classifier": (op8_quality_classifier, None),
 }
 
 
