@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackloom.llm.classifier import quality_classifier
 from trackloom.llm.exact_dedup import exact_dedup
+from trackloom.llm.line_dedup import line_dedup
+from trackloom.llm.mixing import mix_sources
+from trackloom.llm.packing import pack
 from trackloom.llm.quality_rules import quality_rules
 from trackloom.llm.secrets import BASE_KINDS, secret_scan
 
@@ -14,6 +17,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir)).select("doc_id", "source", "source_rank", "block", "slot", "release", "deadline", "position")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secret_scan(_documents(spark, sf_dir))
     is_base = lambda s: s["kind"].isin(*BASE_KINDS)
@@ -22,6 +29,22 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(F.filter("spans", is_base)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP4_SQL = r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+full_lines AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+b AS (SELECT line, min(doc_id) AS first_id FROM full_lines GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= 10),
+k AS (SELECT l.doc_id, i, l.line, regexp_matches(l.line, '[^\x20\x09-\x0D]') AS counts, first_id IS NOT NULL AND first_id <> l.doc_id AS gone
+      FROM l LEFT JOIN b ON l.line = b.line)
+SELECT doc_id, count(*) FILTER (counts) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_sha256
+FROM k GROUP BY doc_id
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
@@ -71,11 +94,21 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op2_source_mixing": (op2_source_mixing, None),
     "op3_secret_scan": (op3_secret_scan, None),
+    "op4_line_dedup": (op4_line_dedup, OP4_SQL),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
     "op6_quality_rules": (op6_quality_rules, OP6_SQL),
     "op8_quality_classifier": (op8_quality_classifier, None),
+    "op9_packing": (op9_packing, None),
 }
 
 
