@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 P = np.uint64(0x100000001B3)
+INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 GRAMS = (3, 4, 5)
 SPACE = np.zeros(256, bool)
@@ -54,10 +55,10 @@ def _slice_features(data: np.ndarray, buckets: int) -> np.ndarray:
     ends = np.flatnonzero(gap)
     if len(ends) > 1:
         # hash of a word: polynomial prefix sums, brought to a common power
-        power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(b), P, np.uint64))))
+        power, back = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(b), x, np.uint64)))) for x in (P, INVERSE))
         prefix = np.concatenate(([np.uint64(0)], np.cumsum(b * power[:-1])))
         start, stop = ends[:-1] + 1, ends[1:]
-        words = (prefix[stop] - prefix[start]) * power[len(b) - start]
+        words = (prefix[stop] - prefix[start]) * back[start]
         out.append(_mixed(words, 1) >> shift)
         again = int((words[1:] == words[:-1]).sum())
         out.append(np.full(again * AGAIN_WEIGHT, buckets - 2, np.uint64))
