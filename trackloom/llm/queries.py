@@ -11,6 +11,7 @@ from trackloom.llm.mixing import mix_sources
 from trackloom.llm.packing import pack
 from trackloom.llm.quality_rules import quality_rules
 from trackloom.llm.secrets import BASE_KINDS, secret_scan
+from trackloom.llm.suffix_dedup import suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +90,10 @@ FROM f JOIN r ON f.host IS NOT DISTINCT FROM r.host
 """
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_classifier(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -107,6 +112,7 @@ QUERIES = {
     "op4_line_dedup": (op4_line_dedup, OP4_SQL),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
     "op6_quality_rules": (op6_quality_rules, OP6_SQL),
+    "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_packing": (op9_packing, None),
 }
