@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackloom.llm.classifier import quality_classifier
 from trackloom.llm.exact_dedup import exact_dedup
+from trackloom.llm.jaccard_join import jaccard_join
 from trackloom.llm.line_dedup import line_dedup
 from trackloom.llm.mixing import mix_sources
 from trackloom.llm.packing import pack
@@ -18,6 +19,26 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_documents(spark, sf_dir)).select("doc_id", "class_id", "copy_of", "n_links", "n_grams")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM w)),
+n AS (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN g ON g.doc_id = w.doc_id GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y, k = a.n AND k = b.n AS same FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 10 * k >= 8 * (a.n + b.n - k)
+      UNION ALL SELECT a.doc_id, b.doc_id, true FROM n a JOIN n b ON a.n = 0 AND b.n = 0 AND a.doc_id <> b.doc_id),
+c AS (SELECT doc_id AS x, doc_id AS root FROM documents UNION SELECT l.y, c.root FROM c JOIN l ON l.x = c.x)
+SELECT n.doc_id, (SELECT min(root) FROM c WHERE c.x = n.doc_id) AS class_id,
+       least(n.doc_id, (SELECT min(y) FROM l WHERE l.x = n.doc_id AND same)) AS copy_of,
+       (SELECT count(*) FROM l WHERE l.x = n.doc_id) AS n_links, n.n AS n_grams
+FROM n
+"""
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "source", "source_rank", "block", "slot", "release", "deadline", "position")
 
@@ -107,6 +128,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, OP1_SQL),
     "op2_source_mixing": (op2_source_mixing, None),
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_line_dedup": (op4_line_dedup, OP4_SQL),

@@ -90,6 +90,15 @@ def _merge(group: pa.Table) -> pa.Table:
 
 def repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, k: int = 4, max_bytes: int = 32 << 20) -> np.ndarray:
     """The filter "seen again" over the one long column of hashes; at most max_bytes reach the driver."""
+    return _filter(hashes, rows, bits_per_row, k, max_bytes, "again")
+
+
+def member_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, k: int = 4, max_bytes: int = 32 << 20) -> np.ndarray:
+    """The filter "seen": which hashes may occur at all."""
+    return _filter(hashes, rows, bits_per_row, k, max_bytes, "seen")
+
+
+def _filter(hashes: DataFrame, rows: int, bits_per_row: int, k: int, max_bytes: int, which: str) -> np.ndarray:
     size = filter_bytes(rows, bits_per_row, max_bytes)
     parts = hashes.mapInArrow(_builder(size, k), SCHEMA)
     tasks = hashes.rdd.getNumPartitions()
@@ -98,10 +107,10 @@ def repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, k: int
         if tasks <= FAN_IN:
             break
         tasks = -(-tasks // FAN_IN)
-    again = np.zeros(size, np.uint8)
-    for row in parts.select("chunk", "again").toLocalIterator():
-        again[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(row.again)), np.uint8)
-    return again
+    found = np.zeros(size, np.uint8)
+    for row in parts.select("chunk", F.col(which).alias("bits")).collect():
+        found[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(row.bits)), np.uint8)
+    return found
 
 
 def tester(spark, again: np.ndarray, k: int = 4):
