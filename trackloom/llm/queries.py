@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trackloom.llm.classifier import quality_classifier
 from trackloom.llm.exact_dedup import exact_dedup
 from trackloom.llm.jaccard_join import jaccard_join
+from trackloom.llm.licenses import license_scan
 from trackloom.llm.line_dedup import line_dedup
 from trackloom.llm.mixing import mix_sources
 from trackloom.llm.packing import pack
@@ -127,6 +128,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    files = docs.select("doc_id", "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
+    found = license_scan(files)
+    return found.select("doc_id", "path", "license", F.round("score", 6).alias("score"), "first_line", "end_line", "origin", "license_dir")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, OP1_SQL),
     "op2_source_mixing": (op2_source_mixing, None),
@@ -137,6 +145,7 @@ QUERIES = {
     "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_packing": (op9_packing, None),
+    "op10_license_scan": (op10_license_scan, None),
 }
 
 
