@@ -102,18 +102,17 @@ def overlay(raw: DataFrame, corrections: DataFrame, key: str = "video_id", colum
     """raw with the non-null values of reviewed corrections; of a key's corrections the last applied wins, column by column.
 
     Only rows whose source is "manual" are applied, where there is a source
-    column.  A correction of a key that raw hasn't is an error, raised when the
-    result is computed.
+    column.  A correction of a key that raw hasn't is an error.
     """
     manual = corrections if source_col is None else corrections.where(F.lower(exprs.stripped(F.col(source_col))) == "manual")
     given = [c for c in columns if c in corrections.columns]
     order = F.col(sequence) if sequence else F.monotonically_increasing_id()
     last = manual.withColumn("__o", order).groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__o"))).alias(f"__{c}") for c in given))
-    unknown = corrections.select(key).distinct().join(raw.select(key), key, "left_anti").agg(F.count("*").alias("__unknown"))
-    checked = raw.join(last, key, "left").join(F.broadcast(unknown))  # one row
-    known = F.assert_true(F.col("__unknown") == 0, F.lit("a correction names a recording that isn't there"))
+    if corrections.select(key).join(raw.select(key), key, "left_anti").head(1):
+        raise ValueError("a correction names a recording that isn't there")
+    joined = raw.join(last, key, "left")
     values = {c: F.coalesce(f"__{c}", *([c] if c in raw.columns else [])) for c in given}
-    return checked.where(known.isNull()).withColumns(values).select(*raw.columns, *(c for c in given if c not in raw.columns))
+    return joined.withColumns(values).select(*raw.columns, *(c for c in given if c not in raw.columns))
 
 
 def canonical_manifest(raws: Iterable[DataFrame], corrections: Iterable[DataFrame] = ()) -> DataFrame:

@@ -8,11 +8,14 @@ merges those.  Nothing is broadcast and no row is made for a pair.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trackloom.functions import exprs, windows
 
@@ -45,12 +48,12 @@ def block_compare(queries: DataFrame, candidates: DataFrame, kernel: Callable[[p
     """
     nq, nc = (max(1, -(-df.count() // block)) for df in (queries, candidates))
     both = _dealt(queries, "id", nq, nc, True).unionByName(_dealt(candidates, "id", nc, nq, False, candidate_key), allowMissingColumns=True)
+    empty = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
 
     def run(group: pa.Table) -> pa.Table:
         mask = group.column("is_query")
-        import pyarrow.compute as pc
-
-        return kernel(group.filter(mask), group.filter(pc.invert(mask)))
+        q, c = group.filter(mask), group.filter(pc.invert(mask))
+        return kernel(q, c) if len(q) and len(c) else empty
 
     return both.groupBy("qb", "cb").applyInArrow(run, schema)
 
@@ -77,8 +80,6 @@ def candidate_pairs(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vect
 
     def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
         names = ["query_id", "query_session", "candidate_id", "candidate_session", "cosine", "geometry_cosine"]
-        if not len(q) or not len(c):
-            return pa.table({n: [] for n in names})
         qid, cid = (np.array(t.column("id").to_pylist()) for t in (q, c))
         qs, cs = (np.array(t.column("session").to_pylist()) for t in (q, c))
         out = []
@@ -178,8 +179,6 @@ def entity_scores(queries: DataFrame, gallery: DataFrame) -> DataFrame:
     kind = queries.schema["id"].dataType.simpleString()
 
     def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
-        if not len(q) or not len(c):
-            return pa.table({"id": [], "entity_id": [], "best": pa.array([], pa.list_(pa.float64())), "n": []})
         names, owner = np.unique(np.array(c.column("entity").to_pylist(), object).astype(str), return_inverse=True)
         a, b = normalized(_matrix(q.column("vector"))), normalized(_matrix(c.column("vector")))
         by = np.argsort(owner, kind="stable")
@@ -275,8 +274,6 @@ def evaluate_retrieval(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
 
     def positives(q: pa.Table, c: pa.Table) -> pa.Table:
-        if not len(q) or not len(c):
-            return pa.table({"id": [], "cid": [], "score": []})
         scores, _, right = _evaluation_kernel(q, c, True)
         i, j = np.nonzero(right)
         return pa.table([q.column("id").take(pa.array(i)), c.column("id").take(pa.array(j)), pa.array(scores[i, j])], names=["id", "cid", "score"])
@@ -287,8 +284,6 @@ def evaluate_retrieval(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
 
     def counts(q: pa.Table, c: pa.Table) -> pa.Table:
         names = ["id", "before", "eligible", "best_minus", "best_id"]
-        if not len(q) or not len(c):
-            return pa.table({"id": [], "before": pa.array([], pa.list_(pa.int64())), "eligible": [], "best_minus": [], "best_id": []})
         scores, allowed, _ = _evaluation_kernel(q, c, True)
         cid = np.array(c.column("id").to_pylist())
         out = []
@@ -296,8 +291,6 @@ def evaluate_retrieval(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
             ok = np.flatnonzero(allowed[row])
             order = ok[np.lexsort((cid[ok], -scores[row, ok]))]
             keys = list(zip((-scores[row, order]).tolist(), cid[order].tolist(), strict=True))
-            import bisect
-
             before = [bisect.bisect_left(keys, (p["minus"], p["cid"])) for p in ps]
             out.append((before, len(ok), *(keys[0] if keys else (None, None))))
         return pa.table([q.column("id").combine_chunks(), pa.array([o[0] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64()), pa.array([o[3] for o in out], c.column("id").type)], names=names)
@@ -330,8 +323,6 @@ def prototype_retrieval(train: DataFrame, queries: DataFrame, entity_col: str =
     kind, ekind = scored.schema["id"].dataType.simpleString(), scored.schema["entity"].dataType.simpleString()
 
     def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
-        if not len(q) or not len(c):
-            return pa.table({"id": [], "entity": [], "before": []})
         scores = np.round(_matrix(q.column("vector")) @ _matrix(c.column("vector")).T, PLACES)
         mine = np.round(q.column("score").to_numpy(), PLACES)[:, None]
         names, entity = np.array(c.column("id").to_pylist()), np.array(q.column("entity").to_pylist())

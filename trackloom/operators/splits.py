@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 TRACK_SPLITS = {"train": "train", "validation": "val", "test": "test"}
 
 
-def _checked(df: DataFrame, bad: DataFrame, message: str) -> DataFrame:
-    """df; computing it fails if bad has a row."""
-    count = bad.agg(F.count("*").alias("__bad"))
-    return df.join(F.broadcast(count)).where(F.assert_true(F.col("__bad") == 0, F.lit(message)).isNull()).drop("__bad")  # one row
+def _checked(bad: DataFrame, message: str) -> None:
+    """Raises if bad has a row; one row at most reaches the driver."""
+    if bad.head(1):
+        raise ValueError(message)
 
 
 def _dated(manifest: DataFrame, start_col: str) -> DataFrame:
@@ -28,8 +28,7 @@ def date_split(manifest: DataFrame, test_dates: Sequence[str], validation_dates:
     """manifest with recording_date and split: test, validation or train.
 
     Rows without a verified date train.  A date in both lists, a listed date
-    without rows, or a group in two splits is an error (the latter two when
-    computed).
+    without rows, or a group in two splits is an error.
     """
     tests, validations = set(map(str, test_dates)), set(map(str, validation_dates))
     if tests & validations:
@@ -41,10 +40,10 @@ def date_split(manifest: DataFrame, test_dates: Sequence[str], validation_dates:
     if tests | validations:
         spark = manifest.sparkSession
         asked = spark.createDataFrame([(d,) for d in sorted(tests | validations)], "recording_date string")
-        out = _checked(out, asked.join(dated.select("recording_date"), "recording_date", "left_anti"), "a listed date has no recording")
+        _checked(asked.join(dated.select("recording_date"), "recording_date", "left_anti"), "a listed date has no recording")
     if group_col in manifest.columns:
         crossing = out.where(F.coalesce(F.col(group_col).cast("string"), F.lit("")) != "").groupBy(group_col).agg(F.count_distinct("split").alias("n")).where("n > 1")
-        out = _checked(out, crossing, "an overlap group crosses dataset splits")
+        _checked(crossing, "an overlap group crosses dataset splits")
     return out
 
 
@@ -76,4 +75,5 @@ def track_split(labels: DataFrame, tracks: DataFrame, videos: DataFrame, flagged
     both = split.where("split IN ('train', 'val')").groupBy("entity_id").agg(F.count_distinct("split").alias("n")).where("n = 2").select("entity_id")
     kept = split.join(both, "entity_id", "left_semi").unionByName(split.where("split = 'open_set_test'"))
     state = split.agg(F.count("*").alias("n"), F.count_if(F.expr("split <> 'open_set_test'")).alias("c")).join(both.agg(F.count("*").alias("b")))
-    return _checked(kept, state.where("n = 0 OR (c > 0 AND b = 0)"), "no identity has tracks on a train day and on a validation day").select("tracklet_id", "entity_id", "session_id", "video_id", "split")
+    _checked(state.where("n = 0 OR (c > 0 AND b = 0)"), "no identity has tracks on a train day and on a validation day")
+    return kept.select("tracklet_id", "entity_id", "session_id", "video_id", "split")

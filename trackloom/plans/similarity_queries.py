@@ -8,7 +8,6 @@ from trackloom.functions import exprs
 from trackloom.operators import cluster, labels as ids, similarity as sim
 from trackloom.plans.session import table
 
-SESSION = F.col("vec_id") % 4
 UNIT = "list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12))"
 E = f"""e AS (SELECT id, s, label, {UNIT} AS v, {UNIT.replace("(v", "(g").replace(", v)", ", g)")} AS g
       FROM (SELECT vec_id AS id, vec_id % 4 AS s, label, embedding::DOUBLE[] AS v, (embedding::DOUBLE[])[49:64] AS g FROM embeddings))"""
@@ -18,12 +17,16 @@ p AS (SELECT a.id AS query_id, a.s AS query_session, b.id AS candidate_id, b.s A
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, candidate_id) AS rank FROM p QUALIFY rank <= 5)"""
 
 
+def _session():
+    return F.col("vec_id") % 4
+
+
 def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings")
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return sim.candidate_pairs(_embeddings(spark, sf), session=SESSION, geometry=F.slice("embedding", 49, 16))
+    return sim.candidate_pairs(_embeddings(spark, sf), session=_session(), geometry=F.slice("embedding", 49, 16))
 
 
 def candidate_pairs_topk(spark, sf):
@@ -81,11 +84,11 @@ def l2_normalize(spark, sf):
 
 
 def retrieval_eval(spark, sf):
-    return sim.evaluate_retrieval(_embeddings(spark, sf), entity="label", session=SESSION).select("query_id", F.col("entity").alias("label"), "best_candidate_id", F.round("best_similarity", 6).alias("best_similarity"), "correct_rank", "top1", "top5", F.round("average_precision", 6).alias("average_precision"), "eligible")
+    return sim.evaluate_retrieval(_embeddings(spark, sf), entity="label", session=_session()).select("query_id", F.col("entity").alias("label"), "best_candidate_id", F.round("best_similarity", 6).alias("best_similarity"), "correct_rank", "top1", "top5", F.round("average_precision", 6).alias("average_precision"), "eligible")
 
 
 def retrieval_summary(spark, sf):
-    rows = sim.evaluate_retrieval(_embeddings(spark, sf), entity="label", session=SESSION)
+    rows = sim.evaluate_retrieval(_embeddings(spark, sf), entity="label", session=_session())
     return sim.retrieval_summary(rows).withColumns({c: F.round(c, 6) for c in ("top1", "top5", "mean_ap")})
 
 
@@ -179,7 +182,7 @@ def identity_candidates(spark, sf):
 
 
 def greedy_cluster(spark, sf):
-    return cluster.greedy_clusters(_embeddings(spark, sf).withColumn("s", SESSION), ["s", "vec_id"], id_col="vec_id", session_col="s", threshold=0.4, min_margin=0.02)
+    return cluster.greedy_clusters(_embeddings(spark, sf).withColumn("s", _session()), ["s", "vec_id"], id_col="vec_id", session_col="s", threshold=0.4, min_margin=0.02)
 
 
 def cluster_summary(spark, sf):

@@ -130,11 +130,11 @@ def write_version(df: DataFrame, folder: str, keep: int = 5) -> str:
     fs, current = _files(spark, folder), _current(spark, folder)
     version = (current or 0) + 1
     df.write.mode("overwrite").parquet(f"{folder}/version={version:06d}")
-    temporary = _path(spark, f"{folder}/_pointer.{version}.tmp")
+    temporary = _path(spark, f"{folder}/pointer.{version}.tmp")
     out = fs.create(temporary, True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    target = _path(spark, f"{folder}/_pointer")
+    target = _path(spark, f"{folder}/pointer.json")
     fs.delete(target, False)
     fs.rename(temporary, target)
     old = sorted(int(re.search(r"version=(\d+)", s.getPath().toString())[1]) for s in fs.listStatus(_path(spark, folder)) if "version=" in s.getPath().toString())
@@ -144,9 +144,9 @@ def write_version(df: DataFrame, folder: str, keep: int = 5) -> str:
 
 
 def _current(spark: SparkSession, folder: str) -> int | None:
-    if not exists(spark, f"{folder}/_pointer"):
+    if not exists(spark, f"{folder}/pointer.json"):
         return None
-    return json.loads(spark.read.text(f"{folder}/_pointer").first()[0])["version"]
+    return json.loads(spark.read.text(f"{folder}/pointer.json").first()[0])["version"]
 
 
 def read_version(spark: SparkSession, folder: str, schema: T.StructType | None = None, version: int | None = None) -> DataFrame:
