@@ -16,6 +16,8 @@ run; a run and the bytes its strings cover is a context.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -26,7 +28,11 @@ GRAM = 32
 P = np.uint64(0x100000001B3)
 INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 #: Bytes of text hashed at once, bytes of contexts held for reduction, bytes of contexts sorted at once.
-TEXTS, HELD, SORTED = 1 << 20, 32 << 20, 4 << 20
+TEXTS, HELD, SORTED = 1 << 19, 8 << 20, 1 << 20
+#: What a held context takes in memory besides its bytes, about.
+OVERHEAD = 600
+#: Bits an anchor has in the filter, and how many are set.
+FILTER_BITS, FILTER_SET = 8, 3
 LAST = np.iinfo(np.int64).max
 
 
@@ -36,6 +42,16 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@functools.lru_cache(maxsize=2)
+def _powers(n: int, factor: int) -> np.ndarray:
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, factor, np.uint64))))
+
+
+def _power_table(n: int, factor: np.uint64) -> np.ndarray:
+    """Powers 0 to n; tables are kept for sizes rounded up."""
+    return _powers(1 << max(TEXTS.bit_length(), n.bit_length()), int(factor))[: n + 1]
+
+
 def runs(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, document, first and last start of every run in documents that lie end to end.
 
@@ -45,76 +61,74 @@ def runs(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray,
     n, width = len(data), length - GRAM + 1
     if n < length:
         return none
-    power, back = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, x, np.uint64)))) for x in (P, INVERSE))
-    prefix = np.concatenate(([np.uint64(0)], np.cumsum(data * power[:-1])))
-    hashes = _mixed((prefix[GRAM:] - prefix[:-GRAM]) * back[: n - GRAM + 1])
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(data * _power_table(n - 1, P), out=prefix[1:])
+    hashes = _mixed((prefix[GRAM:] - prefix[:-GRAM]) * _power_table(n - GRAM, INVERSE))
     # half a hash above the place: the smallest is the leftmost of equals
-    ranked = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
-    rows = np.pad(ranked, (0, -len(ranked) % width), constant_values=np.iinfo(np.uint64).max).reshape(-1, width)
+    rows = np.full(-(-len(hashes) // width) * width, np.iinfo(np.uint64).max)
+    rows[: len(hashes)] = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    rows = rows.reshape(-1, width)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     m = n - length + 1
-    anchor = (np.minimum(behind[:m], ahead[width - 1 : width - 1 + m]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    sizes = np.diff(starts)
-    doc = np.repeat(np.arange(len(sizes)), sizes)[:m]
-    valid = np.arange(m) + length <= starts[1:][doc]
+    anchor = np.minimum(behind[:m], ahead[width - 1 : width - 1 + m]).astype(np.uint32)
+    valid = np.ones(m, bool)
+    for end in starts[1:].tolist():
+        valid[max(0, end - length + 1) : end] = False
     begins = valid.copy()
-    begins[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+    begins[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1])  # no string crosses documents, so neither does a run
     first = np.flatnonzero(begins)
     if not len(first):
         return none
-    ends = valid.copy()
+    ends = valid
     ends[:-1] &= ~valid[1:] | begins[1:]
-    return hashes[anchor[first]], doc[first], first, np.flatnonzero(ends)
+    return hashes[anchor[first]], np.searchsorted(starts, first, side="right") - 1, first, np.flatnonzero(ends)
 
 
-def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes from each place as one number in the order of the bytes; text goes on with its last byte, zero."""
-    key, last = np.zeros(len(at), np.uint64), len(text) - 1
-    for k in range(8):
-        key = key << np.uint64(8) | text[np.minimum(at + k, last)]
-    return key
+def words_at(text: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place as one number in the order of the bytes; zeros follow the text."""
+    padded = text.tobytes() + b"\0" * 8
+    return np.ndarray((len(text),), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
-def _direct_sort(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+def _direct_sort(text: np.ndarray, words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the depth bytes (and up to seven more) that follow; equals in any order.
 
     Eight bytes a round; a group whose members agree in all the bytes (by hash,
     which only saves rounds: order among hash-equal members is checked again by
     the common prefixes) needs no further round.
     """
-    n = len(text)
-    power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, P, np.uint64))))
-    prefix = np.concatenate(([np.uint64(0)], np.cumsum(text * power[:-1])))
-    order = at[np.argsort(_words(text, at), kind="stable")]
-    key = _words(text, order)
+    n, last = len(text), len(text) - 1
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(text * _power_table(n - 1, P), out=prefix[1:])
+    back = _power_table(n, INVERSE)
+    key = words[at]
+    move = np.argsort(key)
+    order, key = at[move], key[move]
     group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+    h = (prefix[np.minimum(order + depth, n)] - prefix[order]) * back[order]  # zeros add nothing
     open_ = np.arange(len(order))
     for done in range(8, depth, 8):
-        ids = group[open_]
-        bound = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else ids
+        if not len(open_):
+            break
+        ids, own = group[open_], h[open_]
+        bound = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         count = np.diff(np.append(bound, len(ids)))
-        own = order[open_]
-        h = (prefix[np.minimum(own + depth, n)] - prefix[own]) * power[n - own]  # zeros add nothing
-        if len(bound):
-            same = np.minimum.reduceat(h, bound) == np.maximum.reduceat(h, bound)
-            open_ = open_[np.repeat((count > 1) & ~same, count)]
+        same = np.minimum.reduceat(own, bound) == np.maximum.reduceat(own, bound)
+        open_ = open_[np.repeat((count > 1) & ~same, count)]
         if not len(open_):
             break
-        own, ids = order[open_], group[open_]
-        key = _words(text, own + done)
+        ids = group[open_]
+        key = words[np.minimum(order[open_] + done, last)]
         move = np.lexsort((key, ids))
-        own, key = own[move], key[move]
-        order[open_] = own
-        new = np.concatenate(([False], (key[1:] != key[:-1]) & (ids[1:] == ids[:-1])))
-        # groups keep their order: a new group takes the number of its first place, which lies within the old group's
-        fresh = np.concatenate(([True], ids[1:] != ids[:-1])) | new
-        group = group.copy()
+        order[open_], h[open_], key = order[open_][move], h[open_][move], key[move]
+        fresh = np.concatenate(([True], (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])))
+        # groups lie in order, so a new group may take the number of its first place, beyond all first numbers
         group[open_] = (open_[fresh] + len(order))[np.cumsum(fresh) - 1]
     return order
 
 
-def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
     """Places marked in wanted in the order of their suffixes, to depth bytes at least; two-stage sorting.
 
     text ends with depth + 8 zeros at least.  A suffix smaller than its
@@ -123,25 +137,24 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     one before it, if that is larger, at the next free place of its bucket.
     """
     n = len(text)
-    up = np.zeros(n, bool)  # smaller than the successor
-    differs = np.flatnonzero(text[1:] != text[:-1])
-    nearest = np.searchsorted(differs, np.arange(n - 1))
-    known = nearest < len(differs)
-    at = differs[nearest[known]]
-    up[:-1][known] = text[at] < text[at + 1]
-    up[:-1][~known] = True  # the zeros at the end
-    up[-1] = True
+    words = words_at(text) if words is None else words
+    # smaller than the successor: by the next byte that differs; the zeros at the end count as smaller
+    turn = np.where(text[1:] != text[:-1], np.arange(n - 1), n)
+    turn = np.minimum.accumulate(turn[::-1])[::-1]
+    up = np.ones(n, bool)
+    known = turn < n
+    up[:-1][known] = text[turn[known]] < text[turn[known] + 1]
     # the places needed: wanted ones, and after the last of a stretch those up to one sorted directly
     ups = np.flatnonzero(up)
     tails = np.flatnonzero(wanted & ~np.append(wanted[1:], False) & ~up)
     needed = wanted.copy()
     stops = ups[np.searchsorted(ups, tails)]
-    gain = np.zeros(n + 1, np.int64)
+    gain = np.zeros(n + 1, np.int32)
     np.add.at(gain, tails, 1)
     np.add.at(gain, stops + 1, -1)
     needed |= np.cumsum(gain[:-1]) > 0
 
-    direct = _direct_sort(text, np.flatnonzero(needed & up), depth)
+    direct = _direct_sort(text, words, np.flatnonzero(needed & up), depth)
     direct_of = np.split(direct, np.searchsorted(text[direct], np.arange(1, 256)))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
@@ -165,9 +178,10 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
         while len(queue):
             out.append(queue)
             queue = put(queue, byte)
-        out.append(direct_of[byte])
-        put(direct_of[byte], byte)
-    order = np.concatenate(out)
+        if len(direct_of[byte]):
+            out.append(direct_of[byte])
+            put(direct_of[byte], byte)
+    order = np.concatenate(out) if out else np.zeros(0, np.int64)
     return order[wanted[order]]
 
 
@@ -181,8 +195,9 @@ def repeated_starts(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.
     strings = sizes - length + 1
     places = np.repeat(begins - np.concatenate(([0], np.cumsum(strings)[:-1])), strings) + np.arange(strings.sum())
     wanted[places] = True
-    order = suffix_order(text, wanted, length)
-    equal = shares(text, order, length)
+    words = words_at(text)
+    order = suffix_order(text, wanted, length, words)
+    equal = shares(words, order, length)
     group = np.cumsum(~equal)
     bound = np.flatnonzero(~equal)
     earliest = np.minimum.reduceat(order, bound)
@@ -191,12 +206,12 @@ def repeated_starts(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.
     return owner, later - begins[owner]
 
 
-def shares(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+def shares(words: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Whether each place's common prefix with the one before it in order has `length` bytes."""
     equal = np.zeros(len(order), bool)
     open_ = np.arange(1, len(order))
     for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        open_ = open_[_words(text, order[open_] + k) == _words(text, order[open_ - 1] + k)]
+        open_ = open_[words[order[open_] + k] == words[order[open_ - 1] + k]]
     equal[open_] = True
     return equal
 
@@ -251,13 +266,13 @@ def _marks(groups: int, length: int, shared, size: int):
         for ids, hashes, texts in _portions(batches):
             data, starts = _joined(texts)
             anchor, doc, lo, hi = runs(data, starts, length)
-            maybe = repeats._get(bitmap, repeats.positions(anchor, size * 8, 4)).all(axis=1)
+            maybe = repeats._get(bitmap, repeats.positions(anchor, size * 8, FILTER_SET)).all(axis=1)
             for a, d, x, y in zip(anchor[maybe], doc[maybe].tolist(), lo[maybe].tolist(), hi[maybe].tolist(), strict=True):
                 context = data[x : y + length].tobytes()
                 place = (int(ids[d]), int(hashes[d]), x - int(starts[d]), y - int(starts[d]), a)
                 other = earliest.setdefault(context, place)
                 if other is place:
-                    held += len(context) + 200
+                    held += len(context) + OVERHEAD
                 elif other[:2] != place[:2] or other[2] != place[2]:
                     if place[:3] < other[:3]:
                         earliest[context], other = place, other
@@ -337,7 +352,7 @@ def _cut(length: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4 << 20, max_filter_bytes: int = 64 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4 << 20, max_filter_bytes: int = 32 << 20) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans and kept, the bytes that stay.
 
     A byte goes if a string of `length` bytes that covers it also starts
@@ -366,7 +381,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
 
     long_enough = own.where(F.length("t") >= length)
     per_anchor = (length - GRAM + 2) // 2
-    again = repeats.repeated_filter(long_enough.mapInArrow(anchors, "anchor bigint"), total // per_anchor, max_bytes=max_filter_bytes)
+    again = repeats.repeated_filter(long_enough.mapInArrow(anchors, "anchor bigint"), total // per_anchor, FILTER_BITS, FILTER_SET, max_filter_bytes)
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // group_bytes)
     shared = spark.sparkContext.broadcast(again.tobytes())
     marks = long_enough.mapInArrow(_marks(groups, length, shared, len(again)), "b int, anchor bigint, did bigint, dh bigint, lo bigint, hi bigint, context binary")
