@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 #: Target weights are whole multiples of 1 / RESOLUTION, at least one.
 RESOLUTION = 1000
 #: Rows of a source that one task ranks, about.
-RANKED = 50_000
+RANKED = 5_000
 
 
 def whole_weights(shares: dict) -> dict:
@@ -119,17 +119,18 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7
         if short:
             j = end - 1 - first
             lasts.append((at + j // w * total + slots[j % w], short))
-    planned = spark.createDataFrame([(s, plans[s]) for s in names], T.StructType([T.StructField("__s", T.StringType()), T.StructField("__phases", PHASES)]))
+    named = lambda s: "n" if s is None else f"s{s}"  # noqa: E731  never null, so that equal keys stay dealt alike
+    planned = spark.createDataFrame([(named(s), plans[s]) for s in names], T.StructType([T.StructField("__s", T.StringType()), T.StructField("__phases", PHASES)]))
 
     digits = 1
     while 16**digits * RANKED < max(sizes.values(), default=0) and digits < 7:
         digits += 1
-    keyed = own.withColumns({"__source": source, "__key": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))}).withColumn("__range", F.substring("__key", 1, digits))
+    keyed = own.withColumns({"__source": F.coalesce(F.concat(F.lit("s"), source), F.lit("n")), "__key": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))}).withColumn("__range", F.substring("__key", 1, digits))
     before = Window.partitionBy("__source2").orderBy("__range2").rowsBetween(Window.unboundedPreceding, -1)
     ranges = keyed.groupBy(F.col("__source").alias("__source2"), F.col("__range").alias("__range2")).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     within = Window.partitionBy("__source", "__range").orderBy("__key", id_col)
-    ranked = keyed.withColumn("__in", F.row_number().over(within)).join(ranges, F.col("__source").eqNullSafe(F.col("__source2")) & (F.col("__range") == F.col("__range2")))
-    ranked = ranked.join(F.broadcast(planned), F.col("__source").eqNullSafe(F.col("__s")))  # a row for each source
+    ranked = keyed.withColumn("__in", F.row_number().over(within)).join(ranges, (F.col("__source") == F.col("__source2")) & (F.col("__range") == F.col("__range2")))
+    ranked = ranked.join(F.broadcast(planned), F.col("__source") == F.col("__s"))  # a row for each source
 
     rank = F.col("__before") + F.col("__in") - 1
     ranked = ranked.withColumns({"source_rank": rank.cast("long"), "block": F.floor(rank / block_rows).cast("long")})
