@@ -130,9 +130,9 @@ def replay(assignments: DataFrame, events: DataFrame) -> DataFrame:
     """tracklet_id, entity_id after all effective events, in the order of seq.
 
     A merge moves all tracks of its sources to its target, a split moves the
-    tracks it names from its source to its target.  The chain of merges an
-    identity goes through is found for each identity once; a track starts it
-    where its last split put it.
+    tracks it names from its source to its target.  Where the merges lead is
+    found once for each identity; only tracks that a split names walk through
+    the log themselves.
     """
     effective = effective_events(events)
     merges = effective.where("operation = 'merge'").select("seq", F.explode("sources").alias("source"), "target").where("source <> target")
@@ -140,10 +140,15 @@ def replay(assignments: DataFrame, events: DataFrame) -> DataFrame:
     splits = effective.where("operation = 'split'").select("seq", F.explode("tracklets").alias("tracklet_id"), F.element_at("sources", 1).alias("source"), "target")
     own = splits.groupBy("tracklet_id").agg(F.array_sort(F.collect_list(F.struct("seq", "source", "target"))).alias("own"))
     none = F.array().cast("array<struct<seq:bigint,source:string,target:string>>")
-    step = lambda at, e: F.when(at == e["source"], e["target"]).otherwise(at)
-    joined = assignments.join(own, "tracklet_id", "left").join(F.broadcast(chain))  # one row: the log of human merges
-    log = F.array_sort(F.concat(F.coalesce("own", none), F.coalesce("chain", none)))
-    return joined.select("tracklet_id", F.aggregate(log, F.col("entity_id"), step).alias("entity_id"))
+
+    def walked(rows: DataFrame, log) -> DataFrame:
+        step = lambda at, e: F.when(at == e["source"], e["target"]).otherwise(at)
+        return rows.join(F.broadcast(chain)).withColumn("final", F.aggregate(log, F.col("entity_id"), step))  # one row: the log of human merges
+
+    moved = walked(assignments.select("entity_id").distinct(), F.coalesce("chain", none)).select("entity_id", "final")
+    named = walked(assignments.join(own, "tracklet_id"), F.array_sort(F.concat("own", F.coalesce("chain", none))))
+    rest = assignments.join(own.select("tracklet_id"), "tracklet_id", "left_anti").join(moved, "entity_id", "left")
+    return rest.select("tracklet_id", F.coalesce("final", "entity_id").alias("entity_id")).unionByName(named.select("tracklet_id", F.col("final").alias("entity_id")))
 
 
 def identity_view(entities: DataFrame, events: DataFrame) -> DataFrame:
