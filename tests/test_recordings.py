@@ -133,3 +133,15 @@ def test_npz_and_keypoints(spark, tmp_path):
     assert tables.checked_keypoints(points, "t").count() == 2
     with pytest.raises(Exception, match="bad keypoint"):
         tables.checked_keypoints(points.withColumn("visibility", F.lit(1.5)), "t").collect()
+
+
+def test_tables_are_created_once_and_functions_registered(spark):
+    from trackloom.functions import register
+
+    for _ in range(2):
+        tables.create_tables(spark, "trackloom_test", ["labels", "video_manifest"])
+    assert spark.table("trackloom_test.labels").schema.names == tables.schema_of("labels").names
+    spark.sql("DROP DATABASE trackloom_test CASCADE")
+    register.register(spark)
+    row = spark.sql("SELECT tl_normal_id(' cow 7') AS a, tl_dot(array(1.0D, 2.0D), array(3.0D, 4.0D)) AS b, tl_uuid5('x') AS c, tl_overlap_seconds(TIMESTAMP '2026-01-01 00:00:00', TIMESTAMP '2026-01-01 00:01:00', TIMESTAMP '2026-01-01 00:00:30', TIMESTAMP '2026-01-01 00:02:00') AS d").first()
+    assert (row.a, row.b, len(row.c), row.d) == ("COW_0007", 11.0, 36, 30.0)

@@ -163,6 +163,14 @@ def write_once(df: DataFrame, path: str, format: str = "parquet") -> None:
     df.write.mode("errorifexists").format(format).save(path)
 
 
+def create_tables(spark: SparkSession, database: str, names: Sequence[str] = tuple(TABLES)) -> None:
+    """Creates the tables that a database hasn't yet, as Parquet."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for name in names:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema_of(name))
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet")
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int, int] | None = None, **options: str) -> DataFrame:
     """A database table; with a numeric column and (least, most, partitions) it is read in ranges."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
