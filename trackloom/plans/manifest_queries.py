@@ -165,10 +165,10 @@ def idempotent_append(spark, sf):
 
 
 def identity_state(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 20 = 0")
-    own = e.select(F.col("user_id").cast("string").alias("entity_id"), F.col("event_id").alias("video_id"))
-    conflicts = e.where("user_id % 10 = 0").select(F.col("user_id").cast("string").alias("entity_id"))
-    return registry.identity_states(own, e.select(F.col("event_id").alias("video_id"), F.col("ts").alias("recording_start")), conflicts)
+    e = table(spark, sf, "events")
+    name = F.concat_ws("_", "user_id", F.col("event_id") % 40)
+    conflicts = e.where("user_id % 10 = 0").select(name.alias("entity_id"))
+    return registry.identity_states(e.select(name.alias("entity_id"), F.col("event_id").alias("video_id")), e.select(F.col("event_id").alias("video_id"), F.col("ts").alias("recording_start")), conflicts)
 
 
 def _identity_events(spark, sf):
@@ -271,7 +271,7 @@ QUERIES = {
     "running_state": (running_state, "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events"),
     "upsert": (upsert, "SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1"),
     "idempotent_append": (idempotent_append, "SELECT DISTINCT user_id, event_type FROM events WHERE user_id % 2 <> 0"),
-    "identity_state": (identity_state, "WITH s AS (SELECT user_id, count(DISTINCT ts::DATE) AS dates FROM events WHERE event_id % 20 = 0 GROUP BY 1) SELECT user_id::VARCHAR AS entity_id, dates, CASE WHEN user_id % 10 = 0 THEN 'ambiguous' WHEN dates >= 3 THEN 'stable_visual' WHEN dates >= 2 THEN 'visual_confirmed' ELSE 'provisional' END AS identity_state FROM s"),
+    "identity_state": (identity_state, "WITH s AS (SELECT user_id || '_' || (event_id % 40) AS entity_id, any_value(user_id) AS u, count(DISTINCT ts::DATE) AS dates FROM events GROUP BY 1) SELECT entity_id, dates, CASE WHEN u % 10 = 0 THEN 'ambiguous' WHEN dates >= 3 THEN 'stable_visual' WHEN dates >= 2 THEN 'visual_confirmed' ELSE 'provisional' END AS identity_state FROM s"),
     "registry_replay": (registry_replay, REPLAY),
     "merged_identities": (merged_identities, "WITH m AS (SELECT user_id, arg_max(user_id - 1, event_id) AS a FROM events WHERE event_id % 200 = 0 AND event_id % 500 <> 0 GROUP BY 1) SELECT DISTINCT e.user_id::VARCHAR AS display_id, CASE WHEN a IS NULL THEN 'provisional' ELSE 'retired' END AS identity_state, a::VARCHAR AS alias_of FROM events e LEFT JOIN m ON m.user_id = e.user_id"),
     "video_states": (video_states, VIDEO_STATES),

@@ -104,26 +104,28 @@ def prototype_retrieval(spark, sf):
 
 
 def _labels(spark, sf):
-    return _embeddings(spark, sf).select(F.col("vec_id").alias("tracklet_id"), F.format_string("cow %d", F.col("label").cast("int")).alias("entity_id"), F.concat(F.lit("s"), (F.col("vec_id") % 40).cast("string")).alias("session_id"), F.concat(F.lit("v"), (F.col("vec_id") % 40).cast("string")).alias("video_id"), (F.col("vec_id") % 3 > 0).alias("confirmed"))
+    return _embeddings(spark, sf).select(F.col("vec_id").alias("tracklet_id"), F.concat(F.lit("cow "), (F.col("label") * 1000 + F.floor(F.col("vec_id") / 60)).cast("string")).alias("entity_id"), F.concat(F.lit("s"), (F.col("vec_id") % 40).cast("string")).alias("session_id"), F.concat(F.lit("v"), (F.col("vec_id") % 40).cast("string")).alias("video_id"), (F.col("vec_id") % 3 > 0).alias("confirmed"))
 
 
 def _reviews(spark, sf):
-    e = _embeddings(spark, sf).where("vec_id % 7 = 3")
-    return e.select(F.col("vec_id").alias("left_id"), (F.col("vec_id") + 1).alias("right_id"), F.when(F.col("vec_id") % 4 == 0, "different").when(F.col("vec_id") % 4 < 3, "same").otherwise("unsure").alias("decision"))
+    """An edge from every row to the next; one in twelve says different, one same."""
+    decision = F.when(F.col("vec_id") % 12 == 1, "different").when(F.col("vec_id") % 12 == 4, "same").otherwise("unsure")
+    return _embeddings(spark, sf).select(F.col("vec_id").alias("left_id"), (F.col("vec_id") + 1).alias("right_id"), decision.alias("decision"))
 
 
 def _states(spark, sf):
-    return _embeddings(spark, sf).where("vec_id % 11 < 2").select(F.col("vec_id").alias("tracklet_id"), F.when(F.col("vec_id") % 11 == 0, "tracklet_error").otherwise("valid").alias("state"))
+    state = F.when(F.col("vec_id") % 11 == 0, "tracklet_error").when(F.col("vec_id") % 11 == 1, "split_requested").otherwise("valid")
+    return _embeddings(spark, sf).select(F.col("vec_id").alias("tracklet_id"), state.alias("state"))
 
 
-L = """l AS (SELECT vec_id AS tracklet_id, printf('COW_%04d', label::INT) AS entity_id, 's' || (vec_id % 40) AS session_id, 'v' || (vec_id % 40) AS video_id, vec_id % 3 > 0 AS confirmed FROM embeddings),
+L = """l AS (SELECT vec_id AS tracklet_id, printf('COW_%04d', (label * 1000 + vec_id // 60)::INT) AS entity_id, 's' || (vec_id % 40) AS session_id, 'v' || (vec_id % 40) AS video_id, vec_id % 3 > 0 AS confirmed FROM embeddings),
 c AS (SELECT * FROM l WHERE confirmed),
-r AS (SELECT vec_id AS left_id, vec_id + 1 AS right_id, CASE WHEN vec_id % 4 = 0 THEN 'different' WHEN vec_id % 4 < 3 THEN 'same' ELSE 'unsure' END AS decision FROM embeddings WHERE vec_id % 7 = 3),
+r AS (SELECT vec_id AS left_id, vec_id + 1 AS right_id, CASE vec_id % 12 WHEN 1 THEN 'different' WHEN 4 THEN 'same' ELSE 'unsure' END AS decision FROM embeddings),
 x AS (SELECT r.*, a.entity_id AS le, b.entity_id AS re, CASE WHEN decision = 'different' AND a.entity_id = b.entity_id THEN 'different_pair_inside_identity' WHEN decision = 'same' AND a.entity_id <> b.entity_id THEN 'same_pair_across_identities' END AS conflict_type
       FROM r LEFT JOIN c a ON a.tracklet_id = left_id LEFT JOIN c b ON b.tracklet_id = right_id),
 y AS (SELECT conflict_type, le AS entity_id FROM x WHERE conflict_type IS NOT NULL UNION ALL SELECT conflict_type, re FROM x WHERE conflict_type LIKE 'same%'),
 a AS (SELECT entity_id, count(DISTINCT tracklet_id) AS tracklets, count(DISTINCT session_id) AS sessions, count(DISTINCT video_id) AS videos,
-             count(*) FILTER (tracklet_id % 11 = 0) AS excluded_flagged_tracklets, count(*) FILTER (tracklet_id % 11 <> 0) AS usable,
+             count(*) FILTER (tracklet_id % 11 < 2) AS excluded_flagged_tracklets, count(*) FILTER (tracklet_id % 11 >= 2) AS usable,
              (SELECT count(*) FROM (SELECT session_id FROM c d WHERE d.entity_id = c.entity_id GROUP BY session_id HAVING count(*) > 1)) AS same_session_duplicates,
              (SELECT count(*) FROM y WHERE y.entity_id = c.entity_id AND conflict_type LIKE 'different%') AS different_edges_inside_identity,
              (SELECT count(*) FROM y WHERE y.entity_id = c.entity_id AND conflict_type LIKE 'same%') AS same_edges_across_identities
@@ -177,7 +179,7 @@ def different_constraints(spark, sf):
 def identity_candidates(spark, sf):
     normal = _labels(spark, sf).withColumn("entity_id", exprs.normal_id(F.col("entity_id")))
     vectors = _embeddings(spark, sf).select(F.col("vec_id").alias("tracklet_id"), "embedding")
-    found = sim.entity_candidates(vectors, normal.withColumn("session_id", (F.col("tracklet_id") % 40).cast("string")), "COW_0003", k=20, exclude_seen_sessions=False)
+    found = sim.entity_candidates(vectors, normal.withColumn("session_id", (F.col("tracklet_id") % 40).cast("string")), "COW_3002", k=20, exclude_seen_sessions=False)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -207,13 +209,13 @@ QUERIES = {
     "identity_audit": (_audit, f"WITH {L} SELECT * FROM audit"),
     "audit_summary": (audit_summary, f"WITH {L} SELECT count(*) AS identities, count(*) FILTER (training_eligible) AS safe_identities, count(*) FILTER (status = 'conflict') AS conflicted_identities, (SELECT count(*) FROM c JOIN audit USING (entity_id) WHERE training_eligible) AS training_safe_tracklets FROM audit"),
     "safe_labels": (safe_labels, f"WITH {L} SELECT tracklet_id, l.entity_id, coalesce(training_eligible, false) AND confirmed AS training_eligible, coalesce(status, 'unassigned') AS audit_status FROM l LEFT JOIN audit USING (entity_id)"),
-    "flagged_exclusion": (flagged_exclusion, "SELECT vec_id AS tracklet_id, 's' || (vec_id % 40) AS session_id FROM embeddings WHERE vec_id % 11 <> 0"),
-    "triage_queue": (triage_queue, PAIRS + " SELECT query_id AS tracklet_id, candidate_id, round(cosine, 6) AS cosine FROM k WHERE rank = 1 AND query_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id % 7 = 3 AND vec_id = least(query_id, candidate_id) AND vec_id + 1 = greatest(query_id, candidate_id))"),
-    "auto_confirm_candidates": (auto_confirm_candidates, PAIRS + " SELECT a.query_id AS left_id, a.candidate_id AS right_id, round(a.cosine, 6) AS cosine, round(a.geometry_cosine, 6) AS geometry_cosine FROM k a JOIN k b ON a.rank = 1 AND b.rank = 1 AND a.query_id = b.candidate_id AND a.candidate_id = b.query_id WHERE a.query_id < a.candidate_id AND a.cosine >= 0.2 AND a.geometry_cosine >= 0.1 AND NOT (a.candidate_id = a.query_id + 1 AND a.query_id % 7 = 3 AND a.query_id % 4 = 0)"),
+    "flagged_exclusion": (flagged_exclusion, "SELECT vec_id AS tracklet_id, 's' || (vec_id % 40) AS session_id FROM embeddings WHERE vec_id % 11 >= 2"),
+    "triage_queue": (triage_queue, PAIRS + " SELECT query_id AS tracklet_id, candidate_id, round(cosine, 6) AS cosine FROM k WHERE rank = 1 AND query_id % 3 = 0 AND abs(query_id - candidate_id) <> 1"),
+    "auto_confirm_candidates": (auto_confirm_candidates, PAIRS + " SELECT a.query_id AS left_id, a.candidate_id AS right_id, round(a.cosine, 6) AS cosine, round(a.geometry_cosine, 6) AS geometry_cosine FROM k a JOIN k b ON a.rank = 1 AND b.rank = 1 AND a.query_id = b.candidate_id AND a.candidate_id = b.query_id WHERE a.query_id < a.candidate_id AND a.cosine >= 0.2 AND a.geometry_cosine >= 0.1 AND NOT (a.candidate_id = a.query_id + 1 AND a.query_id % 12 = 1)"),
     "catalog": (catalog, f"WITH {L} SELECT entity_id, count(DISTINCT tracklet_id) AS tracklets, count(DISTINCT video_id) AS videos, count(DISTINCT session_id) AS sessions FROM c GROUP BY entity_id"),
-    "next_id": (next_id, "SELECT printf('COW_%04d', (max(label) + 1)::INT) AS entity_id FROM embeddings"),
+    "next_id": (next_id, "SELECT printf('COW_%04d', (max(label * 1000 + vec_id // 60) + 1)::INT) AS entity_id FROM embeddings"),
     "different_constraints": (different_constraints, f"WITH {L} SELECT left_id, right_id FROM r WHERE decision = 'different' AND left_id IN (SELECT tracklet_id FROM c) AND right_id IN (SELECT tracklet_id FROM c)"),
-    "identity_candidates": (identity_candidates, f"WITH {E}, u AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM e WHERE label = 3 AND id % 3 > 0), m AS (SELECT dim, avg(x) AS x FROM u GROUP BY 1), p AS (SELECT list(x ORDER BY dim) AS v FROM m), n AS (SELECT {UNIT} AS v FROM p) SELECT id AS tracklet_id, (id % 40)::VARCHAR AS session_id, round(list_dot_product(e.v, n.v), 6) AS similarity FROM e, n WHERE id % 3 = 0 ORDER BY round(list_dot_product(e.v, n.v), 9) DESC, id LIMIT 20"),
+    "identity_candidates": (identity_candidates, f"WITH {E}, u AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM e WHERE label = 3 AND id // 60 = 2 AND id % 3 > 0), m AS (SELECT dim, avg(x) AS x FROM u GROUP BY 1), p AS (SELECT list(x ORDER BY dim) AS v FROM m), n AS (SELECT {UNIT} AS v FROM p) SELECT id AS tracklet_id, (id % 40)::VARCHAR AS session_id, round(list_dot_product(e.v, n.v), 6) AS similarity FROM e, n WHERE id % 3 = 0 ORDER BY round(list_dot_product(e.v, n.v), 9) DESC, id LIMIT 20"),
     "greedy_cluster": (greedy_cluster, None),
     "cluster_summary": (cluster_summary, f"WITH {L} SELECT printf('PSEUDO_%04d', (l.tracklet_id // 9)::INT) AS pseudo_id, count(*) AS tracklets, count(DISTINCT l.tracklet_id % 4) AS sessions, count(*) FILTER (c.entity_id IS NULL) AS unlinked, coalesce(min(c.entity_id), '') AS linked_entity FROM l LEFT JOIN c ON c.tracklet_id = l.tracklet_id GROUP BY 1"),
 }

@@ -1,6 +1,6 @@
 """Structured Streaming forms: alerts over an event stream, and work on a landing table.
 
-These extend the batch operators; the batch forms are the reference results.
+These extend the batch operators; the batch forms say what is right.
 """
 
 from __future__ import annotations
