@@ -29,9 +29,9 @@ from trackloom.llm.scratch import stored
 BANDS, BAND = 28, 4
 VALUES = BANDS * BAND
 CHECK = 16
-TEXTS = 1 << 20
+TEXTS = 1 << 19
 #: Members of a bucket block; members and 5-grams of a family block.
-BUCKET_BLOCK, FAMILY_BLOCK, FAMILY_GRAMS = 2048, 1024, 1 << 20
+BUCKET_BLOCK, FAMILY_BLOCK, FAMILY_GRAMS = 2048, 512, 1 << 19
 #: Rows a task compares, about.
 ROWS = 20_000
 HOT_SHARE = 1000
