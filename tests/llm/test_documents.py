@@ -119,3 +119,13 @@ def test_classifier_edges(spark):
     rows = quality_classifier(docs, labels).collect()
     assert len(rows) == 3 and all(0 <= r.score <= 1 for r in rows) and not any(r.held_out for r in rows if r.doc_id is None)
     assert quality_classifier(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_scratch_tables_are_cleared(spark):
+    from trackloom.llm import scratch
+
+    df = scratch.stored(spark.range(3), "numbers")
+    assert df.count() == 3
+    scratch.clear(spark)
+    with pytest.raises(Exception):
+        scratch.stored(spark.range(1), "x") and df.count()
