@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from trackloom.llm.memory import trim
+
 P = np.uint64(0x100000001B3)
 INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -142,7 +144,9 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", score_col
     def score(texts: pd.Series) -> pd.Series:
         table, bias = shared.value
         own = Model(np.frombuffer(table, np.float32), bias)
-        return pd.Series([own.score(t) for t in texts], dtype="float64")
+        found = pd.Series([own.score(t) for t in texts], dtype="float64")
+        trim()
+        return found
 
     return docs.withColumn(score_col, score(F.col(text_col).cast("string")))
 

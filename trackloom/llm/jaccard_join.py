@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trackloom.llm import repeats
 from trackloom.llm.components import components
+from trackloom.llm.memory import trimmed
 from trackloom.llm.scratch import stored
 
 #: With 28 bands of 4 values a pair of similarity 0.8 shares no band once in 2.5 million.
@@ -299,7 +300,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolera
     least = least_matches(threshold, tolerance)
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     own = docs.select(F.col(id_col).cast("long").alias("did"), F.xxhash64(text).alias("th"), text.alias("t"))
-    rows = stored(own.mapInArrow(_sketch(words), "did bigint, th bigint, k1 bigint, k2 bigint, grams int, sig binary"), "signatures")
+    rows = stored(own.mapInArrow(trimmed(_sketch(words)), "did bigint, th bigint, k1 bigint, k2 bigint, grams int, sig binary"), "signatures")
     classes = rows.groupBy("k1", "k2").agg(F.min("did").alias("first_id"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
 
@@ -310,7 +311,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolera
     members = stored(banded.join(distinct, "key"), "members")
     compared = members.join(classes.select("rid", "sig"), "rid").withColumn("blocks", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int")).drop("m")
     total = members.agg(F.sum(F.ceil(F.col("m") / BUCKET_BLOCK))).first()[0] or 0
-    edges = _blocks(compared, ["key"], max(partitions, int(total) // ROWS)).groupBy("part").applyInArrow(_bucket_task(least), "a bigint, b bigint")
+    edges = _blocks(compared, ["key"], max(partitions, int(total) // ROWS)).groupBy("part").applyInArrow(trimmed(_bucket_task(least)), "a bigint, b bigint")
     families = stored(components(edges).select(F.col("node").alias("rid"), F.col("root").alias("fam")).join(classes, "rid"), "families")
 
     # the families' texts, found by a filter of their ids before anything shuffles
@@ -325,13 +326,13 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolera
             keys = [set_keys(s) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["did_", "k1", "k2", "set"])
 
-    sets = some.select("did", "t").mapInArrow(with_sets, "did_ bigint, k1 bigint, k2 bigint, set binary")
+    sets = some.select("did", "t").mapInArrow(trimmed(with_sets), "did_ bigint, k1 bigint, k2 bigint, set binary")
     found = sets.join(wanted, ["did_", "k1", "k2"]).select("rid", "set").groupBy("rid").agg(F.first("set").alias("set"))
     sizes = families.groupBy("fam").agg(F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum("grams") / FAMILY_GRAMS)).cast("int").alias("blocks"), F.count("*").alias("m"))
     sizes = stored(sizes, "sizes")
     total = sizes.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
     family_rows = families.select("rid", "fam", "copies", "sig").join(sizes.select("fam", "blocks"), "fam").join(found, "rid")
-    checked = stored(_blocks(family_rows, ["fam"], max(partitions, int(total) * 8 // ROWS)).groupBy("part").applyInArrow(_family_task(threshold, least), "rid bigint, links bigint, root bigint"), "links")
+    checked = stored(_blocks(family_rows, ["fam"], max(partitions, int(total) * 8 // ROWS)).groupBy("part").applyInArrow(trimmed(_family_task(threshold, least)), "rid bigint, links bigint, root bigint"), "links")
 
     roots = components(checked.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))
     linked = checked.groupBy("rid").agg(F.sum("links").alias("links"))

@@ -20,6 +20,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from trackloom.llm.memory import trimmed
+
 CHUNK = 1 << 16
 FAN_IN = 64
 
@@ -100,7 +102,7 @@ def member_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, k: int =
 
 def _filter(hashes: DataFrame, rows: int, bits_per_row: int, k: int, max_bytes: int, which: str) -> np.ndarray:
     size = filter_bytes(rows, bits_per_row, max_bytes)
-    parts = hashes.mapInArrow(_builder(size, k), SCHEMA)
+    parts = hashes.mapInArrow(trimmed(_builder(size, k)), SCHEMA)
     tasks = hashes.rdd.getNumPartitions()
     while True:  # a group holds at most FAN_IN parts, so none grows with the data
         parts = parts.groupBy("chunk", F.expr(f"part div {FAN_IN}")).applyInArrow(_merge, SCHEMA)

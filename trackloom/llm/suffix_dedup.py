@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from trackloom.llm import repeats
+from trackloom.llm.memory import trimmed
 
 GRAM = 32
 P = np.uint64(0x100000001B3)
@@ -381,11 +382,11 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
 
     long_enough = own.where(F.length("t") >= length)
     per_anchor = (length - GRAM + 2) // 2
-    again = repeats.repeated_filter(long_enough.mapInArrow(anchors, "anchor bigint"), total // per_anchor, FILTER_BITS, FILTER_SET, max_filter_bytes)
+    again = repeats.repeated_filter(long_enough.mapInArrow(trimmed(anchors), "anchor bigint"), total // per_anchor, FILTER_BITS, FILTER_SET, max_filter_bytes)
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // group_bytes)
     shared = spark.sparkContext.broadcast(again.tobytes())
-    marks = long_enough.mapInArrow(_marks(groups, length, shared, len(again)), "b int, anchor bigint, did bigint, dh bigint, lo bigint, hi bigint, context binary")
-    ranges = marks.groupBy("b").applyInArrow(_sorted_group(length), RANGES)
+    marks = long_enough.mapInArrow(trimmed(_marks(groups, length, shared, len(again))), "b int, anchor bigint, did bigint, dh bigint, lo bigint, hi bigint, context binary")
+    ranges = marks.groupBy("b").applyInArrow(trimmed(_sorted_group(length)), RANGES)
     per_doc = ranges.groupBy(F.col("did").alias("did_"), F.col("dh").alias("dh_")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = own.join(per_doc, (F.coalesce("did", F.lit(int(LAST))) == F.col("did_")) & (F.col("dh") == F.col("dh_")), "left")
-    return joined.select("did", "t", "ranges").mapInArrow(_cut(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return joined.select("did", "t", "ranges").mapInArrow(trimmed(_cut(length)), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
