@@ -68,6 +68,14 @@ def test_edge_rows(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in jj.one_of_each(docs).collect()) == [(0, "c d"), (1, "a b"), (2, "")]
 
 
+def test_one_of_each_keeps_classes_that_share_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "c d"), (None, "e f"), (None, "e  f"), (7, "c d e"), (7, "e f g"), (7, "e f g"), (None, long), (None, long + " x"), (7, long.replace("w", "v")), (7, long.replace("w", "v") + " x")]
+    kept = jj.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    words = sorted((r.doc_id or 0, r.text.split()[:3]) for r in kept)
+    assert words == [(0, ["c", "d"]), (0, ["e", "f"]), (0, ["w0", "w1", "w2"]), (7, ["c", "d", "e"]), (7, ["e", "f", "g"]), (7, ["v0", "v1", "v2"])]
+
+
 @given(st.integers(0, 10**6))
 @settings(max_examples=50, deadline=None)
 def test_pruning_keeps_what_the_posterior_allows(seed):

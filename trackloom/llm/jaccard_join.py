@@ -295,6 +295,11 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolera
     rows with equal ids are rows of their own.  Other columns are ignored; an
     empty table gives an empty result.
     """
+    return _with_keys(docs, threshold, words, tolerance, id_col, text_col, max_filter_bytes).drop("class_key")
+
+
+def _with_keys(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 64 << 20) -> DataFrame:
+    """jaccard_join with class_key, one for each class, whatever the ids of its rows."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     least = least_matches(threshold, tolerance)
@@ -339,18 +344,18 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolera
     rooted = roots.join(classes.select(F.col("rid").alias("node"), "first_id"), "node")
     names = stored(rooted.groupBy("root").agg(F.min("first_id").alias("class_id")), "names")
     per_class = classes.select("k1", "k2", "rid", "first_id", "copies").join(roots, F.col("rid") == F.col("node"), "left").join(names, "root", "left").join(linked, "rid", "left")
-    per_class = stored(per_class.select("k1", "k2", "copies", F.col("first_id").alias("copy_of"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "per_class")
+    per_class = stored(per_class.select("k1", "k2", "copies", F.col("first_id").alias("copy_of"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rid").alias("class_key")), "per_class")
     bound = max(HOT_SHARE, rows.count() // HOT_SHARE)  # fewer than HOT_SHARE classes hold more rows than that
     hot, rest = F.broadcast(per_class.where(F.col("copies") > bound)), per_class.where(F.col("copies") <= bound)
     slim = rows.select("did", "th", "k1", "k2", "grams")
     out = slim.join(hot, ["k1", "k2"]).unionByName(slim.join(hot.select("k1", "k2"), ["k1", "k2"], "left_anti").join(rest, ["k1", "k2"]))
-    return out.select(F.col("did").alias("doc_id"), "th", "class_id", "copy_of", F.col("n_links").cast("long").alias("n_links"), F.col("grams").cast("long").alias("n_grams"))
+    return out.select(F.col("did").alias("doc_id"), "th", "class_id", "copy_of", F.col("n_links").cast("long").alias("n_links"), F.col("grams").cast("long").alias("n_grams"), "class_key")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each class of jaccard_join: the least id, null ids last, and of repeated rows one."""
-    joined = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
-    best = joined.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"))
+    joined = _with_keys(docs, id_col=id_col, text_col=text_col, **options)
+    best = joined.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"))
     kept = best.select(F.coalesce("best.doc_id", F.lit(int(LAST))).alias("__did"), F.col("best.th").alias("__th"))
     keyed = docs.withColumns({"__did": F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))), "__th": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))})
     return keyed.join(kept, ["__did", "__th"], "left_semi").dropDuplicates(["__did", "__th"]).select(*(F.col(f"`{c}`") for c in docs.columns))
