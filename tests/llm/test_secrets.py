@@ -50,6 +50,20 @@ def test_structures_are_confirmed():
     assert {k for k, _, _ in se.find_secrets(noise)} <= {"hex"}
 
 
+def test_keys_end_where_their_lengths_say():
+    """All paddings, before a PEM footer or a line that begins with a word, over several lines and on one."""
+    part = lambda x: len(x).to_bytes(4, "big") + x
+    for n in range(3):
+        rsa = der(0x30, der(2, b"\0") + b"".join(der(2, bytes(range(1, k))) for k in (65, 4, 64, 33, 33, 33, 33, 33 + n)))
+        ssh = b"openssh-key-v1\0" + part(b"none") * 2 + part(b"") + (1).to_bytes(4, "big") + part(b"p" * 51) + part(b"s" * (90 + n))
+        for kind, body in (("key_b64", rsa), ("ssh_key", ssh)):
+            one = base64.b64encode(body).decode()
+            for key in (one, one.rstrip("="), "\n".join(re.findall(".{1,64}", one)), "\r\n".join(re.findall(".{1,64}", one))):
+                for before, after in (("-----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-----\n"), ("KEY=", "\nNEXT_VAR=1"), ("-----BEGIN KEY-----", "-----END KEY-----"), ("a_name_of_more_than_32_characters_here\n", "\nnext line")):
+                    found = [s for s in se.find_secrets(f"é {before}{key}{after}") if s[0] in ("key_b64", "ssh_key")]
+                    assert found == [(kind, 2 + len(before), 2 + len(before) + len(key))], (n, kind, before)
+
+
 def test_query_and_edges(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for r in op3_secret_scan(spark, small).collect():

@@ -23,6 +23,7 @@ KINDS = BASE_KINDS + FOUND_KINDS
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+_BREAK = re.compile(r"\r?\n|-{5,}")
 _HEX_BLOB = re.compile(r"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -98,6 +99,72 @@ def is_ssh_key(data: bytes) -> bool:
     return at + 4 <= len(data)
 
 
+def der_size(head: bytes) -> int | None:
+    """Bytes of the sequence that begins so, its header included; None if it isn't one."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    if not head[1] & 0x80:
+        return 2 + head[1]
+    n = head[1] & 0x7F
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else None
+
+
+def ssh_size(data: bytes) -> int | None:
+    """Bytes of a private key's container, all its parts counted; None if its lengths don't nest."""
+    at = len(b"openssh-key-v1\0")
+
+    def after(at: int, parts: int) -> int | None:
+        for _ in range(parts):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+            if at > len(data):
+                return None
+        return at
+
+    at = after(at, 3)
+    if at is None or at + 4 > len(data):
+        return None
+    return after(at + 4, int.from_bytes(data[at : at + 4], "big") + 1)
+
+
+def keys_in_run(run: str) -> list[tuple[str, int, int]]:
+    """Keys in a run that goes on over line ends or rows of dashes into what isn't theirs.
+
+    A key begins at the run's start or after a break and says how long it is;
+    it counts if a break or the run's end is there.
+    """
+    breaks = list(_BREAK.finditer(run))
+    begins, cuts, skipped = [(0, 0)], [], 0  # place in the run, and without line ends
+    for m in breaks:
+        cuts.append((m.start(), m.start() - skipped))
+        if m[0][0] != "-":
+            skipped += len(m[0])
+        begins.append((m.end(), m.end() - skipped))
+    body = len(run.rstrip("="))
+    cuts.append((body, body - skipped))
+    ends = {}
+    for at, n in cuts:
+        ends.setdefault(n, len(run) if at == body else at)
+    found, free = [], 0
+    for k, (at, n) in enumerate(begins):
+        if at < free:
+            continue
+        if run.startswith("M", at):
+            size = der_size(decoded(re.sub(r"[\r\n]", "", run[at : at + 24])[:8]) or b"")
+            end = size and ends.get(n - (-4 * size // 3))
+            if end and is_private_key(decoded(run[at:end]) or b""):
+                found.append(("key_b64", at, free := end))
+        elif run.startswith("b3BlbnNzaC1rZXktdjE", at):
+            # the whole container where its lengths nest, else all up to a row of dashes that can be decoded
+            dashes = next((m.start() for m in breaks[k:] if m[0][0] == "-"), len(run))
+            tries = [len(run) if c == body else c for c, _ in cuts if at < c <= dashes]
+            data = next((d for d in map(decoded, (run[at:c] for c in tries[::-1])) if d), b"")
+            size = is_ssh_key(data) and ssh_size(data)
+            end = size and ends.get(n - (-4 * size // 3)) or next((at + len(run[at:c].rstrip("\r\n")) for c in tries[::-1] if decoded(run[at:c])), 0)
+            if end and is_ssh_key(decoded(run[at:end]) or b""):
+                found.append(("ssh_key", at, free := end))
+    return found
+
+
 def is_signed_header(part: str) -> bool:
     """A signed token's header: base64 of a JSON object that names its algorithm."""
     data = decoded(part)
@@ -120,6 +187,8 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         data = decoded(m[0])
         if data and is_private_key(data):
             found.append(("key_b64", m.start(), m.end()))
+        elif _BREAK.search(m[0]):
+            found += [(kind, m.start() + a, m.start() + b) for kind, a, b in keys_in_run(m[0])]
         elif data and is_ssh_key(data):
             found.append(("ssh_key", m.start(), m.end()))
     for m in _HEX_BLOB.finditer(text):
