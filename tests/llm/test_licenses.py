@@ -55,3 +55,21 @@ def test_inheritance_and_edges(spark):
     assert got[3, "r/a/b/COPYING.txt"][:2] == ("GPL-3.0", "own")
     assert got[6, "s/x.py"] == got[7, ""] == got[8, "r"] == (None, None, None)
     assert li.license_scan(files.limit(0)).count() == 0
+
+
+def test_words_beside_a_notice_have_their_own_counts(spark):
+    common = [f"en common words of module {i}" for i in range(300)]
+    notices = ["en common Released under the MIT License.", "en words of module Licensed under the Apache License, Version 2.0.", "zyx vwu tsr qpo nml kji hgf edc baz yxw vut srq Released under the MIT License."]
+    texts = dict(enumerate(common + notices))
+    df = Counter(t for x in texts.values() for t in set(li.tokens(x)))
+    idf = lambda t: 1 + math.log((1 + len(texts)) / (1 + df.get(t, 0)))
+
+    def cosine(a, b):
+        a, b = ({t: n * idf(t) for t, n in Counter(li.tokens(x)).items()} for x in (a, b))
+        return sum(w * b.get(t, 0) for t, w in a.items()) / math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+
+    files = spark.createDataFrame([(i, "", t) for i, t in texts.items()], "doc_id int, path string, text string").repartition(3)
+    got = {r.doc_id: (r.license, r.score) for r in li.license_scan(files).collect()}
+    assert [got[300 + i][0] for i in range(3)] == ["MIT", "Apache-2.0", None] and all(got[i][0] is None for i in range(300))
+    for i, t in enumerate(notices[:2]):
+        assert abs(got[300 + i][1] - max(cosine(t, x) for xs in li.TEMPLATES.values() for x in xs)) < 1e-9

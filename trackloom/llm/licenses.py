@@ -43,6 +43,10 @@ LICENSE_FILE = re.compile(r"(?:un)?licen[cs]e(?:[._-].*)?|copying(?:[._-].*)?",
 
 TOKEN = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 HOT_SHARE = 1000
+#: Different words that a task counts before it hands them on.
+COUNTED = 100_000
+
+SEGMENT = pa.struct([("first_line", pa.int32()), ("end_line", pa.int32()), ("license", pa.string()), ("dot", pa.float64()), ("squares", pa.float64()), ("words", pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())])))])
 
 
 def tokens(text: str) -> list[str]:
@@ -55,29 +59,33 @@ class Index:
     def __init__(self, templates: dict, found: dict, documents: int, threshold: float):
         self.threshold = threshold
         self.idf = {t: 1 + math.log((1 + documents) / (1 + n)) for t, n in found.items()}
-        self.unseen = 1 + math.log(1 + documents)
         self.vectors = [(name, self.vector(Counter(tokens(x)))) for name in sorted(templates) for x in templates[name]]
         # by Cauchy and Schwarz a text's cosine is at most the length of the template's part that it shares terms with:
         # the rarest terms are markers until the rest of every template is shorter than the threshold
         self.markers: set[str] = set()
         for _, v in self.vectors:
             left = 1.0
-            for term in sorted(v, key=lambda t: (-self.idf.get(t, self.unseen), t)):
+            for term in sorted(v, key=lambda t: (-self.idf[t], t)):
                 if math.sqrt(max(left, 0)) < threshold - 1e-9:
                     break
                 self.markers.add(term)
                 left -= v[term] ** 2
 
     def vector(self, counts: Counter) -> dict:
-        weights = {t: n * self.idf.get(t, self.unseen) for t, n in counts.items()}
+        weights = {t: n * self.idf[t] for t, n in counts.items()}
         size = math.sqrt(sum(w * w for w in weights.values()))
         return {t: w / size for t, w in weights.items()} if size else {}
 
-    def best(self, counts: Counter) -> tuple[float, str]:
-        """The largest cosine and its license, the first by name of equals."""
-        own = self.vector(counts)
+    def best(self, counts: Counter) -> tuple[str, float, float, list[tuple[str, int]]]:
+        """(license, dot, squares, words): the nearest license, the first by name of equals, and what its cosine is made of.
+
+        The cosine is dot over the root of squares and of the squared weights
+        of words, those of counts that are in no template.
+        """
+        own = {t: n * self.idf[t] for t, n in counts.items() if t in self.idf}
         scores = [(sum(w * own.get(t, 0.0) for t, w in v.items()), name) for name, v in self.vectors]
-        return max(scores, key=lambda s: (round(s[0], 9), [-ord(c) for c in s[1]]), default=(0.0, ""))
+        dot, name = max(scores, key=lambda s: (round(s[0], 9), [-ord(c) for c in s[1]]), default=(0.0, ""))
+        return name, dot, sum(w * w for w in own.values()), [(t, n) for t, n in counts.items() if t not in self.idf]
 
 
 def segments(text: str, index: Index) -> list[tuple[int, int, Counter]]:
@@ -99,34 +107,57 @@ def segments(text: str, index: Index) -> list[tuple[int, int, Counter]]:
     return [(a, b, Counter(w for words in lines[a:b] for w in words)) for a, b in sorted(spans)]
 
 
-def best_segment(text: str, index: Index) -> tuple[str, float, int, int] | None:
-    """(license, cosine, first line, end line) of the segment with the largest cosine, the first of equals, if it reaches the threshold."""
+def possible_segments(text: str, index: Index) -> list[dict]:
+    """Segments with what Index.best gives, without those that no counts of their other words could lift to the threshold.
+
+    A word's idf is 1 at least, that of a word in every text.
+    """
     if index.markers.isdisjoint(tokens(text)):
-        return None
-    found = None
+        return []
+    found = []
     for a, b, counts in segments(text, index):
-        score, name = index.best(counts)
-        if score >= index.threshold and (found is None or round(score, 9) > round(found[1], 9)):
-            found = (name, score, a, b)
+        name, dot, squares, words = index.best(counts)
+        if dot and dot / math.sqrt(squares + sum(n * n for _, n in words)) >= index.threshold - 1e-9:
+            found.append({"first_line": a, "end_line": b, "license": name, "dot": dot, "squares": squares, "words": [{"term": t, "n": n} for t, n in words]})
     return found
 
 
-def document_counts(docs: DataFrame, text_col: str, terms: set[str]) -> tuple[dict, int]:
-    """In how many texts each of the templates' terms occurs, over all rows, and the rows; a row a term reaches the driver."""
+def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """term, n: in how many texts each word occurs, over all rows; the term "" has the number of rows."""
 
     def count(batches):
         found, rows = Counter(), 0
+
+        def counted():
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
+            found.clear()
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 rows += 1
-                found.update(terms.intersection(tokens(text or "")))
+                found.update(set(tokens(text or "")))
+                if len(found) >= COUNTED:
+                    yield from counted()
         found[""] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["term", "n"])
+        yield from counted()
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r["term"]: r["n"] for r in rows}
-    total = found.pop("", 0)
-    return {t: found.get(t, 0) for t in terms}, total
+def _scored(segments: DataFrame, words: DataFrame, rows: int, threshold: float) -> DataFrame:
+    """rid, best (license, score, first_line, end_line): a row's segment of the largest cosine, the first of equals, if it reaches threshold."""
+    place = ["rid", "first_line", "end_line"]
+    found = segments.select("rid", F.explode("segments").alias("s")).select("rid", "s.*")
+    used = found.select(*place, F.explode("words").alias("w")).select(*place, "w.*")
+    idf = 1 + F.log(F.lit(1.0 + rows) / (1 + F.col("texts")))
+    known = used.groupBy("term").agg(F.count("*").alias("uses")).join(words.select("term", F.col("n").alias("texts")), "term").select("term", "uses", idf.alias("idf"))
+    known = stored(known, "idf")
+    bound = max(HOT_SHARE, (known.agg(F.sum("uses")).first()[0] or 0) // HOT_SHARE)
+    hot, rest = F.broadcast(known.where(F.col("uses") > bound)), known.where(F.col("uses") <= bound)
+    weighed = used.join(hot, "term").unionByName(used.join(hot.select("term"), "term", "left_anti").join(rest, "term"))
+    others = weighed.groupBy(*place).agg(F.sum(F.pow(F.col("n") * F.col("idf"), 2)).alias("more"))
+    scored = found.join(others, place, "left").withColumn("score", F.col("dot") / F.sqrt(F.col("squares") + F.coalesce("more", F.lit(0.0)))).where(F.col("score") >= threshold)
+    return scored.groupBy("rid").agg(F.min_by(F.struct("license", "score", "first_line", "end_line"), F.struct(-F.round("score", 9), "first_line", "end_line")).alias("best"))
 
 
 def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict = TEMPLATES, threshold: float = 0.6) -> DataFrame:
@@ -134,7 +165,8 @@ def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
 
     The best segment of a whole text (a line, a stretch of lines or all of it)
     gives its own license if the cosine of its TF-IDF vector to a template
-    reaches threshold; document frequencies are those of all rows.  A file
+    reaches threshold; document frequencies are those of all words over all
+    rows.  A file
     named like a license file whose text has one licenses its directory; where
     a directory has several, the highest cosine, then the first name counts.  A
     row without its own license takes that of the nearest such directory above
@@ -147,7 +179,10 @@ def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
     joins back by broadcast (fewer than HOT_SHARE hold more than 1/HOT_SHARE).
     """
     terms = {t for texts in templates.values() for x in texts for t in tokens(x)}
-    found, rows = document_counts(files, text_col, terms)
+    words = stored(word_counts(files, text_col), "words")
+    found = {r["term"]: r["n"] for r in words.where(F.col("term").isin("", *terms)).collect()}
+    rows = found.pop("", 0)
+    found = {t: found.get(t, 0) for t in terms}
     shared = files.sparkSession.sparkContext.broadcast((templates, found, rows, threshold))
     own = files.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -155,14 +190,16 @@ def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path
     def scan(batches):
         index = Index(*shared.value)
         for batch in batches:
-            best = [best_segment(t, index) if t else None for t in batch.column(2).to_pylist()]
-            names = [p.rsplit("/", 1)[-1] for p in batch.column(1).to_pylist()]
-            is_file = [bool(b) and bool(LICENSE_FILE.fullmatch(n)) for b, n in zip(best, names, strict=True)]
-            parts = [pa.array([b and b[k] for b in best], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *parts, pa.array(is_file)], ["doc_id", "path", "license", "score", "first_line", "end_line", "licenses_dir"])
-
-    scanned = own.mapInArrow(scan, f"doc_id {kind}, path string, license string, score double, first_line int, end_line int, licenses_dir boolean")
-    scanned = stored(scanned.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "licenses")
+            possible = [possible_segments(t, index) if t else [] for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(possible, pa.list_(SEGMENT))], ["doc_id", "path", "segments"])
+
+    scanned = own.mapInArrow(scan, f"doc_id {kind}, path string, segments array<struct<first_line:int,end_line:int,license:string,dot:double,squares:double,words:array<struct<term:string,n:bigint>>>>")
+    scanned = stored(scanned.withColumn("rid", F.monotonically_increasing_id()), "segments")
+    some, none = scanned.where(F.size("segments") > 0), scanned.where(F.size("segments") == 0)
+    best = stored(_scored(some, words, rows, threshold), "best")
+    scanned = some.join(best, "rid", "left").select("doc_id", "path", "best.*").unionByName(none.select("doc_id", "path"), allowMissingColumns=True)
+    names = F.col("license").isNotNull() & F.regexp_extract("path", "[^/]*$", 0).rlike(f"(?is)^(?:{LICENSE_FILE.pattern})\\z")
+    scanned = stored(scanned.withColumns({"licenses_dir": names, "dir": F.regexp_replace("path", "/?[^/]*$", "")}), "licenses")
     licensed = scanned.where("licenses_dir").groupBy(F.col("dir").alias("license_dir")).agg(F.min_by("license", F.struct(-F.round("score", 9), "license")).alias("dir_license"))
     dirs = scanned.groupBy("dir").agg(F.count("*").alias("files"))
     parts = F.split("dir", "/")
