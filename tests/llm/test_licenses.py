@@ -73,3 +73,15 @@ def test_words_beside_a_notice_have_their_own_counts(spark):
     assert [got[300 + i][0] for i in range(3)] == ["MIT", "Apache-2.0", None] and all(got[i][0] is None for i in range(300))
     for i, t in enumerate(notices[:2]):
         assert abs(got[300 + i][1] - max(cosine(t, x) for xs in li.TEMPLATES.values() for x in xs)) < 1e-9
+
+
+def test_each_license_line_of_documents_is_found(spark):
+    sf = "/root/testdata/sf0.01"
+    lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.license for r in op10_license_scan(spark, sf).collect()}
+    want = {d: {name for line, name in lines.items() if line in t} for d, t in texts.items()}
+    assert set().union(*want.values()) == set(lines.values())
+    assert not [(d, names, got[d]) for d, names in want.items() if (got[d] not in names if names else got[d] is not None)]
+    own = spark.createDataFrame([(name, "", x) for name, xs in li.TEMPLATES.items() for x in xs], "doc_id string, path string, text string")
+    assert all(r.license == r.doc_id for r in li.license_scan(own).collect())

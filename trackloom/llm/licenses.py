@@ -33,9 +33,24 @@ TEMPLATES = {
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
+    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
+    "CC-BY-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0."],
+    "CC-BY-NC-SA-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
+    "CC-BY-NC-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Licensed under CC BY-NC-ND 4.0."],
+    "CC-BY-3.0": ["This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "Licensed under CC BY 3.0."],
+    "CC-BY-SA-3.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "Licensed under CC BY-SA 3.0."],
+    "CC-BY-NC-3.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.", "Licensed under CC BY-NC 3.0."],
+    "CC-BY-ND-3.0": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 3.0 Unported License.", "Licensed under CC BY-ND 3.0."],
+    "CC-BY-NC-SA-3.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.", "Licensed under CC BY-NC-SA 3.0."],
+    "CC-BY-NC-ND-3.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 3.0 Unported License.", "Licensed under CC BY-NC-ND 3.0."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work. Creative Commons CC0 1.0 Universal public domain dedication."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 #: Fixed value: names of the files that license their directory.
