@@ -30,6 +30,24 @@ def test_phases_use_every_block():
     assert {k: sum(p[k][1] - p[k][0] for p in phases if k in p) for k in blocks} == blocks
 
 
+def test_shares_are_not_rounded():
+    """Every prefix of many blocks, against the shares as given, until the first source ends."""
+    shares = {"a": 0.61234567, "b": 0.3875543, "c": 0.0001, "d": 20_000**0.7 / 1e9, "e": 1 / 3e6}
+    blocks = {"a": 61_000, "b": 50_000, "c": 100, "d": 100, "e": 100}
+    phases = mixing.schedule(blocks, mixing.whole_weights(shares))
+    total, plan = sum(shares.values()), mixing.planned_blocks(phases[:1])
+    order = [s for _, s in sorted(zip(plan["slot"].to_pylist(), plan["__s"].to_pylist()))]
+    assert len(order) > 90_000 and plan["slot"].to_pylist() != [] and sorted(plan["slot"].to_pylist()) == list(range(len(order)))
+    seen = Counter()
+    for t, s in enumerate(order, 1):
+        seen[s] += 1
+        assert all(abs(seen[k] - t * v / total) < 1 + 1e-6 for k, v in shares.items())
+    zero = mixing.planned_blocks(mixing.schedule({"a": 3, "b": 2}, mixing.whole_weights({"a": 0.0, "b": 1.0})))
+    assert [s for _, s in sorted(zip(zero["slot"].to_pylist(), zero["__s"].to_pylist()))] == list("bbaaa")
+    whole = mixing.planned_blocks(phases)
+    assert Counter(whole["__s"].to_pylist()) == blocks and sorted(whole["slot"].to_pylist()) == list(range(sum(blocks.values())))
+
+
 def test_mixing_query_keeps_rows_and_shares(spark, small):
     rows = op2_source_mixing(spark, small).orderBy("position").collect()
     assert [r.position for r in rows] == list(range(len(rows)))

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
-#: Target weights are whole multiples of 1 / RESOLUTION, at least one.
-RESOLUTION = 1000
 #: Rows of a source that one task ranks, about.
 RANKED = 5_000
 
 
 def whole_weights(shares: dict) -> dict:
-    """Shares as positive integers without a common divisor."""
-    total = sum(shares.values())
-    found = {k: max(1, round(RESOLUTION * v / total)) for k, v in shares.items()}
-    common = math.gcd(*found.values())
+    """Shares as positive integers without a common divisor, in exactly the same proportions."""
+    exact = {k: Fraction(v) for k, v in shares.items()}
+    scale = math.lcm(*(v.denominator for v in exact.values()))
+    found = {k: int(v * scale) for k, v in exact.items()}
+    common = math.gcd(*found.values()) or 1
     return {k: v // common for k, v in found.items()}
 
 
@@ -26,8 +27,8 @@ def window(j: int, weight: int, total: int) -> tuple[int, int]:
     return j * total // weight, -(-(j + 1) * total // weight)
 
 
-def period(weights: dict) -> dict:
-    """Slots of each source in one period of sum(weights) slots: earliest deadline first among released blocks.
+def period(weights: dict, blocks: dict | None = None) -> dict:
+    """Slots of each source in one period of sum(weights) slots, or until one of blocks ends: earliest deadline first among released blocks.
 
     One slot at a time and full use of it: every block meets its deadline, so a
     source is never a whole block from its target.
@@ -37,7 +38,8 @@ def period(weights: dict) -> dict:
     waiting = [(window(0, w, total), rank[k], k, 0) for k, w in weights.items()]
     heapq.heapify(waiting)  # by release
     ready: list = []
-    for t in range(total):
+    t = 0
+    while t < total:
         while waiting and waiting[0][0][0] <= t:
             (_, deadline), i, k, j = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, i, k, j))
@@ -45,6 +47,9 @@ def period(weights: dict) -> dict:
         if t >= deadline:
             raise AssertionError("a block missed its deadline")
         slots[k].append(t)
+        t += 1
+        if blocks and len(slots[k]) == blocks[k]:
+            break
         if j + 1 < weights[k]:
             heapq.heappush(waiting, (window(j + 1, weights[k], total), i, k, j + 1))
     return slots
@@ -54,18 +59,22 @@ def schedule(blocks: dict, weights: dict) -> list[dict]:
     """Phases: when a source has no block left, the rest go on by their own weights.
 
     A phase is {source: (first block, end block, first slot, weight, total,
-    slots of a period)}; the plan is as long as the square of the number of
-    sources at most, whatever the number of rows.
+    slots of a period, or of the phase where that is shorter)}; each slot is
+    planned at most once, so the plan is no longer than the blocks.
     """
     left, done, at, phases = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        common = math.gcd(*(weights[k] for k in left))
-        own = {k: weights[k] // common for k in left}
-        total, slots = sum(own.values()), period(own)
-        ends = {k: (n - 1) // own[k] * total + slots[k][(n - 1) % own[k]] for k, n in left.items()}
-        length = min(ends.values()) + 1
+        own = {k: weights[k] for k in left if weights[k]} or dict.fromkeys(left, 1)  # sources without a share come last
+        common = math.gcd(*own.values())
+        own = {k: w // common for k, w in own.items()}
+        total, slots = sum(own.values()), period(own, left)
+        ended = [x[-1] for k, x in slots.items() if len(x) == left[k]]
+        if ended:
+            length = min(ended) + 1
+        else:
+            length = min((left[k] - 1) // own[k] * total + slots[k][(left[k] - 1) % own[k]] for k in own) + 1
         phase = {}
-        for k in list(left):
+        for k in own:
             full, part = divmod(length, total)
             n = full * own[k] + sum(s < part for s in slots[k])
             phase[k] = (done[k], done[k] + n, at, own[k], total, slots[k])
@@ -78,7 +87,17 @@ def schedule(blocks: dict, weights: dict) -> list[dict]:
     return phases
 
 
-PHASES = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first", "end", "slot", "weight", "total")] + [T.StructField("slots", T.ArrayType(T.LongType()))]))
+def planned_blocks(phases: list[dict]) -> pa.Table:
+    """__s, __block, slot, release, deadline of every block."""
+    columns = {"__s": [], "__block": [], "slot": [], "release": [], "deadline": []}
+    for phase in phases:
+        for s, (first, end, at, w, total, slots) in phase.items():
+            for j in range(end - first):
+                release, deadline = window(j, w, total)
+                row = (s, first + j, at + j // w * total + slots[j % w], at + release, at + deadline)
+                for c, v in zip(columns.values(), row):
+                    c.append(v)
+    return pa.table({n: pa.array(c, pa.string() if n == "__s" else pa.int64()) for n, c in columns.items()})
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block_rows: int = 64, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -88,14 +107,16 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7
     smallest share named.  Without weights a source's share goes with its rows
     to the power alpha.  Blocks of block_rows rows of a source, in the order of
     the MD5 of the id, are interleaved so that in every phase each source is
-    less than one block from its share; release and deadline are slots.  When
+    less than one block from its share, which isn't rounded; release and
+    deadline are slots.  When
     a source ends, the others keep their shares: every row gets a position.
 
     A null source is a source; null ids come in one place; equal ids in any
     order among themselves.  An empty table gives an empty result.  Columns
     with the names of results are replaced.  A source's rows are ranked in
-    ranges of the MD5, about RANKED rows each, and only counts by source reach
-    the driver, so a hot source is split like the others.
+    ranges of the MD5, about RANKED rows each, so a hot source is split like the others.  Only
+    counts by source reach the driver; it plans a row for each block, which is
+    broadcast.
     """
     spark = docs.sparkSession
     new = ("source_rank", "block", "slot", "release", "deadline", "position")
@@ -109,18 +130,13 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7
     else:
         target = whole_weights({s: sizes[s] ** alpha for s in names}) if names else {}
     phases = schedule({s: -(-sizes[s] // block_rows) for s in names}, target)
-    plans, lasts = {s: [] for s in names}, []
-    for phase in phases:
-        for s, part in phase.items():
-            plans[s].append(part)
-    for s in names:
-        short = -sizes[s] % block_rows
-        first, end, at, w, total, slots = plans[s][-1]
-        if short:
-            j = end - 1 - first
-            lasts.append((at + j // w * total + slots[j % w], short))
     named = lambda s: "n" if s is None else f"s{s}"  # noqa: E731  never null, so that equal keys stay dealt alike
-    planned = spark.createDataFrame([(named(s), plans[s]) for s in names], T.StructType([T.StructField("__s", T.StringType()), T.StructField("__phases", PHASES)]))
+    plan = planned_blocks([{named(s): part for s, part in phase.items()} for phase in phases])
+    ends = {}
+    for s, slot in zip(plan["__s"].to_pylist(), plan["slot"].to_pylist()):
+        ends[s] = max(ends.get(s, 0), slot)
+    lasts = [(ends[named(s)], -sizes[s] % block_rows) for s in names if sizes[s] % block_rows]
+    planned = spark.createDataFrame(plan, "__s string, __block bigint, slot bigint, release bigint, deadline bigint")
 
     digits = 1
     while 16**digits * RANKED < max(sizes.values(), default=0) and digits < 7:
@@ -130,19 +146,11 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7
     ranges = keyed.groupBy(F.col("__source").alias("__source2"), F.col("__range").alias("__range2")).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     within = Window.partitionBy("__source", "__range").orderBy("__key", id_col)
     ranked = keyed.withColumn("__in", F.row_number().over(within)).join(ranges, (F.col("__source") == F.col("__source2")) & (F.col("__range") == F.col("__range2")))
-    ranked = ranked.join(F.broadcast(planned), F.col("__source") == F.col("__s"))  # a row for each source
 
     rank = F.col("__before") + F.col("__in") - 1
     ranked = ranked.withColumns({"source_rank": rank.cast("long"), "block": F.floor(rank / block_rows).cast("long")})
-    ranked = ranked.withColumn("__p", F.filter("__phases", lambda p: (F.col("block") >= p["first"]) & (F.col("block") < p["end"]))[0])
-    j, w, total = F.col("block") - F.col("__p.first"), F.col("__p.weight"), F.col("__p.total")
-    round_, place = F.floor(j / w).cast("long"), (j % w).cast("int")
-    ranked = ranked.withColumn("slot", F.col("__p.slot") + round_ * total + F.element_at("__p.slots", place + 1))
+    ranked = ranked.join(F.broadcast(planned), (F.col("__source") == F.col("__s")) & (F.col("block") == F.col("__block")))  # a row for each block_rows rows
     gaps = F.array(*(F.struct(F.lit(s).cast("long").alias("slot"), F.lit(n).cast("long").alias("short")) for s, n in lasts)) if lasts else None
     short = F.aggregate(F.filter(gaps, lambda g: g["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, g: a + g["short"]) if lasts else F.lit(0)
-    ranked = ranked.withColumns({
-        "release": F.col("__p.slot") + F.floor(j * total / w).cast("long"),
-        "deadline": F.col("__p.slot") + F.ceil((j + 1) * total / w).cast("long"),
-        "position": F.col("slot") * block_rows + F.col("source_rank") % block_rows - short,
-    })
+    ranked = ranked.withColumn("position", F.col("slot") * block_rows + F.col("source_rank") % block_rows - short)
     return ranked.select(*own.columns, *new)
