@@ -50,8 +50,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
-    return pack(docs, TOKENIZER).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """Pieces of documents in sequences of at most 2048 tokens, packed and numbered group by group in the mixing order.
+
+    A table read again has no order of rows, so the positions, which depend on
+    the rows alone, are found anew; a task packs a range of them.
+    """
+    return pack(mix_sources(docs).orderBy("position"), TOKENIZER).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [

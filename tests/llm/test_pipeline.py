@@ -2,9 +2,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
+from trackloom.llm import packing
+from trackloom.llm.mixing import mix_sources
 from trackloom.llm.queries import op2_source_mixing, op8_quality_classifier
 
 
@@ -69,6 +72,23 @@ def test_stages_match_plain_versions(spark, small):
         assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in own)
 
 
+def test_packing_follows_the_mixing_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 2000)
+    rows = [(i, f"document {i} " + "some words " * 8, "en", "a" if i % 10 else "b", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema)
+    position = {r.doc_id: r.position for r in mix_sources(docs).collect()}
+    assert [position[r.doc_id] for r in cp.mixed(spark, docs, "").collect()] == list(range(3000))
+    docs.repartitionByRange(7, F.col("doc_id").desc()).write.parquet(f"{tmp_path}/docs")
+    pieces = sorted((p.sequence_id, p.offset, p.doc_id) for p in cp.packed(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect())
+    order = list(dict.fromkeys(d for _, _, d in pieces))
+    assert len(order) == 3000 and max(abs(i - position[d]) for i, d in enumerate(order)) <= 150
+    share = 300**0.7 / (300**0.7 + 2700**0.7)
+    seen = 0
+    for t, d in enumerate(order[:1400], 1):
+        seen += d % 10 == 0
+        assert abs(seen - t * share) < 64 + 150
+
+
 def test_run_and_edge_rows(spark, small, tmp_path):
     assert cp.run(spark, small).count() > 0
     schema = spark.read.parquet(f"{small}/documents.parquet").schema
