@@ -36,20 +36,25 @@ def test_queries_match_their_sql(spark, small, name):
     assert sorted(text(r[c] for c in columns) for r in got.collect()) == sorted(map(text, sql.fetchall()))
 
 
-def test_imports_without_the_corpus_subpackage(tmp_path):
-    """The rest works where the subpackage and the pipeline aren't installed."""
+def test_imports_without_the_corpus_folders(tmp_path):
+    """A full copy without the two folders, the pipeline's file left behind: queries, oracles and the other tests import."""
     import shutil
 
-    shutil.copytree(ROOT / "trackloom", tmp_path / "trackloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') and n[2].isdigit() for n in e.queries()))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "spark-warehouse", "metastore_db"))
+    shutil.rmtree(copy / "trackloom" / "llm"), shutil.rmtree(copy / "tests" / "llm")
+    assert (copy / "corpus_pipeline.py").exists()
+    own = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), sorted(n for n in e.queries() if n == 'pipeline' or n.startswith('op') and n[2].isdigit()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env=own)
     assert out.returncode == 0, out.stderr
-    assert out.stdout.split()[-1] == "False" and int(out.stdout.split()[0]) > 70
+    assert out.stdout.split()[-1] == "[]" and int(out.stdout.split()[0]) > 70
+    out = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=copy, capture_output=True, text=True, env=own)
+    assert out.returncode == 0, out.stdout + out.stderr
 
 
 def test_the_subpackage_is_named_nowhere_else():
     for path in (ROOT / "trackloom").rglob("*.py"):
-        if "llm" not in path.parts:
+        if "llm" not in path.relative_to(ROOT).parts:
             assert "trackloom.llm" not in path.read_text(), path
     assert importlib.util.find_spec("trackloom.plans.registry")

@@ -231,7 +231,7 @@ def test_bundle(spark):
     new = {"tracklets": track("n1"), "embeddings": e("n1"), "assignments": assigned, "pair_reviews": reviews(spark, ("n1", "n2", "same"))}
     out = bundle.review_bundle(base, new, NOW, "NEW_1_")
     assert out["embeddings"].count() == 2 and out["pair_reviews"].count() == 2
-    assert by(out["labels"], value="pseudo_id")["n1"] == "NEW_1_P1" and by(out["labels"])["o1"] == "cow1"
+    assert by(out["labels"], value="pseudo_id")["n1"] == "NEW_1_P1" and by(out["labels"])["o1"] == "COW_0001"
     with pytest.raises(ValueError, match="share"):
         bundle.joined_embeddings(e("a"), e("a"))
     with pytest.raises(ValueError, match="backend"):
