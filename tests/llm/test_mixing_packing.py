@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import Counter
 
@@ -13,6 +14,11 @@ from trackloom.llm.queries import op2_source_mixing, op9_packing
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
+def library():
+    return Tokenizer.from_file(PATH)
+
+
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=8))
 @settings(max_examples=60, deadline=None)
 def test_less_than_one_block_from_target(weights):
@@ -90,17 +96,36 @@ def test_largest_go_to_the_cheapest():
 
 
 def test_fast_encoder_equals_the_library(spark, small):
-    slow = Tokenizer.from_file(PATH)
-    slow.encode_special_tokens = True
+    """The library as the contract calls it: no setting is changed."""
+    slow = library()
     texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
-    texts += ["", " ", "\n\n a  b\t", "<|endoftext|> x", "naïve 😀 ‍ \u0000 ſ K", "'s're ''ll", "１２３ ½ a_b"]
+    end = "<|endoftext|>"
+    texts += ["", " ", "\n\n a  b\t", f"{end} x", f"ab {end} cd", f"{end}{end}", f"a  {end}  b <|endoftext", end[:-1] + end, "naïve 😀 ‍ \u0000 ſ K", "'s're ''ll", "１２３ ½ a_b", "a\x1c\x1db\x85c\u3000\u3000d"]
     fast = packing.encoder(PATH)
     for t in texts:
-        assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
+        assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids, t[:50]
+
+
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "\x85", "\xa0", "a", "é", "7", "!", "'s", "<|endoftext|>", "<|", "\x1f"]), max_size=14).map("".join))
+@settings(max_examples=200, deadline=None)
+def test_cut_gaps_give_the_same_ids(text):
+    gap, fast = packing.LONG_GAP, packing.encoder(PATH)
+    packing.LONG_GAP = packing.re.compile(gap.pattern.replace("10000", "2"))
+    try:
+        assert fast(text).tolist() == library().encode(text, add_special_tokens=False).ids
+    finally:
+        packing.LONG_GAP = gap
+
+
+@pytest.mark.parametrize("run", [" ", " \t", "a", "!"])
+def test_long_runs_give_the_library_s_ids(run):
+    text = "x " + run * (1_100_000 // len(run)) + "y"
+    for t in (text, text[:-1]):
+        assert packing.encoder(PATH)(t).tolist() == library().encode(t, add_special_tokens=False).ids
 
 
 def test_packing_query_round_trip(spark, small):
-    slow = Tokenizer.from_file(PATH)
+    slow = library()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     pieces = op9_packing(spark, small).collect()
     by_doc = {}

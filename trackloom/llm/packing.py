@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from trackloom.llm.memory import trimmed
 
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space so long that the pattern's engine would run out of steps (from 1,000,000); any length from 2 would do.
+LONG_GAP = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
 #: Tokens that are packed together; a task holds no more than this and one Arrow batch.
 GROUP = 1 << 21
 
@@ -24,32 +27,68 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _split_at(pattern: re.Pattern, text: str):
+    """(part, whether the pattern matched it) of a text, in order, empty parts left out."""
+    at = 0
+    for m in pattern.finditer(text):
+        if m.start() > at:
+            yield text[at : m.start()], False
+        yield m[0], True
+        at = m.end()
+    if at < len(text):
+        yield text[at:], False
+
+
+def _fast_encoder(spec: dict):
+    """The vocabulary of a plain byte-level BPE file run by tiktoken, or None if the file is of another kind."""
+    model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
+    plain = model.get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+    if not plain or len(model["merges"]) + 256 > len(model["vocab"]) or any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+        return None
+    symbols, names = _byte_symbols(), {x["content"]: x["id"] for x in added}
+    ranks = {bytes(symbols[c] for c in word): i for word, i in model["vocab"].items() if word not in names}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if not all(model["vocab"][m] == 256 + i for i, m in enumerate(merged)):
+        return None
+    import tiktoken
+
+    fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = re.compile("|".join(re.escape(x) for x in sorted(names, key=len, reverse=True)))
+
+    def ordinary(text: str):
+        """Arrays of ids; a long run of white space is one piece of the pattern, but for a last character that goes with what follows."""
+        at = 0
+        for m in LONG_GAP.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            yield fast.encode_to_numpy(text[at : m.start()], disallowed_special=())
+            yield np.array(fast._encode_single_piece(text[m.start() : end]), np.uint32)
+            at = end
+        yield fast.encode_to_numpy(text[at:], disallowed_special=())
+
+    def encode(text: str) -> np.ndarray:
+        if not names or not special.search(text):
+            return np.concatenate([*ordinary(text)])
+        return np.concatenate([ids for part, known in _split_at(special, text) for ids in ([np.array([names[part]], np.uint32)] if known else ordinary(part))])
+
+    return encode
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """A function from text to ids (uint32), special tokens' strings being ordinary text.
+    """A function from text to ids (uint32): what tokenizers gives for the file with add_special_tokens=False.
 
     A plain byte-level BPE file is run by tiktoken over the same vocabulary,
     whose ids are the ranks of its merges; that is five times as fast and gives
-    the same ids.  Any other file is run by tokenizers itself.
+    the same ids, those of added tokens' strings included.  Any other file is
+    run by tokenizers itself.
     """
     with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    plain = model.get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer") and len(model["merges"]) + 256 <= len(model["vocab"])
-    if plain:
-        import tiktoken
-
-        symbols = _byte_symbols()
-        added = {x["content"] for x in spec.get("added_tokens", [])}
-        ranks = {bytes(symbols[c] for c in word): i for word, i in model["vocab"].items() if word not in added}
-        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
-        if all(model["vocab"][m] == 256 + i for i, m in enumerate(merged)):
-            fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            return lambda text: np.array(fast.encode_ordinary(text), np.uint32)
+        fast = _fast_encoder(json.load(f))
+    if fast:
+        return fast
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -102,7 +141,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     Every text's ids, then end_id, lie in exactly one piece each.  A null text
-    is empty: one token.  Rows with equal or null ids are packed each by
+    is empty: one token.  The string of a special token in a text is that
+    token, as the library has it.  Rows with equal or null ids are packed each by
     itself; other columns are ignored; an empty table gives no piece.  Each
     task packs groups of at most GROUP tokens of its own rows, so nothing
     shuffles and memory is bounded; a sequence's id is its task's number and
