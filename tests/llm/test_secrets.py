@@ -64,6 +64,94 @@ def test_keys_end_where_their_lengths_say():
                     assert found == [(kind, 2 + len(before), 2 + len(before) + len(key))], (n, kind, before)
 
 
+def parsed(data):
+    """An own reader of nested lengths: the tree of a whole DER value, or None."""
+
+    def values(b):
+        out = []
+        while b:
+            if len(b) < 2:
+                return None
+            tag, n, b = b[0], b[1], b[2:]
+            if n >= 128:
+                k = n - 128
+                if not 1 <= k <= 4 or len(b) < k or b[0] == 0:
+                    return None
+                n, b = int.from_bytes(b[:k], "big"), b[k:]
+            if len(b) < n:
+                return None
+            out.append((tag, b[:n]))
+            b = b[n:]
+        return out
+
+    top = values(data)
+    return values(top[0][1]) if top and len(top) == 1 and top[0][0] == 0x30 else None
+
+
+def is_key(data):
+    t = parsed(data)
+    if not t:
+        return False
+    tags = [tag for tag, _ in t]
+    numbered = tags[0] == 2 and t[0][1] in (b"\0", b"\1")
+    return numbered and (tags[:9] == [2] * 9 or tags == [2] * 6 and len(t[1][1]) >= 64 or tags[:3] == [2, 0x30, 4] and t[1][1][:1] == b"\x06" or tags[:2] == [2, 4] and len(t[1][1]) >= 16) or tags == [0x30, 4] and t[0][1][:1] == b"\x06" and t[0][1][2:].startswith((b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")) and len(t[1][1]) >= 16
+
+
+def scanned(text):
+    """Every piece of base64 between any two places of a text that decodes to a key: the spans that no other contains."""
+    inside = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    found = []
+    for a in range(len(text)):
+        if text[a] != "M" or (a and text[a - 1] in inside and text[a - 5 : a] != "-----"):
+            continue
+        b, size = a, 0
+        while b < len(text) and (text[b] in inside or text[b] in "\r\n" and b + 1 < len(text)):
+            b += 1
+            size += text[b - 1] not in "\r\n"
+            pad = -size % 4
+            if size < 32 or pad == 3 or text[b - 1] in "\r\n" or b < len(text) and text[b] in inside and text[b : b + 5] != "-----":
+                continue
+            plain = "".join(text[a:b].split()).replace("-", "+").replace("_", "/")
+            if is_key(base64.b64decode(plain + "=" * pad)):
+                end = b
+                while end < min(b + pad, len(text)) and text[end] == "=":
+                    end += 1
+                found.append((a, end))
+    return [s for s in found if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in found)]
+
+
+EC = der(0x30, der(2, b"\1") + der(4, bytes(range(7, 39))) + der(0xA0, der(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")) + der(0xA1, der(3, b"\0\4" + bytes(64))))
+ENCRYPTED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(4, bytes(8)))) + der(4, bytes(range(48))))
+DIGEST = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, bytes(32)))
+
+
+@given(st.integers(0, 10**6))
+@settings(max_examples=60, deadline=None)
+def test_keys_match_a_scan_of_all_pieces(seed):
+    rng = random.Random(seed)
+    body = lambda: rng.choice([EC, ENCRYPTED, DIGEST, der(0x30, der(2, b"\0") + der(4, rng.randbytes(rng.randrange(14, 34)))), der(0x30, der(2, b"\2") + der(4, bytes(20)))])
+    parts = []
+    for _ in range(rng.randrange(1, 4)):
+        one = base64.b64encode(body()).decode()
+        one = rng.choice([one, one.rstrip("="), rng.choice(["\n", "\r\n"]).join(re.findall(".{1,64}", one))])
+        parts.append(rng.choice(["", "key=", "-----BEGIN X-----\n", "a word ", "M: ", "name_of_a_thing_that_is_rather_long_yes\n"]) + one + rng.choice(["\n-----END X-----", " after", "\nnext=1", ".", "\r\n", ""]))
+    text = rng.choice([" ", "\n\n", ", "]).join(parts)
+    assert sorted((a, b) for k, a, b in se.find_secrets(text) if k == "key_b64") == scanned(text)
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiJhIn0.c2ln"
+    for run in ("a", "aB3-", "0f", "A\n", "secret ", "MIIE\n", "a.", "key: "):
+        text = f". {run * (3_000_000 // len(run))} {token}"
+        began = time.perf_counter()
+        assert ("signed_token", len(text) - len(token), len(text)) in se.find_secrets(text)
+        assert time.perf_counter() - began < 30, run
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 200_000).decode()
+    assert se.confirmed_spans(f"{deep}.abcd.x") == []
+
+
 def test_query_and_edges(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for r in op3_secret_scan(spark, small).collect():
@@ -72,5 +160,5 @@ def test_query_and_edges(spark, small):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert set(f"{k}:{a}:{b}" for k, a, b in base) <= set(r.spans.split(",")) | {""}
     docs = spark.createDataFrame([(1, None, "s"), (1, "", "s"), (None, "token=abcdefgh", "s")], "doc_id long, text string, spans string")
-    assert sorted(len(r.spans) for r in se.secret_scan(docs).collect()) == [0, 0, 1]
+    assert sorted(len(r.spans) for r in se.secret_scan(docs.union(docs)).collect()) == [0, 0, 0, 0, 1, 1]
     assert se.secret_scan(docs.limit(0)).count() == 0

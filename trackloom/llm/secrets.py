@@ -21,10 +21,13 @@ FOUND_KINDS = ("signed_token", "key_b64", "key_hex", "ssh_key")
 KINDS = BASE_KINDS + FOUND_KINDS
 
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+# a run is tried from its start alone and never given back, so a long one costs its length once
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}+(?:\r?\n[A-Za-z0-9+/_-]++)*+={0,2}")
 _BREAK = re.compile(r"\r?\n|-{5,}")
-_HEX_BLOB = re.compile(r"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
+_HEX_BLOB = re.compile(r"(?:[0-9a-f]{2}){16,}+|(?:[0-9A-F]{2}){16,}+")
+#: The object ids (DER) below which the password-based encryptions of keys lie.
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -70,15 +73,18 @@ def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
 
 
 def is_private_key(data: bytes) -> bool:
-    """A DER private key: nine integers, a version with algorithm and octets, or a version with octets."""
+    """A DER private key: nine or six integers, a version with algorithm and octets, a version with octets, or a password-based algorithm with octets."""
     top = der_items(data, 0, len(data))
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
     parts = der_items(data, *top[0][1:])
+    if parts and [tag for tag, _, _ in parts] == [0x30, 0x04]:
+        algorithm = der_items(data, *parts[0][1:])
+        return bool(algorithm) and algorithm[0][0] == 0x06 and data[algorithm[0][1] : algorithm[0][2]].startswith(PASSWORD_BASED) and parts[1][2] - parts[1][1] >= 16
     if not parts or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1 or data[parts[0][1]] > 1:
         return False
     tags = [tag for tag, _, _ in parts]
-    if tags[:9] == [0x02] * 9:
+    if tags[:9] == [0x02] * 9 or tags == [0x02] * 6 and parts[1][2] - parts[1][1] >= 64:
         return True
     if tags[:3] == [0x02, 0x30, 0x04]:
         algorithm = der_items(data, *parts[1][1:])
@@ -172,7 +178,7 @@ def is_signed_header(part: str) -> bool:
         return False
     try:
         header = json.loads(data)
-    except ValueError:
+    except (ValueError, RecursionError):  # the latter for brackets nested without end
         return False
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
@@ -211,8 +217,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per input row: the id and spans, an array of (kind, start, end).
 
     A null or empty text has no spans.  Every whole text is read; rows with
-    equal ids are scanned each by itself; other columns are ignored and an
-    empty table gives an empty result.  No shuffle: one pass, batch by batch.
+    equal ids, and repeated rows, are scanned each by itself; other columns are
+    ignored and an empty table gives an empty result.  No shuffle: one pass,
+    batch by batch, in time proportional to the text.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
