@@ -1,6 +1,9 @@
 import functools
+import hashlib
+import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -19,39 +22,105 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
-@given(st.lists(st.integers(1, 40), min_size=1, max_size=8))
-@settings(max_examples=60, deadline=None)
-def test_less_than_one_block_from_target(weights):
-    own = dict(enumerate(weights))
-    slots, total = mixing.period(own), sum(weights)
-    assert sorted(s for x in slots.values() for s in x) == list(range(total))
-    for k, w in own.items():
-        for t in range(total + 1):
-            assert abs(w * t / total - sum(s < t for s in slots[k])) < 1
-
-
-def test_phases_use_every_block():
-    blocks = {"a": 7, "b": 3, "c": 1, None: 4}
-    phases = mixing.schedule(blocks, {"a": 5, "b": 3, "c": 2, None: 1})
-    assert {k: sum(p[k][1] - p[k][0] for p in phases if k in p) for k in blocks} == blocks
+def fluid(blocks, weights):
+    """{source: its blocks' times of release and of end} by following the flow from one source's end to the next."""
+    left, now, done = {k: Fraction(b) for k, b in blocks.items() if b}, Fraction(0), {k: Fraction(0) for k in blocks}
+    times = {k: [Fraction(0)] for k in blocks}
+    while left:
+        rates = {k: Fraction(weights[k]) for k in left if weights[k]} or dict.fromkeys(left, Fraction(1))
+        total = sum(rates.values())
+        step = min(left[k] * total / rates[k] for k in rates)
+        for k, r in rates.items():
+            own = done[k] + step * r / total
+            if len(times[k]) == 1 and not done[k]:
+                times[k][0] = now
+            times[k] += [now + (m - done[k]) * total / r for m in range(math.floor(done[k]) + 1, math.floor(own) + 1)]
+            done[k] = own
+            left[k] = blocks[k] - own
+        now += step
+        left = {k: v for k, v in left.items() if v}
+    return times
+
+
+def plain_schedule(blocks, weights):
+    """Slot by slot the unscheduled, released block of the earliest deadline, looking at all of them."""
+    times = fluid(blocks, weights)
+    todo = {(n, j): (math.floor(times[k][j]), math.ceil(times[k][j + 1])) for n, k in enumerate(blocks) for j in range(blocks[k])}
+    out = []
+    for slot in range(len(todo)):
+        n, j = min((b for b, (r, _) in todo.items() if r <= slot), key=lambda b: (todo[b][1], b))
+        release, deadline = todo.pop((n, j))
+        out.append((slot, release, deadline, n, j))
+    return out
+
+
+@given(st.lists(st.tuples(st.integers(0, 12), st.one_of(st.integers(0, 40), st.fractions(0, 3, max_denominator=50))), min_size=1, max_size=7))
+@settings(max_examples=150, deadline=None)
+def test_schedule_matches_a_plain_one_and_stays_within_a_block(given_):
+    blocks = {n: b for n, (b, _) in enumerate(given_)}
+    shares = {n: w for n, (_, w) in enumerate(given_)}
+    got = mixing.schedule(blocks, mixing.whole_weights(shares))
+    assert got == plain_schedule(blocks, shares)
+    times = fluid(blocks, shares)
+    seen = Counter()
+    for t, (slot, release, deadline, n, j) in enumerate(got, 1):
+        assert release <= slot < deadline
+        seen[n] += 1
+        for k, own in times.items():  # the fluid is at whole blocks, or between them and the next where that has begun
+            whole = max(0, sum(x <= t for x in own) - 1)
+            assert whole <= seen[k] <= whole + (own[whole] < t and whole < blocks[k])
 
 
 def test_shares_are_not_rounded():
     """Every prefix of many blocks, against the shares as given, until the first source ends."""
     shares = {"a": 0.61234567, "b": 0.3875543, "c": 0.0001, "d": 20_000**0.7 / 1e9, "e": 1 / 3e6}
     blocks = {"a": 61_000, "b": 50_000, "c": 100, "d": 100, "e": 100}
-    phases = mixing.schedule(blocks, mixing.whole_weights(shares))
-    total, plan = sum(shares.values()), mixing.planned_blocks(phases[:1])
-    order = [s for _, s in sorted(zip(plan["slot"].to_pylist(), plan["__s"].to_pylist()))]
-    assert len(order) > 90_000 and plan["slot"].to_pylist() != [] and sorted(plan["slot"].to_pylist()) == list(range(len(order)))
+    total, names, order = sum(shares.values()), list(shares), mixing.schedule(blocks, mixing.whole_weights(shares))
+    assert [x[0] for x in order] == list(range(sum(blocks.values())))
     seen = Counter()
-    for t, s in enumerate(order, 1):
-        seen[s] += 1
+    for t, (_, _, _, n, _) in enumerate(order[:90_000], 1):
+        seen[names[n]] += 1
         assert all(abs(seen[k] - t * v / total) < 1 + 1e-6 for k, v in shares.items())
-    zero = mixing.planned_blocks(mixing.schedule({"a": 3, "b": 2}, mixing.whole_weights({"a": 0.0, "b": 1.0})))
-    assert [s for _, s in sorted(zip(zero["slot"].to_pylist(), zero["__s"].to_pylist()))] == list("bbaaa")
-    whole = mixing.planned_blocks(phases)
-    assert Counter(whole["__s"].to_pylist()) == blocks and sorted(whole["slot"].to_pylist()) == list(range(sum(blocks.values())))
+    assert [n for _, _, _, n, _ in mixing.schedule({"a": 3, "b": 2}, {"a": 0, "b": 1})] == [1, 1, 0, 0, 0]
+    with pytest.raises(ValueError):
+        mixing.whole_weights({"a": -1.0, "b": 1.0})
+
+
+def test_many_sources_get_their_shares():
+    """Ten thousand sources of shares 1 / k ** 2: the largest is due 0.608 of the slots."""
+    import time
+
+    began = time.perf_counter()
+    sizes = {f"h{k:05d}": 40 if k > 20 else 6000 for k in range(1, 10_001)}
+    weights = mixing.whole_weights({h: 1 / k**2 for k, h in enumerate(sizes, 1)})
+    plan = mixing._planned(sizes, weights, 64)
+    slots = [s for s, slot in zip(plan["s"].to_pylist(), plan["slot"].to_pylist()) if slot < 90]
+    assert len(slots) == 90 and abs(slots.count("sh00001") - 90 * 0.608) < 1.1 and time.perf_counter() - began < 60
+    assert plan["first"].to_pylist()[-1] < sum(sizes.values())
+
+
+def test_query_matches_a_plain_schedule(spark, small):
+    """Row by row: MD5 order within a source, blocks of 64, the plain schedule."""
+    rows = op2_source_mixing(spark, small).collect()
+    ids = {}
+    for r in rows:
+        ids.setdefault(r.source, []).append(r.doc_id)
+    ids = {s: sorted(own, key=lambda d: (hashlib.md5(str(d).encode()).hexdigest(), d)) for s, own in sorted(ids.items())}
+    want, position = {}, 0
+    for slot, release, deadline, n, j in plain_schedule({s: -(-len(x) // 64) for s, x in ids.items()}, {s: Fraction(len(x) ** 0.7) for s, x in ids.items()}):
+        source = list(ids)[n]
+        for k, d in enumerate(ids[source][64 * j : 64 * j + 64]):
+            want[d] = (source, 64 * j + k, j, slot, release, deadline, position)
+            position += 1
+    assert {r.doc_id: (r.source, r.source_rank, r.block, r.slot, r.release, r.deadline, r.position) for r in rows} == want and len(rows) == len(want)
+
+
+def test_fewer_larger_blocks_beyond_the_plan(spark):
+    docs = spark.range(1000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS source")
+    rows = mixing.mix_sources(docs, block_rows=1, max_blocks=20).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(1000)) and 10 < len({(r.source, r.block) for r in rows}) <= 20
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, max_blocks=2)
 
 
 def test_mixing_query_keeps_rows_and_shares(spark, small):
@@ -65,12 +134,12 @@ def test_mixing_query_keeps_rows_and_shares(spark, small):
 
 
 def test_mixing_edge_rows(spark):
-    schema = "doc_id long, source string, text string, position int, __extra string"
-    rows = [(1, "a", "x", 9, "e"), (1, "a", "x", 9, "e"), (None, None, None, None, None), (3, None, "", 1, "e"), (2, "b", "y", 2, "f")]
+    schema = "doc_id long, source string, text string, position int, __extra string, __source string, __Key int, `a.b` int, m map<string,int>"
+    rows = [(d, s, t, p, e, "q", 7, 1, {"x": 1}) for d, s, t, p, e in [(1, "a", "x", 9, "e"), (1, "a", "x", 9, "e"), (None, None, None, None, None), (3, None, "", 1, "e"), (2, "b", "y", 2, "f")]]
     docs = spark.createDataFrame(rows, schema)
     out = mixing.mix_sources(docs, {"a": 2.0, "b": 1.0}, block_rows=1)
     assert sorted(r.position for r in out.collect()) == [0, 1, 2, 3, 4]
-    assert out.columns.count("position") == 1 and "__extra" in out.columns
+    assert out.columns.count("position") == 1 and {(r["__source"], r["__Key"], r["a.b"]) for r in out.collect()} == {("q", 7, 1)}
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
