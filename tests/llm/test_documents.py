@@ -1,4 +1,6 @@
 import hashlib
+import math
+import re
 import zlib
 
 import numpy as np
@@ -42,9 +44,11 @@ def test_exact_dedup_edges_and_full_filter(spark):
 def test_line_dedup_near_threshold_and_edges(spark):
     rows = [(d, f"s{d % 12}", f"own line {d}\nwide\n{'nine' if d % 12 < 9 else 'x' + str(d)}\n{'ten' if d % 12 < 10 else 'y' + str(d)}\n\n \t") for d in range(36)]
     rows += [(100, "s1", None), (101, None, "wide\nwide"), (None, "s2", "wide\nlast"), (None, "s2", "wide\nlast")]
-    docs = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, source string, text string, n_lines string")
+    docs = spark.createDataFrame([(*r, "n", 5, 6, 7) for r in rows], "doc_id long, source string, text string, N_lines string, __id int, __bad int, __n int")
     assert boilerplate_lines(docs).count() == 2
+    assert line_dedup(docs).columns == ["doc_id", "source", "text", "__id", "__bad", "__n", "n_lines", "n_removed"]
     out = line_dedup(docs).collect()
+    assert {(r["__id"], r["__bad"], r["__n"]) for r in out} == {(5, 6, 7)}
     assert len(out) == len(rows) and docs.columns[:3] == ["doc_id", "source", "text"]
     by_id = {r.doc_id: r for r in out if r.doc_id is not None}
     assert by_id[0].text == rows[0][2] and by_id[0].n_removed == 0 and by_id[0].n_lines == 4
@@ -55,6 +59,15 @@ def test_line_dedup_near_threshold_and_edges(spark):
     assert line_dedup(docs.limit(0)).count() == 0
 
 
+def test_a_very_long_document_of_boilerplate(spark):
+    wide = [f"shared line é {i} " + "x" * (i % 90) for i in range(20_000)]
+    rows = [(d, f"s{d}", "\n".join(wide)) for d in range(10)] + [(20, "s1", "\n".join([*wide, "own", *wide]))]
+    out = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)).collect()}
+    assert out[0].n_removed == 0 and out[0].text == rows[0][2]
+    assert all(out[d].n_removed == 20_000 and out[d].text == "" for d in range(1, 10))
+    assert out[20].text == "own" and (out[20].n_removed, out[20].n_lines) == (40_000, 40_001)
+
+
 def plain_metrics(text):
     import re
 
@@ -87,10 +100,77 @@ def test_quality_metrics_and_hosts(spark):
     assert quality_rules(docs.limit(0)).count() == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_features(text, buckets):
+    """{bucket: times} of a text, word by word and byte by byte, without numpy."""
+    p, found = 0x100000001B3, {}
+
+    def mixed(h, seed):
+        h = (h + seed) * 0x9E3779B97F4A7C15 & M64
+        return (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & M64
+
+    def add(h, seed):
+        at = (mixed(h, seed) >> 32) * (buckets - 1) >> 32
+        found[at] = found.get(at, 0) + 1
+
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", text.encode()) if w]
+    if words:
+        line = b" " + b" ".join(words) + b" "
+        for n in (3, 4, 5):
+            for i in range(len(line) - n + 1):
+                if b" " not in line[i + 1 : i + n - 1]:
+                    h = 0
+                    for c in line[i : i + n]:
+                        h = (h * p + c) & M64
+                    add(h, n)
+    for i, w in enumerate(words):
+        add(sum(c * pow(p, k, 1 << 64) for k, c in enumerate(w)) & M64, 1)
+        for d in (1, 2, 3, 4):
+            if i >= d and words[i - d] == w:
+                add(d, 2)
+    found[buckets - 1] = 1
+    return found
+
+
+@given(st.lists(st.sampled_from(["a", "b", "uno", "é", "due", " ", "\n", "\t ", "abcdefg"]), max_size=25).map(" ".join))
+@settings(max_examples=80, deadline=None)
+def test_features_match_a_plain_count(text):
+    ids, counts = classifier.bag(text, 1 << 10)
+    assert dict(zip(ids.tolist(), counts.tolist())) == plain_features(text, 1 << 10)
+
+
+def test_one_step_and_the_score_match_plain_arithmetic():
+    buckets, dim, rate = 64, 3, 0.5
+    rng = np.random.default_rng(3)
+    vectors, output, bias = rng.normal(size=(buckets, dim)), rng.normal(size=(2, dim)), rng.normal(size=2)
+    v, o, b = vectors.tolist(), output.tolist(), bias.tolist()
+    text = "uno due due tre"
+    own = plain_features(text, buckets)
+    total = sum(own.values())
+    hidden = [sum(n / total * v[k][x] for k, n in own.items()) for x in range(dim)]
+    logits = [sum(o[c][x] * hidden[x] for x in range(dim)) + b[c] for c in (0, 1)]
+    p = [math.exp(z) / sum(map(math.exp, logits)) for z in logits]
+    logit = logits[1] - logits[0]
+    model = classifier.Model(vectors @ (output[1] - output[0]), bias[1] - bias[0])
+    assert abs(model.score(text) - 1 / (1 + math.exp(-logit))) < 1e-9 and abs(p[1] - model.score(text)) < 1e-9
+    error = [p[0], p[1] - 1]
+    back = [sum(error[c] * o[c][x] for c in (0, 1)) for x in range(dim)]
+    ids, counts = classifier.bag(text, buckets)
+    classifier.descend(vectors, output, bias, ids, counts / counts.sum(), 1, rate)
+    for c in (0, 1):
+        assert abs(bias[c] - (b[c] - rate * error[c])) < 1e-9
+        assert all(abs(output[c, x] - (o[c][x] - rate * error[c] * hidden[x])) < 1e-9 for x in range(dim))
+    for k in range(buckets):
+        move = rate * min(len(own), 64) * own.get(k, 0) / total
+        assert all(abs(vectors[k, x] - (v[k][x] - move * back[x])) < 1e-9 for x in range(dim))
+
+
 def test_words_hash_alike_anywhere(monkeypatch):
     a, b = (classifier.features(t, 1 << 17) for t in ("uno due tre", "due tre uno"))
-    assert sorted(a) == sorted(b)
-    long = " ".join(f"w{i % 50}" for i in range(3000))
+    assert sorted(a) == sorted(b) and a[-1] == (1 << 17) - 1 not in a[:-1]
+    long = " ".join(f"w{i % 50 // (1 + i % 3)}" for i in range(3000))
     whole = classifier.features(long, 1 << 17)
     monkeypatch.setattr(classifier, "SLICE", 1000)
     assert sorted(classifier.features(long, 1 << 17)) == sorted(whole)
@@ -98,10 +178,20 @@ def test_words_hash_alike_anywhere(monkeypatch):
 
 @pytest.mark.parametrize("labels", [[], [1, 1]])
 def test_classifier_without_two_classes(labels):
-    model = classifier.train(["a b"] * len(labels), labels, buckets=1 << 10)
+    model = classifier.train([classifier.bag("a b", 1 << 10)] * len(labels), labels, buckets=1 << 10)
     assert 0 < model.score("x") < 1 and model.score(None) == model.score("")
 
 
+def test_training_bags_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"word{i} other") for i in range(50)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    every, ys = classifier.training_bags(docs, labels, 1000, 10**6)
+    assert len(every) == len(ys) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(50))
+    few, _ = classifier.training_bags(docs, labels, 1000, 200)
+    assert 1 <= len(few) < len(every) and sum(len(i) for i, _ in few) <= 200
+    assert len(classifier.training_bags(docs, labels, 7, 10**6)[0]) == 7
+
+
 def test_classifier_held_out_accuracy(spark):
     root = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{root}/labels.parquet").collect()}
@@ -114,10 +204,11 @@ def test_classifier_held_out_accuracy(spark):
 
 
 def test_classifier_edges(spark):
-    docs = spark.createDataFrame([(1, None, 5.0), (None, "a", 5.0), (1, "", 5.0)], "doc_id long, text string, score double")
+    docs = spark.createDataFrame([(1, None, 5.0, "x"), (None, "a", 5.0, "x"), (1, "", 5.0, "x")], "doc_id long, text string, Score double, bag string")
     labels = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int")
-    rows = quality_classifier(docs, labels).collect()
-    assert len(rows) == 3 and all(0 <= r.score <= 1 for r in rows) and not any(r.held_out for r in rows if r.doc_id is None)
+    out = quality_classifier(docs, labels)
+    rows = out.collect()
+    assert out.columns == ["doc_id", "text", "bag", "score", "held_out", "predicted"] and len(rows) == 3 and all(0 <= r.score <= 1 for r in rows) and not any(r.held_out for r in rows if r.doc_id is None)
     assert quality_classifier(docs.limit(0), labels.limit(0)).count() == 0
 
 

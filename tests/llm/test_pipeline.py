@@ -89,6 +89,36 @@ def test_packing_follows_the_mixing_order(spark, tmp_path, monkeypatch):
         assert abs(seen - t * share) < 64 + 150
 
 
+def test_stages_keep_columns_of_clashing_names(spark, small):
+    """One further column for every result and temporary name, null ids, nulls, empty, long and repeated rows."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    extra = ["Score", "held_out", "predicted", "n_lines", "N_removed", "position", "slot", "Block", "source_rank", "release", "deadline", "__did", "__th", "__id", "__bad", "__owner", "__new", "__source", "__key", "__range", "__in", "__n", "__before", "id", "t", "h1", "k", "rid", "class_key", "fam", "key", "a.b"]
+    long = " ".join(f"word{i % 977}x{i % 13}" for i in range(60_000))
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "a", 0), (90_001, long, "en", "a", 1), (90_001, long, "en", "a", 1), (90_002, None, None, None, 7)], docs.schema)
+    wide = docs.unionByName(odd).select("*", *(F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(-1))).alias(c) for c in extra))
+    before = {r.doc_id: r for r in wide.collect()}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, wide, small)
+        assert out.columns == wide.columns, name
+        for r in out.collect():
+            assert [r[c] for c in extra] == [f"{c}{-1 if r.doc_id is None else r.doc_id}" for c in extra], name
+            if name != "line_dedup" and r.doc_id is not None:
+                assert r == before[r.doc_id], name
+    pieces = cp.STAGES[-1][1](spark, wide, small).collect()
+    assert {p.doc_id for p in pieces} == set(before) and sum(p.start == 0 for p in pieces) == wide.count()
+
+
+def test_tables_of_finished_stages_are_dropped(spark, small):
+    import os
+
+    from trackloom.llm import scratch
+
+    scratch.clear(spark)
+    rows = cp.run(spark, small)
+    left = os.listdir(scratch._own_folder(spark).removeprefix("file:").replace("//", "/"))
+    assert len(left) == 1 and rows.count() > 0
+
+
 def test_run_and_edge_rows(spark, small, tmp_path):
     assert cp.run(spark, small).count() > 0
     schema = spark.read.parquet(f"{small}/documents.parquet").schema

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trackloom.llm import repeats
 from trackloom.llm.components import components
 from trackloom.llm.memory import trimmed
+from trackloom.llm.names import fresh, own_columns
 from trackloom.llm.scratch import stored
 
 #: With 28 bands of 4 values a pair of similarity 0.8 shares no band once in 2.5 million.
@@ -353,9 +354,14 @@ def _with_keys(docs: DataFrame, threshold: float = 0.8, words: int = 5, toleranc
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each class of jaccard_join: the least id, null ids last, and of repeated rows one."""
+    """docs, unchanged, with one row of each class of jaccard_join: the least id, null ids last, and of rows that share id and text any one.
+
+    Texts without a word (null ones too) are one class.  An empty table gives an
+    empty result; all columns stay.
+    """
     joined = _with_keys(docs, id_col=id_col, text_col=text_col, **options)
+    did, th = fresh(docs.columns, "did", "th")
     best = joined.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"))
-    kept = best.select(F.coalesce("best.doc_id", F.lit(int(LAST))).alias("__did"), F.col("best.th").alias("__th"))
-    keyed = docs.withColumns({"__did": F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))), "__th": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))})
-    return keyed.join(kept, ["__did", "__th"], "left_semi").dropDuplicates(["__did", "__th"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = best.select(F.coalesce("best.doc_id", F.lit(int(LAST))).alias(did), F.col("best.th").alias(th))
+    keyed = docs.withColumns({did: F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))), th: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))})
+    return keyed.join(kept, [did, th], "left_semi").dropDuplicates([did, th]).select(*own_columns(docs))

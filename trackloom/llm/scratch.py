@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, set once, only where none is named (tests)."""
+    """The folder in spark.checkpoint.dir.
+
+    Where none is named, one process that is driver and executors (local[...])
+    takes a temporary folder, set once; on a cluster that is an error, as
+    executors don't see each other's folders.
+    """
     key = "spark.checkpoint.dir"
     folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{key} must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="trackloom-")
         spark.conf.set(key, folder)
     return folder.rstrip("/")
@@ -24,6 +32,7 @@ def _own_folder(spark: SparkSession) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Deletes this application's tables; for when its results are written."""
+    _made.clear()
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -33,5 +42,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+#: Tables that this driver has written and not dropped, in order.
+_made: list[str] = []
+
+
+def written() -> int:
+    """How many tables stand now, for drop_but_last."""
+    return len(_made)
+
+
+def drop_but_last(spark: SparkSession, since: int) -> None:
+    """Drops the tables written since then but the last, once that one holds all that is still read."""
+    for path in _made[since:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made[since:-1] = []
