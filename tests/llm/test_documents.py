@@ -41,6 +41,17 @@ def test_exact_dedup_edges_and_full_filter(spark):
     assert exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_filters_for_ranges_pass_the_same_share(spark):
+    """With room for a tenth of the hashes the unique rows still pass: ten filters, not a full one."""
+    hashed = spark.range(400_000).selectExpr("xxhash64(IF(id < 4000, id % 1000, id)) AS h")
+    share = lambda cap: exact_dedup_flagged(hashed, cap).where("maybe").count()
+    from trackloom.llm.exact_dedup import _flagged
+
+    exact_dedup_flagged = lambda df, cap: _flagged(df, 400_000, 16, cap)
+    whole, ranges = share(32 << 20), share(1 << 17)
+    assert 4000 <= whole < 8000 and 4000 <= ranges < 8000
+
+
 def test_line_dedup_near_threshold_and_edges(spark):
     rows = [(d, f"s{d % 12}", f"own line {d}\nwide\n{'nine' if d % 12 < 9 else 'x' + str(d)}\n{'ten' if d % 12 < 10 else 'y' + str(d)}\n\n \t") for d in range(36)]
     rows += [(100, "s1", None), (101, None, "wide\nwide"), (None, "s2", "wide\nlast"), (None, "s2", "wide\nlast")]

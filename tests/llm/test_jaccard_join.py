@@ -60,6 +60,26 @@ def test_blocks_give_the_same_links(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in jj.jaccard_join(docs).collect()} == brute(rows)
 
 
+@given(st.lists(st.sampled_from(["a", "bb", "é", " ", "\n", "  ", "word", "x" * 30]), max_size=60).map("".join), st.integers(1, 40))
+@settings(max_examples=150, deadline=None)
+def test_slices_give_the_same_sets(text, size):
+    whole = jj.gram_sets([text.encode()])[0]
+    before, jj.SLICE = jj.SLICE, size
+    try:
+        assert jj.gram_sets([text.encode(), b"y z"])[0].tolist() == whole.tolist()
+    finally:
+        jj.SLICE = before
+
+
+def test_very_long_texts_and_a_full_filter(spark):
+    long = [f"w{i % 90_001}" for i in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["other", *long])), (3, "x" * 3_000_000), (4, "x" * 3_000_000 + " y"), (5, "a b c d e f g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0)}
+    for cap in (64 << 20, 0):
+        assert {r.doc_id: (r.class_id, r.n_links) for r in jj.jaccard_join(docs, max_filter_bytes=cap).collect()} == want
+
+
 def test_edge_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, "c d"), (2, None)], "doc_id long, text string")
     got = sorted((r.class_id is None, r.class_id or 0, r.n_links) for r in jj.jaccard_join(docs).collect())

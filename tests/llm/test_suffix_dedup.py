@@ -72,3 +72,50 @@ def test_overlaps_periods_and_edges(spark):
     assert sd.suffix_dedup(docs.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, a), (1, a), (None, a), (None, a)], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.n_removed) for r in sd.suffix_dedup(twice).collect()) == [(False, 0)] * 2 + [(True, len(a.encode()))] * 2
+
+
+@given(st.integers(0, 10**6))
+@settings(max_examples=40, deadline=None)
+def test_slices_have_the_same_strings(seed):
+    """Every start of a long enough string lies in one run, with the anchor that it has in the whole."""
+    rng = random.Random(seed)
+    docs = [bytes(rng.choice(b"ab c") for _ in range(rng.randrange(0, 260))) for _ in range(4)]
+    data, starts = sd._joined(docs)
+    spread = lambda a, d, lo, hi: sorted((x, int(h), k) for h, k, i, j in zip(a, d.tolist(), lo.tolist(), hi.tolist()) for x in range(i, j + 1))
+    whole = spread(*sd.runs(data, starts, 50))
+    before, sd.SLICE = sd.SLICE, 70
+    try:
+        assert spread(*sd.sliced_runs(data, starts, 50)) == whole
+    finally:
+        sd.SLICE = before
+
+
+def test_a_hot_anchor_is_split_and_long_texts_are_cut(spark, monkeypatch):
+    """One 40-byte piece between different neighbours: no group gets all its strings, and the result is that of brute force."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    piece, common = noise(40), noise(130)
+    texts = {i: noise(70) + piece + noise(70) + (common if i % 50 == 0 else "") for i in range(1500)}
+    texts[2000] = noise(3000) + common + noise(2000) + texts[7]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want = brute({d: t.encode() for d, t in texts.items()}, 100)
+    monkeypatch.setattr(sd, "HOT", 640)
+    monkeypatch.setattr(sd, "SLICE", 5000)
+    own = docs.selectExpr("doc_id AS did", "xxhash64(text) AS dh", "CAST(text AS BINARY) AS t")
+
+    def anchors(batches):
+        import pyarrow as pa
+
+        for _, _, parts in sd._portions(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(sd.sliced_runs(*sd._joined(parts), 100)[0].view(np.int64))], ["anchor"])
+
+    assert len(sd._hot_anchors(own, anchors)) >= 1
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.suffix_dedup(docs).collect()}
+    assert got == want
+    data, starts = sd._joined([t.encode() for t in texts.values()])
+    a, d, lo, hi = sd.runs(data, starts, 100)
+    hot = a == np.unique(a)[np.unique(a, return_counts=True)[1].argmax()]
+    assert hot.sum() >= 500
+    b, _, x, y = sd._string_by_string(data, a, d, lo, hi, hot, 100)
+    groups = np.bincount((b % np.uint64(64)).astype(int), weights=y - x + 100)
+    assert groups.max() < 3 * np.median(groups) and (y - x + 1).sum() == (hi - lo + 1).sum()

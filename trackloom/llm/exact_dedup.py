@@ -11,6 +11,25 @@ from trackloom.llm.scratch import stored
 HOT_SHARE = 1000
 
 
+def _flagged(hashed: DataFrame, rows: int, bits_per_row: int, max_filter_bytes: int) -> DataFrame:
+    """hashed with maybe: whether the hash h may be repeated.
+
+    Where the filter of all hashes would be larger than max_filter_bytes, ranges
+    of hashes have one each, one after the other: rows of a range are sorted
+    together in their files, so each pass reads its own part of the table.
+    """
+    passes = max(1, -(-rows * bits_per_row // (8 * max_filter_bytes)))
+    parts = None
+    for k in range(passes):
+        low, high = (-(1 << 63) + (1 << 64) * x // passes for x in (k, k + 1))
+        own = hashed.where(F.col("h").between(low, high - 1)) if passes > 1 else hashed
+        maybe = repeats.tester(hashed.sparkSession, repeats.repeated_filter(own.select("h"), rows // passes, bits_per_row, max_bytes=max_filter_bytes))
+        one = own.withColumn("maybe", maybe("h"))
+        one = stored(one, "flagged") if passes > 1 else one
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bytes: int = 32 << 20) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -20,21 +39,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result.
 
     Pass one hashes every text and builds the filter of possibly repeated
-    hashes.  Pass two tests each row: rows outside the filter are unique and
-    pass straight through; the others are grouped by SHA-256.  Groups with a
-    large share of all rows (a bounded number) are joined back by broadcast,
-    the rest by a shuffle of (id, digest) rows.
+    hashes; with more rows than max_filter_bytes holds at bits_per_row, a filter
+    for each range of hashes.  Pass two tests each row: rows outside the filter
+    are unique and pass straight through; the others are grouped by SHA-256, at
+    any size the same share of rows.  Groups with a large share of all rows (a
+    bounded number) are joined back by broadcast, the rest by a shuffle of (id,
+    digest) rows.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    hashed = stored(
-        docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", F.xxhash64("t").alias("h"), F.unhex(F.sha2("t", 256)).alias("digest"), F.monotonically_increasing_id().alias("row")),
-        "hashed",
-    )
+    narrow = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", F.xxhash64("t").alias("h"), F.unhex(F.sha2("t", 256)).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    hashed = stored(narrow.sortWithinPartitions("h"), "hashed")
     rows = hashed.count()
-    again = repeats.repeated_filter(hashed.select("h"), rows, bits_per_row, max_bytes=max_filter_bytes)
-    maybe = repeats.tester(spark, again)
-    flagged = hashed.withColumn("maybe", maybe("h"))
+    flagged = _flagged(hashed, rows, bits_per_row, max_filter_bytes)
     single = flagged.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
 
     # nulls compare lowest in a struct, so the largest id wins and nulls come last

@@ -31,12 +31,15 @@ from trackloom.llm.scratch import stored
 BANDS, BAND = 28, 4
 VALUES = BANDS * BAND
 CHECK = 16
-TEXTS = 1 << 19
+TEXTS, SLICE = 1 << 19, 1 << 20
+M64 = (1 << 64) - 1
 #: Members of a bucket block; members and 5-grams of a family block.
 BUCKET_BLOCK, FAMILY_BLOCK, FAMILY_GRAMS = 2048, 512, 1 << 19
 #: Rows a task compares, about.
 ROWS = 20_000
 HOT_SHARE = 1000
+#: Bits an id has in the filter of families.
+FILTER_BITS = 16
 LAST = np.iinfo(np.int64).max
 
 P = np.uint64(0x100000001B3)
@@ -55,8 +58,51 @@ _PARAMETERS = _mixed(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0
 SHIFTS, FACTORS = _PARAMETERS[0], _PARAMETERS[1] | np.uint64(1)
 
 
+def _long_words(text: bytes) -> np.ndarray:
+    """Hashes of a text's words, SLICE bytes at a time; a word that goes on over a cut is put together from its parts."""
+    found, open_ = [], None
+    for lo in range(0, len(text), SLICE):
+        data = np.frombuffer(text[lo : lo + SLICE], np.uint8)
+        gap = np.concatenate(([True], SPACE[data], [True]))
+        begin, end = np.flatnonzero(~gap[1:] & gap[:-1]), np.flatnonzero(gap[1:] & ~gap[:-1])
+        power, back = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), x, np.uint64)))) for x in (P, INVERSE))
+        prefix = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1])))
+        words, sizes = (prefix[end] - prefix[begin]) * back[begin], end - begin
+        if open_ and len(words) and begin[0] == 0:
+            words[0] = (open_[0] + pow(int(P), open_[1], 1 << 64) * int(words[0])) & M64
+            sizes[0] += open_[1]
+        elif open_:
+            found.append(np.array([open_[0]], np.uint64))
+        open_ = None
+        if len(words) and end[-1] == len(data):
+            open_ = (int(words[-1]), int(sizes[-1]))
+            words = words[:-1]
+        found.append(words)
+    if open_:
+        found.append(np.array([open_[0]], np.uint64))
+    return _mixed(np.concatenate(found))
+
+
+def _set_of(words: np.ndarray, n: int) -> np.ndarray:
+    """gram_sets of one text whose words' hashes these are."""
+    if len(words) < n:
+        h = np.zeros(1 if len(words) else 0, np.uint64)
+        for w in words:
+            h = h * P + w
+        return _mixed(h + np.uint64(len(words)))
+    grams = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        grams = grams * P + words[k : k + len(grams)]
+    return np.unique(_mixed(grams))
+
+
 def gram_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
-    """Sorted distinct hashes of the word n-grams of each text; fewer words than n are one gram, none is no gram."""
+    """Sorted distinct hashes of the word n-grams of each text; fewer words than n are one gram, none is no gram.
+
+    A text of more than SLICE bytes is hashed in slices.
+    """
+    if any(len(t) > SLICE for t in texts):
+        return [_set_of(_long_words(t), n) if len(t) > SLICE else gram_sets([t], n)[0] for t in texts]
     data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     edges = np.cumsum([1, *(len(t) + 1 for t in texts)])
     gap = SPACE[data]
@@ -295,6 +341,10 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolera
     integers; null ids come last and give null class ids only among themselves;
     rows with equal ids are rows of their own.  Other columns are ignored; an
     empty table gives an empty result.
+
+    Texts with a possible partner are picked by a filter of their ids up to
+    max_filter_bytes (33 million classes by default), beyond that by a semi
+    join, which shuffles the texts once more and gives the same rows.
     """
     return _with_keys(docs, threshold, words, tolerance, id_col, text_col, max_filter_bytes).drop("class_key")
 
@@ -320,11 +370,14 @@ def _with_keys(docs: DataFrame, threshold: float = 0.8, words: int = 5, toleranc
     edges = _blocks(compared, ["key"], max(partitions, int(total) // ROWS)).groupBy("part").applyInArrow(trimmed(_bucket_task(least)), "a bigint, b bigint")
     families = stored(components(edges).select(F.col("node").alias("rid"), F.col("root").alias("fam")).join(classes, "rid"), "families")
 
-    # the families' texts, found by a filter of their ids before anything shuffles
+    # the families' texts, found before their sets are made: by a filter of their ids, or where they are more than it holds by a join
     wanted = families.select(F.coalesce("first_id", F.lit(int(LAST))).alias("did_"), "k1", "k2", "rid")
-    ids = repeats.member_filter(wanted.select(F.xxhash64("did_").alias("h")), families.count(), max_bytes=max_filter_bytes)
-    maybe = repeats.tester(spark, ids)
-    some = own.withColumn("did", F.coalesce("did", F.lit(int(LAST)))).where(maybe(F.xxhash64("did")))
+    keyed, n_wanted = own.withColumn("did", F.coalesce("did", F.lit(int(LAST)))), families.count()
+    if n_wanted * FILTER_BITS <= 8 * max_filter_bytes:
+        maybe = repeats.tester(spark, repeats.member_filter(wanted.select(F.xxhash64("did_").alias("h")), n_wanted, FILTER_BITS, max_bytes=max_filter_bytes))
+        some = keyed.where(maybe(F.xxhash64("did")))
+    else:
+        some = keyed.join(wanted.select(F.col("did_").alias("did")).distinct(), "did", "left_semi")
 
     def with_sets(batches):
         for batch, first, texts in _portions(batches, 1):

@@ -7,8 +7,9 @@ grouped by the anchor's hash.  Neighbouring strings with one anchor form a
 run; a run and the bytes its strings cover is a context.
 
 1. A two-pass Bloom filter finds anchors that may occur more than once.
-2. Contexts of those anchors are grouped by anchor; equal contexts of a task
-   are first reduced to the earliest, so a hot passage is pre-aggregated.
+2. Contexts of those anchors are grouped by anchor, strings of very frequent
+   anchors by their own hash; equal contexts of a task are first reduced to the
+   earliest, so a hot passage is pre-aggregated.
 3. Each group builds a suffix array of its contexts by two-stage sorting,
    compares neighbours, and marks all but the earliest of equal strings.
 4. Marks are united by document and the covered bytes removed.
@@ -20,6 +21,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from trackloom.llm import repeats
@@ -30,6 +32,10 @@ P = np.uint64(0x100000001B3)
 INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 #: Bytes of text hashed at once, bytes of contexts held for reduction, bytes of contexts sorted at once.
 TEXTS, HELD, SORTED = 1 << 19, 8 << 20, 1 << 20
+#: Starts of strings in a long text whose anchors are found at once.
+SLICE = 1 << 21
+#: An anchor that occurs more often, by a count over one document in SAMPLE, has its strings dealt one by one; how many such anchors there are at most.
+HOT, SAMPLE, MOST_HOT = 20_000, 32, 1_000_000
 #: What a held context takes in memory besides its bytes, about.
 OVERHEAD = 600
 #: Bits an anchor has in the filter, and how many are set.
@@ -86,6 +92,19 @@ def runs(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray,
     return hashes[anchor[first]], np.searchsorted(starts, first, side="right") - 1, first, np.flatnonzero(ends)
 
 
+def sliced_runs(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """runs, SLICE starts at a time where a text is long; a run that goes on over a cut is two."""
+    if len(data) <= SLICE:
+        return runs(data, starts, length)
+    parts = []
+    for lo in range(0, len(data), SLICE):
+        own = data[lo : lo + SLICE + length - 1]
+        inside = starts[(starts > lo) & (starts < lo + len(own))] - lo
+        anchor, _, first, last = runs(own, np.concatenate(([0], inside, [len(own)])), length)
+        parts.append((anchor, np.searchsorted(starts, first + lo, side="right") - 1, first + lo, last + lo))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def words_at(text: np.ndarray) -> np.ndarray:
     """Eight bytes from each place as one number in the order of the bytes; zeros follow the text."""
     padded = text.tobytes() + b"\0" * 8
@@ -238,14 +257,28 @@ def _portions(batches):
             yield ids[first:], hashes[first:], texts
 
 
+def _string_by_string(data: np.ndarray, anchor: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, hot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of hot anchors as runs of one string each, with the string's hash for an anchor."""
+    if not hot.any():
+        return anchor, doc, lo, hi
+    sizes = hi[hot] - lo[hot] + 1
+    starts = np.repeat(lo[hot] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+    own = np.array([xxhash.xxh64_intdigest(data[x : x + length].tobytes()) for x in starts.tolist()], np.uint64)
+    kept = ~hot
+    return np.concatenate((anchor[kept], own)), np.concatenate((doc[kept], np.repeat(doc[hot], sizes))), np.concatenate((lo[kept], starts)), np.concatenate((hi[kept], starts))
+
+
 MARKED = [("b", pa.int32()), ("anchor", pa.int64()), ("did", pa.int64()), ("dh", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("context", pa.binary())]
 
 
-def _marks(groups: int, length: int, shared, size: int):
-    """Contexts of anchors that may be repeated, the earliest of equal ones, and ranges of the rest."""
+def _marks(groups: int, length: int, shared, size: int, hot):
+    """Contexts of anchors that may be repeated, the earliest of equal ones, and ranges of the rest.
+
+    Strings of hot anchors are contexts of their own, dealt by their hash.
+    """
 
     def run(batches):
-        bitmap = np.frombuffer(shared.value, np.uint8, size)
+        bitmap, often = np.frombuffer(shared.value, np.uint8, size), hot.value
         earliest: dict[bytes, tuple] = {}
         marked: list[tuple] = []
         held = 0
@@ -266,9 +299,12 @@ def _marks(groups: int, length: int, shared, size: int):
 
         for ids, hashes, texts in _portions(batches):
             data, starts = _joined(texts)
-            anchor, doc, lo, hi = runs(data, starts, length)
+            anchor, doc, lo, hi = sliced_runs(data, starts, length)
             maybe = repeats._get(bitmap, repeats.positions(anchor, size * 8, FILTER_SET)).all(axis=1)
-            for a, d, x, y in zip(anchor[maybe], doc[maybe].tolist(), lo[maybe].tolist(), hi[maybe].tolist(), strict=True):
+            anchor, doc, lo, hi = (x[maybe] for x in (anchor, doc, lo, hi))
+            if len(often):
+                anchor, doc, lo, hi = _string_by_string(data, anchor, doc, lo, hi, np.isin(anchor.view(np.int64), often), length)
+            for a, d, x, y in zip(anchor, doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
                 context = data[x : y + length].tobytes()
                 place = (int(ids[d]), int(hashes[d]), x - int(starts[d]), y - int(starts[d]), a)
                 other = earliest.setdefault(context, place)
@@ -353,6 +389,13 @@ def _cut(length: int):
     return run
 
 
+def _hot_anchors(docs: DataFrame, anchors) -> np.ndarray:
+    """Anchors that occur more than HOT times, by a count over one document in SAMPLE, MOST_HOT at most; they only say how strings are dealt."""
+    counts = docs.where(F.pmod(F.xxhash64("did", "dh"), F.lit(SAMPLE)) == 0).mapInArrow(anchors, "anchor bigint").groupBy("anchor").agg(F.count("*").alias("n"))
+    found = counts.where(F.col("n") > HOT // SAMPLE).orderBy(F.col("n").desc(), "anchor").limit(MOST_HOT).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in found], np.int64))
+
+
 def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4 << 20, max_filter_bytes: int = 32 << 20) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans and kept, the bytes that stay.
 
@@ -364,9 +407,12 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     document and each get its result.  Other columns are ignored; an empty
     table gives an empty result.
 
-    The filter is the only thing sent to all executors, max_filter_bytes at
-    most; when more anchors fill it, more contexts shuffle and the result is
-    the same.  No task holds more than a group of about group_bytes contexts.
+    The filter, max_filter_bytes at most, and MOST_HOT anchors are sent to all
+    executors.  When anchors outgrow the filter (from 1.2 GB of text by
+    default), more contexts shuffle and the result is the same.  A group has
+    about group_bytes of contexts: strings around an anchor of more than HOT
+    occurrences are dealt one by one, and equal ones of a task are reduced to
+    the earliest first.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
@@ -377,7 +423,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
 
     def anchors(batches):
         for _, _, texts in _portions(batches):
-            found = runs(*_joined(texts), length)[0]
+            found = sliced_runs(*_joined(texts), length)[0]
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["anchor"])
 
     long_enough = own.where(F.length("t") >= length)
@@ -385,7 +431,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     again = repeats.repeated_filter(long_enough.mapInArrow(trimmed(anchors), "anchor bigint"), total // per_anchor, FILTER_BITS, FILTER_SET, max_filter_bytes)
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // group_bytes)
     shared = spark.sparkContext.broadcast(again.tobytes())
-    marks = long_enough.mapInArrow(trimmed(_marks(groups, length, shared, len(again))), "b int, anchor bigint, did bigint, dh bigint, lo bigint, hi bigint, context binary")
+    often = spark.sparkContext.broadcast(_hot_anchors(long_enough, trimmed(anchors)))
+    marks = long_enough.mapInArrow(trimmed(_marks(groups, length, shared, len(again), often)), "b int, anchor bigint, did bigint, dh bigint, lo bigint, hi bigint, context binary")
     ranges = marks.groupBy("b").applyInArrow(trimmed(_sorted_group(length)), RANGES)
     per_doc = ranges.groupBy(F.col("did").alias("did_"), F.col("dh").alias("dh_")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = own.join(per_doc, (F.coalesce("did", F.lit(int(LAST))) == F.col("did_")) & (F.col("dh") == F.col("dh_")), "left")
