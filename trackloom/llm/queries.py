@@ -132,7 +132,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     files = docs.select("doc_id", "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
     found = license_scan(files)
-    return found.select("doc_id", "path", "license", F.round("score", 6).alias("score"), "first_line", "end_line", "origin", "license_dir")
+    return found.select("doc_id", "path", "license", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "first_line", "end_line", "origin", "license_dir")
 
 
 QUERIES = {
