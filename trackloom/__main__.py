@@ -104,9 +104,9 @@ def pose_scores(run: Run, a) -> str:
 
 def review_bundle(run: Run, a) -> str:
     base, new = Run(run.spark, a.base), Run(run.spark, a.new)
-    have = lambda r: {n: r.read(n) for n in (*bundle.TABLES, "embeddings") if tables.exists(run.spark, f"{r.folder}/{n}/pointer.json")}
+    have = lambda r: {n: r.read(n) for n in (*bundle.TABLES, "embeddings") if tables.has_version(run.spark, f"{r.folder}/{n}")}
     parts = have(new)
-    if tables.exists(run.spark, f"{new.folder}/pseudo_assignments/pointer.json"):
+    if tables.has_version(run.spark, f"{new.folder}/pseudo_assignments"):
         parts["assignments"] = new.read("pseudo_assignments")
         parts.pop("labels", None)
     return "\n".join(run.write(n, df) for n, df in bundle.review_bundle(have(base), parts, a.now, a.prefix).items())
@@ -114,7 +114,7 @@ def review_bundle(run: Run, a) -> str:
 
 def ingest(run: Run, a) -> str:
     found = tables.scan_files(run.spark, a.videos, a.pattern)
-    return run.write("videos", run.read("videos").unionByName(registry.ingest(run.read("videos"), found, a.camera), allowMissingColumns=True) if tables.exists(run.spark, f"{run.folder}/videos/pointer.json") else registry.ingest(found.limit(0), found, a.camera))
+    return run.write("videos", run.read("videos").unionByName(registry.ingest(run.read("videos"), found, a.camera), allowMissingColumns=True) if tables.has_version(run.spark, f"{run.folder}/videos") else registry.ingest(found.limit(0), found, a.camera))
 
 
 def timestamp_import(run: Run, a) -> str:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 #: Texts of booleans, identity prefix, session hours, weekdays, OCR and file-name patterns.
 TRUE_TEXTS = ("true", "1", "yes", "y", "on")
@@ -150,10 +148,31 @@ def annotation(entity: Column, status: Column, similarity: Column, first: Column
     return F.when((status == "PREDICTED") & similarity.isNotNull(), predicted).when((status == "AMBIGUOUS") & first.isNotNull(), F.concat(F.lit("AMBIGUOUS · "), first, F.lit(" / "), second)).otherwise(name)
 
 
-@F.pandas_udf(T.StringType())
-def uuid5_url(text: pd.Series) -> pd.Series:
-    """Name-based UUIDs in the URL namespace, which Spark has no function for."""
-    return text.map(lambda t: str(uuid.uuid5(uuid.NAMESPACE_URL, t)), na_action="ignore")
+#: The URL namespace of name-based UUIDs, and what its variant bits make of a hexadecimal digit.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+VARIANT_FROM, VARIANT_TO = "0123456789abcdef", "89ab89ab89ab89ab"
+
+
+def uuid5_url(text: Column) -> Column:
+    """Name-based UUIDs (version 5) in the URL namespace: the SHA-1 of namespace and name with the version and variant set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), text.cast("binary")))
+    part = lambda a, n: F.substring(h, a + 1, n)
+    return F.concat_ws("-", part(0, 8), part(8, 4), F.concat(F.lit("5"), part(13, 3)), F.concat(F.translate(part(16, 1), VARIANT_FROM, VARIANT_TO), part(17, 3)), part(20, 12))
+
+
+def cache_key(*values: Column, length: int = 12) -> Column:
+    """A short name of what a made file depends on: the SHA-1 of the values as JSON."""
+    return short_sha1(F.to_json(F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values)))), length=length)
+
+
+def rescaled(value: Column, low: Column, high: Column, size: float) -> Column:
+    """A coordinate of a picture scaled to size, back in the frame from which low to high was cut."""
+    return value * ((high - low) / size) + low
+
+
+def in_body(value: Column, low: Column, length: Column) -> Column:
+    """A coordinate from a box's edge in body lengths, at least one pixel long."""
+    return (value - low) / F.greatest(F.lit(1.0), length)
 
 
 # vectors ------------------------------------------------------------------

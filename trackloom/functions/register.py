@@ -15,6 +15,14 @@ SQL_FUNCTIONS = {
         rf"""CASE WHEN regexp_extract(trim(value), r'(?i)^{exprs.ID_PREFIX}[\s_-]*0*([0-9]+)$', 1) <> ''
              THEN format_string('{exprs.ID_PREFIX}_%04d', try_cast(regexp_extract(trim(value), r'(?i)^{exprs.ID_PREFIX}[\s_-]*0*([0-9]+)$', 1) AS BIGINT)) ELSE coalesce(trim(value), '') END""",
     ),
+    "tl_uuid5": (
+        "name STRING",
+        "STRING",
+        f"""concat_ws('-', substr(sha1(concat(unhex('{exprs.URL_NAMESPACE}'), cast(name AS BINARY))), 1, 8), substr(sha1(concat(unhex('{exprs.URL_NAMESPACE}'), cast(name AS BINARY))), 9, 4),
+             '5' || substr(sha1(concat(unhex('{exprs.URL_NAMESPACE}'), cast(name AS BINARY))), 14, 3),
+             translate(substr(sha1(concat(unhex('{exprs.URL_NAMESPACE}'), cast(name AS BINARY))), 17, 1), '{exprs.VARIANT_FROM}', '{exprs.VARIANT_TO}') || substr(sha1(concat(unhex('{exprs.URL_NAMESPACE}'), cast(name AS BINARY))), 18, 3),
+             substr(sha1(concat(unhex('{exprs.URL_NAMESPACE}'), cast(name AS BINARY))), 21, 12))""",
+    ),
     "tl_overlap_seconds": (
         "s1 TIMESTAMP, e1 TIMESTAMP, s2 TIMESTAMP, e2 TIMESTAMP",
         "DOUBLE",
@@ -22,7 +30,7 @@ SQL_FUNCTIONS = {
     ),
 }
 #: Name and Arrow kernel of the others.
-KERNELS = {"tl_uuid5": exprs.uuid5_url, "tl_sharpness": kernels.sharpness, "tl_layout": kernels.layout, "tl_histogram": kernels.histogram, "tl_fingerprint": kernels.fingerprint}
+KERNELS = {"tl_sharpness": kernels.sharpness, "tl_layout": kernels.layout, "tl_histogram": kernels.histogram, "tl_fingerprint": kernels.fingerprint}
 
 
 def register(spark: SparkSession) -> None:

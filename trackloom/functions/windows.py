@@ -13,6 +13,11 @@ def keep_one(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return ranked.where("__n = 1").drop("__n")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A number for a row by its values: an order that doesn't depend on partitioning, for tables without a sequence."""
+    return F.xxhash64(*(f"`{f.name}`" for f in df.schema if "map<" not in f.dataType.simpleString()))
+
+
 def latest_wins(df: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
     return keep_one(df, keys, F.col(sequence).desc_nulls_last())
 
@@ -51,10 +56,3 @@ def grouped_median_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
     medians = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"))
     deviations = df.select(*keys, value).join(medians, list(keys)).withColumn("__d", F.abs(F.col(value) - F.col("median")))
     return deviations.groupBy(*keys).agg(F.first("median").alias("median"), F.percentile("__d", F.lit(0.5)).alias("mad"))
-
-
-def running_precision(df: DataFrame, keys: Sequence[str], relevant: str, *order: Column) -> DataFrame:
-    """Rank of each row and the precision of the list down to it."""
-    own = Window.partitionBy(*keys).orderBy(*order)
-    hits = F.sum(F.col(relevant).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("rank", F.row_number().over(own)).withColumn("precision", hits / F.col("rank"))

@@ -11,8 +11,12 @@ from trackloom.operators.similarity import PROVENANCE
 
 
 def keyed_union(base: DataFrame, new: DataFrame, keys: Sequence[str] = (), keep: str = "last", sequence: str | None = None) -> DataFrame:
-    """Rows of both by name, missing columns null; of rows with a key the last (or first) stays, new rows coming after base ones."""
-    order = lambda df, n: df.withColumn("__o", F.struct(F.lit(n).alias("n"), (F.col(sequence) if sequence else F.monotonically_increasing_id()).alias("m")))
+    """Rows of both by name, missing columns null; of rows with a key the last (or first) stays, new rows coming after base ones.
+
+    Rows of one side that share a key follow in the order of sequence; without
+    one, of a hash of the row, whatever the partitioning.
+    """
+    order = lambda df, n: df.withColumn("__o", F.struct(F.lit(n).alias("n"), (F.col(sequence) if sequence else windows.row_hash(df)).alias("m")))
     both = order(base, 0).unionByName(order(new, 1), allowMissingColumns=True)
     if not keys:
         return both.drop("__o")
@@ -36,7 +40,7 @@ def new_labels(assignments: DataFrame, tracks: DataFrame, predictions: DataFrame
     """Unassigned labels of a new run, with the model's guess as a note."""
     place = tracks.select("tracklet_id", "session_id", "video_id").dropDuplicates(["tracklet_id"])
     rows = assignments.select("tracklet_id", "pseudo_id").join(place, "tracklet_id")
-    note = F.lit("")
+    note = F.lit("")  # the note's form is a fixed value
     if predictions is not None:
         guess = predictions.select("tracklet_id", "top_1_id", "top_1_score", "predicted")
         rows = rows.join(guess, "tracklet_id", "left")

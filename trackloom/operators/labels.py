@@ -95,13 +95,22 @@ def load_labels(tracks: DataFrame, assignments: DataFrame | None = None, existin
     empty = {"entity_id": F.lit(""), "confirmed": F.lit(False), "assignment_source": F.lit(""), "notes": F.lit(""), "updated_at": F.lit("")}
     base = base.withColumns(empty)
     if existing is not None:
-        last = windows.latest_wins(existing.withColumn("__s", F.col(sequence) if sequence else F.monotonically_increasing_id()), ["tracklet_id"], "__s")
+        last = windows.latest_wins(existing.withColumn("__s", F.col(sequence) if sequence else windows.row_hash(existing)), ["tracklet_id"], "__s")
         given = [c for c in empty if c in existing.columns]
         base = base.join(last.select("tracklet_id", *(F.col(c).alias(f"__{c}") for c in given)), "tracklet_id", "left").withColumns({c: F.coalesce(f"__{c}", c) for c in given}).drop(*(f"__{c}" for c in given))
     out = base.withColumn("entity_id", exprs.normal_id(F.col("entity_id")))
     return out.withColumn("confirmed", F.col("confirmed") & (F.col("entity_id") != "")).select("tracklet_id", "pseudo_id", "session_id", "video_id", *empty)
 
 
+def matching(labels: DataFrame, text: str, columns: Sequence[str] = ("entity_id", "tracklet_id")) -> DataFrame:
+    """Rows with text anywhere in one of the columns, in either case; an empty text matches all."""
+    wanted = F.lit(text.strip().upper())
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.contains(F.upper(F.coalesce(F.col(c).cast("string"), F.lit(""))), wanted)
+    return labels.where(found)
+
+
 def checked_unique(labels: DataFrame) -> DataFrame:
     """labels; an error if a track has more than one row."""
     if labels.groupBy("tracklet_id").agg(F.count("*").alias("n")).where("n > 1").head(1):

@@ -13,15 +13,19 @@ CORRECTED = ("recording_start", "recording_end", "timestamp_source", "timestamp_
 
 
 def mark_duplicates(files: DataFrame, hash_col: str = "sha256", order_col: str = "path", id_col: str = "video_id") -> DataFrame:
-    """is_duplicate and duplicate_of: the id of the first row, by order, with the same hash.
+    """is_duplicate and duplicate_of: the id of the first row, by order and then id, with the same hash.
 
-    The first of each hash is an aggregate that combines before the shuffle, so
-    a hash of many copies costs one row a task; its join back may be split.
+    A file without a hash is a duplicate of nothing.  The first of each hash is
+    an aggregate that combines before the shuffle, so a hash of many copies
+    costs one row a task; its join back may be split.
     """
-    first = files.groupBy(hash_col).agg(F.min(F.struct(F.col(order_col).alias("order"), F.col(id_col).alias("id"))).alias("__first"))
-    marked = files.join(first, hash_col)
-    again = F.col(order_col) != F.col("__first.order")
-    return marked.withColumns({"is_duplicate": again, "duplicate_of": F.when(again, F.col("__first.id"))}).drop("__first")
+    place = F.struct(F.col(order_col).alias("order"), F.col(id_col).alias("id"))
+    hashed = files.where(F.col(hash_col).isNotNull())
+    marked = hashed.join(hashed.groupBy(hash_col).agg(F.min(place).alias("__first")), hash_col)
+    again = place > F.col("__first")
+    known = marked.withColumns({"is_duplicate": again, "duplicate_of": F.when(again, F.col("__first.id"))}).drop("__first")
+    unknown = files.where(F.col(hash_col).isNull()).withColumns({"is_duplicate": F.lit(False), "duplicate_of": F.lit(None).cast(files.schema[id_col].dataType)})
+    return known.unionByName(unknown).select(*(c for c in files.columns if c not in ("is_duplicate", "duplicate_of")), "is_duplicate", "duplicate_of")
 
 
 def usable(manifest: DataFrame) -> DataFrame:
@@ -101,12 +105,13 @@ def overlapping_pairs(manifest: DataFrame, id_col: str, camera_col: str, start_c
 def overlay(raw: DataFrame, corrections: DataFrame, key: str = "video_id", columns: Sequence[str] = CORRECTED, source_col: str | None = "timestamp_source", sequence: str | None = None) -> DataFrame:
     """raw with the non-null values of reviewed corrections; of a key's corrections the last applied wins, column by column.
 
-    Only rows whose source is "manual" are applied, where there is a source
+    sequence says which of a key's corrections is applied later; without it one
+    is chosen by a hash of the row, whatever the partitioning.  Only rows whose source is "manual" are applied, where there is a source
     column.  A correction of a key that raw hasn't is an error.
     """
     manual = corrections if source_col is None else corrections.where(F.lower(exprs.stripped(F.col(source_col))) == "manual")
     given = [c for c in columns if c in corrections.columns]
-    order = F.col(sequence) if sequence else F.monotonically_increasing_id()
+    order = F.col(sequence) if sequence else windows.row_hash(corrections)
     last = manual.withColumn("__o", order).groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__o"))).alias(f"__{c}") for c in given))
     if corrections.select(key).join(raw.select(key), key, "left_anti").head(1):
         raise ValueError("a correction names a recording that isn't there")
@@ -133,7 +138,7 @@ def with_recording_time(tracks: DataFrame, manifests: Sequence[DataFrame]) -> Da
     names = ("recording_start", "recording_timestamp", "camera_id", "session_id", "domain", "duration_s")
     merged = None
     for n, manifest in enumerate(manifests):
-        one = manifest.withColumn("__n", F.struct(F.lit(n).alias("n"), F.monotonically_increasing_id().alias("m")))
+        one = manifest.withColumn("__n", F.struct(F.lit(n).alias("n"), windows.row_hash(manifest).alias("m")))
         merged = one if merged is None else merged.unionByName(one, allowMissingColumns=True)
     if merged is None:
         return tracks

@@ -66,7 +66,7 @@ def frame_scores(keypoints: DataFrame, landmarks: Sequence[str] = BACK, min_visi
     order = F.array_position(F.array(*map(F.lit, landmarks)), F.col("keypoint_name"))
     frames = own.groupBy("tracklet_id", "frame_idx").agg(
         F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("x_px").alias("x"), F.col("y_px").alias("y")))).alias("p"), F.count_distinct("keypoint_name").alias("n"),
-        F.count_if(F.col("visibility") < min_visibility).alias("hidden"), F.min("timestamp_s").alias("timestamp_s"), F.first("model_name").alias("model_name"), F.first("model_version").alias("model_version"),
+        F.count_if(F.col("visibility") < min_visibility).alias("hidden"), F.min("timestamp_s").alias("timestamp_s"), F.min("model_name").alias("model_name"), F.min("model_version").alias("model_version"),
     )
     good = frames.where((F.col("n") == len(landmarks)) & (F.col("hidden") == 0))
     return good.withColumn("arch_score", arch_score(F.col("p"))).where("arch_score IS NOT NULL").select("tracklet_id", "frame_idx", "timestamp_s", "arch_score", "model_name", "model_version")
@@ -82,10 +82,16 @@ def frame_reasons(points: Column, required: Sequence[str], occlusion: Column, ju
     rising = falling = F.lit(True)
     for a, b in zip(required, required[1:]):
         rising, falling = rising & (at(a)["x"] <= at(b)["x"]), falling & (at(a)["x"] >= at(b)["x"])
+    #: fixed values: the reasons and their bars
     checks = {"low_visibility": hidden, "occlusion": occlusion > 0.35, "tracker_jump": jump, "implausible_scale_change": ~scale.between(0.65, 1.55), "anatomical_order": ~missing & ~(rising | falling)}
     return F.array_compact(F.array(*(F.when(c, n) for n, c in checks.items())))
 
 
+def reason_counts(reasons: DataFrame, column: str = "reasons") -> DataFrame:
+    """reason and n: how many frames each reason keeps out."""
+    return reasons.select(F.explode(column).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def baseline(observations: DataFrame, keys: Sequence[str], time: str = "observed_at", value: str = "value", window_days: int = 30, min_days: int = 3, epsilon: float = 1e-6) -> DataFrame:
     """Rows with a time and a value, with baseline, mad, baseline_day_count, delta and robust_z.
 
@@ -126,11 +132,15 @@ def history(rows: DataFrame, keys: Sequence[str], value: str, *order: Column, mi
     return out.withColumn("delta_from_baseline", F.col(value) - F.col("personal_baseline"))
 
 
-def import_scores(scores: DataFrame, tracks: DataFrame, labels: DataFrame, manifest: DataFrame | None, existing: DataFrame | None = None, source: str = "") -> DataFrame:
-    """Observations of the tracks' scores, appended to existing ones; an observation of the same track and model stays as it was."""
+def import_scores(scores: DataFrame, tracks: DataFrame, labels: DataFrame, manifest: DataFrame | None, existing: DataFrame | None = None, source: str = "", sequence: str | None = None) -> DataFrame:
+    """Observations of the tracks' scores, appended to existing ones; an observation of the same track and model stays as it was.
+
+    The model is the first one named, in the order of sequence; without one, the
+    least name.
+    """
     score = score_column(scores)
     numeric = scores.where(exprs.number(F.col(score).cast("string")).isNotNull())
-    default = lambda c, d: numeric.agg(F.coalesce(F.first(c, ignorenulls=True), F.lit(d)).alias(c)) if c in scores.columns else numeric.sparkSession.range(1).select(F.lit(d).alias(c))
+    default = lambda c, d: numeric.where(F.col(c).isNotNull()).agg(F.coalesce(F.min_by(c, F.struct(sequence, c)) if sequence else F.min(c), F.lit(d)).alias(c)) if c in scores.columns else numeric.sparkSession.range(1).select(F.lit(d).alias(c))
     model = default("model_name", "keypoint_model").join(default("model_version", "unknown"))  # a row each
     place = tracks.select("tracklet_id", "video_id", "session_id", "start_s").dropDuplicates(["tracklet_id"])
     joined = posture_summary(scores, "tracklet_id", score).join(place, "tracklet_id", "left").join(labels.select("tracklet_id", exprs.normal_id(F.col("entity_id")).alias("entity_id")).dropDuplicates(["tracklet_id"]), "tracklet_id", "left")

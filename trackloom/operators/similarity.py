@@ -8,7 +8,6 @@ merges those.  Nothing is broadcast and no row is made for a pair.
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable
 
 import numpy as np
@@ -157,11 +156,22 @@ CONTENT = PROVENANCE[2:]
 
 
 def check_contract(gallery: DataFrame, queries: DataFrame) -> None:
-    """Raises where both sides' provenance is known and differs; unknown content fields fall back to backend and checkpoint."""
-    one = lambda df: df.select(*(F.first(c, ignorenulls=True).alias(c) if c in df.columns else F.lit(None).alias(c) for c in PROVENANCE)).first() if any(c in df.columns for c in PROVENANCE) else None
-    a, b = one(gallery), one(queries)
-    known = lambda row, c: row is not None and row[c] not in (None, "", "unknown")
-    both = [c for c in PROVENANCE if known(a, c) and known(b, c)]
+    """Raises where a side mixes known provenance, or both sides' is known and differs; unknown content fields fall back to backend and checkpoint.
+
+    Of each field the least and the greatest known value are looked at, so two
+    values of one side are seen wherever they are.
+    """
+    def known(df: DataFrame, side: str) -> dict:
+        given = [c for c in PROVENANCE if c in df.columns]
+        value = {c: F.when(~F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "unknown"), F.col(c).cast("string")) for c in given}
+        row = df.agg(*(f(v).alias(f"{n}_{c}") for c, v in value.items() for n, f in (("least", F.min), ("greatest", F.max)))).first() if given else {}
+        mixed = [c for c in given if row[f"least_{c}"] != row[f"greatest_{c}"]]
+        if mixed:
+            raise ValueError(f"{side} mix embeddings of different {', '.join(mixed)}")
+        return {c: row[f"least_{c}"] for c in given if row[f"least_{c}"] is not None}
+
+    a, b = known(gallery, "the gallery's prototypes"), known(queries, "the queries")
+    both = [c for c in PROVENANCE if c in a and c in b]
     hard = [c for c in both if c in CONTENT]
     soft = [] if len(hard) == len(CONTENT) else [c for c in both if c not in CONTENT]
     for c in hard + soft:
@@ -285,15 +295,23 @@ def evaluate_retrieval(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     def counts(q: pa.Table, c: pa.Table) -> pa.Table:
         names = ["id", "before", "eligible", "best_minus", "best_id"]
         scores, allowed, _ = _evaluation_kernel(q, c, True)
-        cid = np.array(c.column("id").to_pylist())
-        out = []
-        for row, ps in enumerate(q.column("positives").to_pylist()):
-            ok = np.flatnonzero(allowed[row])
-            order = ok[np.lexsort((cid[ok], -scores[row, ok]))]
-            keys = list(zip((-scores[row, order]).tolist(), cid[order].tolist(), strict=True))
-            before = [bisect.bisect_left(keys, (p["minus"], p["cid"])) for p in ps]
-            out.append((before, len(ok), *(keys[0] if keys else (None, None))))
-        return pa.table([q.column("id").combine_chunks(), pa.array([o[0] for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64()), pa.array([o[3] for o in out], c.column("id").type)], names=names)
+        by_id = np.argsort(np.array(c.column("id").to_pylist()), kind="stable")
+        cid = np.array(c.column("id").to_pylist())[by_id]
+        minus = np.where(allowed, -scores, np.inf)[:, by_id]
+        order = np.argsort(minus, axis=1, kind="stable")  # by score, then id
+        ranked = np.take_along_axis(minus, order, axis=1)
+        lists = q.column("positives").combine_chunks()
+        cuts, flat = lists.offsets.to_numpy(), lists.values
+        own, wanted = flat.field("minus").to_numpy(), np.searchsorted(cid, np.array(flat.field("cid").to_pylist()))
+        before = np.zeros(cuts[-1], np.int64)
+        for row in range(len(ranked)):
+            part = slice(cuts[row], cuts[row + 1])
+            low, high = (np.searchsorted(ranked[row], own[part], side) for side in ("left", "right"))
+            # among equal scores, those of a smaller id
+            before[part] = low + [np.searchsorted(order[row, x:y], w) if y > x else 0 for x, y, w in zip(low, high, wanted[part])]
+        eligible, best = allowed.sum(axis=1), order[:, 0]
+        some = pa.array(eligible > 0)
+        return pa.table([q.column("id").combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(before)), pa.array(eligible), pc.if_else(some, pa.array(ranked[:, 0]), None), pc.if_else(some, c.column("id").combine_chunks().take(pa.array(by_id[best])), None)], names=names)
 
     parts = block_compare(asked, own, counts, f"id {kinds['id']}, before array<bigint>, eligible bigint, best_minus double, best_id {kinds['id']}")
     spread = parts.select("id", F.posexplode("before").alias("n", "before"), "eligible", "best_minus", "best_id")
@@ -310,6 +328,36 @@ def retrieval_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("queries"), F.avg(F.col("top1").cast("int")).alias("top1"), F.avg(F.col("top5").cast("int")).alias("top5"), F.avg("average_precision").alias("mean_ap"), F.percentile("correct_rank", F.lit(0.5)).alias("median_rank"))
 
 
+def rank_summary(ranks: DataFrame) -> DataFrame:
+    """One row: queries, top1 and mean average precision of ranks of one relevant item each, whose precision is one by the rank."""
+    return ranks.agg(F.count("*").alias("queries"), F.avg((F.col("rank") == 1).cast("int")).alias("top1"), F.avg(1 / F.col("rank")).alias("mean_ap"))
+
+
+def track_embeddings(frames: DataFrame, tracks: DataFrame, flagged: DataFrame | None = None, backend: str = "unknown", checkpoint: str = "unknown", checkpoint_sha256: str = "", profile: str = "unknown", schema_version: str = "1", floor: float = 0.05) -> DataFrame:
+    """The embeddings table of the valid, unflagged tracks: both vectors of their frames pooled by quality, with provenance.
+
+    frames has tracklet_id, embedding, geometry_embedding and quality.  The crop
+    version is that of the tracks if they have one only, else unknown; the
+    schema version begins with the vector's size.  frames_used and
+    mean_frame_quality say what went in.
+    """
+    valid = tracks.where(F.coalesce("valid", F.lit(False)))
+    if flagged is not None:
+        valid = valid.join(flagged.select("tracklet_id"), "tracklet_id", "left_anti")
+    own = frames.join(valid.select("tracklet_id"), "tracklet_id", "left_semi")
+    pooled = pooled_embeddings(own, "tracklet_id", "embedding", "quality", floor).select("tracklet_id", F.col("prototype").cast("array<float>").alias("embedding"))
+    layout = pooled_embeddings(own, "tracklet_id", "geometry_embedding", "quality", floor).select("tracklet_id", F.col("prototype").cast("array<float>").alias("geometry_embedding"))
+    used = own.groupBy("tracklet_id").agg(F.count("*").alias("frames_used"), F.avg("quality").alias("mean_frame_quality"))
+    crop = F.coalesce("crop_version", F.lit("unknown")) if "crop_version" in valid.columns else F.lit("unknown")
+    one = valid.join(used.select("tracklet_id"), "tracklet_id", "left_semi").agg(F.when(F.min(crop) == F.max(crop), F.min(crop)).otherwise("unknown").alias("crop_version"))
+    places = valid.select("tracklet_id", "session_id", "video_id").dropDuplicates(["tracklet_id"])
+    joined = places.join(pooled, "tracklet_id").join(layout, "tracklet_id").join(used, "tracklet_id").join(F.broadcast(one))  # one row
+    return joined.select(
+        "tracklet_id", "session_id", "video_id", "embedding", "geometry_embedding", F.lit(backend).alias("backend"), F.lit(checkpoint).alias("checkpoint"), F.lit(checkpoint_sha256).alias("checkpoint_sha256"),
+        F.lit(profile).alias("preprocessing_profile"), "crop_version", F.concat_ws("d_", F.size("embedding"), F.lit(schema_version)).alias("embedding_schema_version"), "frames_used", "mean_frame_quality",
+    )
+
+
 def prototype_retrieval(train: DataFrame, queries: DataFrame, entity_col: str = "label", vector_col: str = "embedding") -> DataFrame:
     """id, entity and rank of the query's own entity among the mean prototypes of train; queries of unseen entities are left out.
 
@@ -343,9 +391,3 @@ def _prototype_parts(scored: DataFrame, prototypes: DataFrame, kernel, kind: str
 
 def unit_vectors(df: DataFrame, vector_col: str) -> DataFrame:
     return df.withColumn(vector_col, exprs.unit(F.col(vector_col)))
-
-
-def runner_up_margin(scores: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """Best score of each key and how far it is above the second."""
-    own = Window.partitionBy(*keys).orderBy(F.col(score).desc())
-    return scores.withColumn("__next", F.lead(score).over(own)).withColumn("__n", F.row_number().over(own)).where("__n = 1").select(*keys, score, (F.col(score) - F.col("__next")).alias("margin"))

@@ -136,12 +136,12 @@ SELECT o_orderkey AS video_id, coalesce(d, o_totalprice) AS duration_s, coalesce
 
 def conform_union(spark, sf):
     o = table(spark, sf, "orders")
-    return bundle.keyed_union(o.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus"), o.where("o_orderkey % 3 = 0").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    return bundle.keyed_union(o.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus"), o.where("o_orderkey % 2 = 1 OR o_orderkey % 3 = 0").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
 
 
 def keep_first_append(spark, sf):
     o = table(spark, sf, "orders")
-    return bundle.keyed_union(o.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("old").alias("src")), o.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("new").alias("src")), ["o_orderkey"], "first")
+    return bundle.keyed_union(o.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("old").alias("src")), o.where("o_orderkey % 2 = 1 OR o_orderkey % 3 = 0").select("o_orderkey", F.lit("new").alias("src")), ["o_orderkey"], "first")
 
 
 def latest_state(spark, sf):
@@ -172,13 +172,17 @@ def identity_state(spark, sf):
 
 
 def _identity_events(spark, sf):
-    """Each hundredth event is a merge of a user into the one before or a split of a track; some are undone."""
-    e = table(spark, sf, "events").where("event_id % 100 < 2")
-    user = lambda n: (F.col("user_id") + n).cast("string")
-    merges = e.where("event_id % 200 = 0").select(F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("event_id"), F.lit("merge").alias("operation"), user(-1).alias("target"), F.array(user(0), user(-1)).alias("sources"), F.array().cast("array<string>").alias("tracklets"), F.lit("r").alias("reviewer"), F.lit(None).cast("string").alias("undoes"))
-    split = e.where("event_id % 200 = 100").select(F.col("event_id").alias("seq"), F.col("event_id").cast("string"), F.lit("split"), F.concat(F.lit("n"), F.col("event_id")), F.array(user(0)), F.array(F.col("event_id").cast("string")), F.lit("r"), F.lit(None).cast("string"))
-    undone = e.where("event_id % 500 = 1").select(F.col("event_id").alias("seq"), F.col("event_id").cast("string"), F.lit("undo"), F.lit(None).cast("string"), F.array().cast("array<string>"), F.array().cast("array<string>"), F.lit("r"), (F.col("event_id") - 1).cast("string"))
-    return merges.union(split).union(undone)
+    """The log is the whole supplier table: two merges of a user into the next, a split of a track from its user, and an undo of the split or of the second merge."""
+    k = F.col("s_suppkey")
+    log = table(spark, sf, "supplier").select(k.alias("seq")).join(table(spark, sf, "events").select(F.col("event_id").alias("seq"), "user_id"), "seq", "left")
+    k, turn = F.col("seq"), F.col("seq") % 4
+    text = lambda c: c.cast("string")
+    none = F.array().cast("array<string>")
+    return log.select(
+        "seq", text(k).alias("event_id"), F.when(turn < 2, "merge").when(turn == 2, "split").otherwise("undo").alias("operation"),
+        F.when(turn < 2, text(k % 50 + 1)).when(turn == 2, F.concat(F.lit("n"), k)).alias("target"), F.when(turn < 2, F.array(text(k % 50), text(k % 50 + 1))).when(turn == 2, F.array(text(F.col("user_id")))).otherwise(none).alias("sources"),
+        F.when(turn == 2, F.array(text(k))).otherwise(none).alias("tracklets"), F.lit("r").alias("reviewer"), F.when(turn == 3, text(F.when(k % 8 == 3, k - 1).otherwise(k - 2))).alias("undoes"),
+    )
 
 
 def registry_replay(spark, sf):
@@ -186,9 +190,12 @@ def registry_replay(spark, sf):
     return registry.replay(own, _identity_events(spark, sf))
 
 
-REPLAY = """WITH RECURSIVE ev AS (SELECT event_id, event_id % 200 = 0 AS is_merge, user_id::VARCHAR AS src, CASE WHEN event_id % 200 = 0 THEN (user_id - 1)::VARCHAR ELSE 'n' || event_id END AS dst, row_number() OVER (ORDER BY event_id) AS k FROM events WHERE event_id % 100 = 0 AND event_id % 500 <> 0),
+LOG = """u AS (SELECT CASE WHEN s_suppkey % 8 = 3 THEN s_suppkey - 1 ELSE s_suppkey - 2 END AS k FROM supplier WHERE s_suppkey % 4 = 3),
+ev AS (SELECT s_suppkey AS id, s_suppkey % 4 < 2 AS is_merge, CASE WHEN s_suppkey % 4 < 2 THEN (s_suppkey % 50)::VARCHAR ELSE user_id::VARCHAR END AS src, CASE WHEN s_suppkey % 4 < 2 THEN (s_suppkey % 50 + 1)::VARCHAR ELSE 'n' || s_suppkey END AS dst, row_number() OVER (ORDER BY s_suppkey) AS k
+       FROM supplier LEFT JOIN events ON event_id = s_suppkey WHERE s_suppkey % 4 < 3 AND s_suppkey NOT IN (SELECT k FROM u))"""
+REPLAY = f"""WITH RECURSIVE {LOG},
 r AS (SELECT event_id AS t, user_id::VARCHAR AS entity_id, 0::BIGINT AS k FROM events
-      UNION ALL SELECT r.t, CASE WHEN r.entity_id = ev.src AND (ev.is_merge OR ev.event_id = r.t) THEN ev.dst ELSE r.entity_id END, ev.k FROM r JOIN ev ON ev.k = r.k + 1)
+      UNION ALL SELECT r.t, CASE WHEN r.entity_id = ev.src AND (ev.is_merge OR ev.id = r.t) THEN ev.dst ELSE r.entity_id END, ev.k FROM r JOIN ev ON ev.k = r.k + 1)
 SELECT t::VARCHAR AS tracklet_id, entity_id FROM r WHERE k = (SELECT coalesce(max(k), 0) FROM ev)"""
 
 
@@ -241,10 +248,11 @@ def frame_sampling(spark, sf):
 
 
 def enriched_tracks(spark, sf):
+    """Two manifests that share a fifth of the recordings; a fifth is in neither."""
     e = table(spark, sf, "events")
-    tracks = e.select(F.col("event_id").alias("tracklet_id"), (F.col("event_id") % 500).alias("video_id"), F.when(F.col("event_id") % 2 == 0, "own").alias("domain"))
-    one = e.where("event_id < 300").select(F.col("event_id").alias("video_id"), F.lit("first").alias("domain"), F.lit("c1").alias("camera_id"))
-    two = e.where("event_id BETWEEN 200 AND 400").select(F.col("event_id").alias("video_id"), F.when(F.col("event_id") % 3 > 0, "second").alias("domain"))
+    tracks = e.select(F.col("event_id").alias("tracklet_id"), F.col("event_id").alias("video_id"), F.when(F.col("event_id") % 2 == 0, "own").alias("domain"))
+    one = e.where("event_id % 5 < 3").select(F.col("event_id").alias("video_id"), F.lit("first").alias("domain"), F.lit("c1").alias("camera_id"))
+    two = e.where("event_id % 5 IN (2, 3)").select(F.col("event_id").alias("video_id"), F.when(F.col("event_id") % 3 > 0, "second").alias("domain"))
     return manifest.with_recording_time(tracks, [one, two]).select("tracklet_id", "domain", "camera_id")
 
 
@@ -265,20 +273,20 @@ QUERIES = {
     "auto_last_day_split": (auto_last_day_split, "SELECT event_id AS video_id, CASE WHEN event_id % 50 > 1 AND ts::DATE = (SELECT max(ts::DATE) FROM events WHERE event_id % 50 > 1) THEN 'validation' ELSE 'train' END AS split FROM events"),
     "tracklet_split": (tracklet_split, f"WITH {SPLIT}, t AS (SELECT video_id AS tracklet_id, user_id::VARCHAR AS entity_id, CASE WHEN user_id IN (3, 7) THEN 'open_set_test' WHEN split = 'validation' THEN 'val' ELSE split END AS split FROM s WHERE video_id % 5 > 0 AND video_id % 13 > 0) SELECT * FROM t WHERE split = 'open_set_test' OR entity_id IN (SELECT entity_id FROM t WHERE split IN ('train', 'val') GROUP BY 1 HAVING count(DISTINCT split) = 2)"),
     "correction_overlay": (correction_overlay, OVERLAY),
-    "conform_union": (conform_union, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"),
-    "keep_first_append": (keep_first_append, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS src FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"),
+    "conform_union": (conform_union, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 > 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 2 = 1 OR o_orderkey % 3 = 0 THEN o_totalprice END AS o_totalprice FROM orders"),
+    "keep_first_append": (keep_first_append, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS src FROM orders"),
     "latest_state": (latest_state, "SELECT conv_id, turn, role, length(text) AS n FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"),
     "running_state": (running_state, "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events"),
     "upsert": (upsert, "SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1"),
     "idempotent_append": (idempotent_append, "SELECT DISTINCT user_id, event_type FROM events WHERE user_id % 2 <> 0"),
     "identity_state": (identity_state, "WITH s AS (SELECT user_id || '_' || (event_id % 40) AS entity_id, any_value(user_id) AS u, count(DISTINCT ts::DATE) AS dates FROM events GROUP BY 1) SELECT entity_id, dates, CASE WHEN u % 10 = 0 THEN 'ambiguous' WHEN dates >= 3 THEN 'stable_visual' WHEN dates >= 2 THEN 'visual_confirmed' ELSE 'provisional' END AS identity_state FROM s"),
     "registry_replay": (registry_replay, REPLAY),
-    "merged_identities": (merged_identities, "WITH m AS (SELECT user_id, arg_max(user_id - 1, event_id) AS a FROM events WHERE event_id % 200 = 0 AND event_id % 500 <> 0 GROUP BY 1) SELECT DISTINCT e.user_id::VARCHAR AS display_id, CASE WHEN a IS NULL THEN 'provisional' ELSE 'retired' END AS identity_state, a::VARCHAR AS alias_of FROM events e LEFT JOIN m ON m.user_id = e.user_id"),
+    "merged_identities": (merged_identities, f"WITH {LOG}, m AS (SELECT src, arg_max(dst, id) AS a FROM ev WHERE is_merge GROUP BY 1) SELECT DISTINCT e.user_id::VARCHAR AS display_id, CASE WHEN a IS NULL THEN 'provisional' ELSE 'retired' END AS identity_state, a AS alias_of FROM events e LEFT JOIN m ON src = e.user_id::VARCHAR"),
     "video_states": (video_states, VIDEO_STATES),
     "annotation_text": (annotation_text, "WITH a AS (SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_type ELSE 'UNKNOWN' END AS n, value / 3 AS s FROM events) SELECT event_id, CASE event_id % 3 WHEN 0 THEN n || ' · PREDICTED · similarity=' || printf('%.3f', s) WHEN 1 THEN 'AMBIGUOUS · A / B' ELSE n END AS label FROM a"),
     "pair_keys": (pair_keys, "SELECT least(l_partkey::VARCHAR, l_suppkey::VARCHAR) || '||' || greatest(l_partkey::VARCHAR, l_suppkey::VARCHAR) AS pair_key, count(*) AS n FROM lineitem GROUP BY 1"),
     "evidence_window": (evidence_window, "WITH w AS (SELECT *, greatest(0, l_quantity / 10 - 2) AS a FROM lineitem) SELECT l_orderkey, l_partkey, l_suppkey, round(a, 6) AS low, round(greatest(a, least(l_quantity / 4 + 2, 10)), 6) AS high FROM w"),
     "natural_order": (natural_order, "WITH c AS (SELECT c_custkey, c_name, c_custkey % 3 > 0 AS k FROM customer) SELECT c_custkey, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN k THEN c_custkey END, c_name) AS n FROM c"),
     "frame_sampling": (frame_sampling, "SELECT event_id AS frame_idx, user_id FROM events WHERE event_id % 6 = 0 AND event_id < 5994"),
-    "enriched_tracks": (enriched_tracks, "WITH t AS (SELECT event_id, event_id % 500 AS v FROM events) SELECT event_id AS tracklet_id, coalesce(CASE WHEN v BETWEEN 200 AND 400 AND v < 10000 THEN CASE WHEN v % 3 > 0 THEN 'second' END WHEN v < 300 THEN 'first' END, CASE WHEN event_id % 2 = 0 THEN 'own' END) AS domain, CASE WHEN v < 200 THEN 'c1' END AS camera_id FROM t"),
+    "enriched_tracks": (enriched_tracks, "SELECT event_id AS tracklet_id, coalesce(CASE WHEN event_id % 5 IN (2, 3) THEN CASE WHEN event_id % 3 > 0 THEN 'second' END WHEN event_id % 5 < 2 THEN 'first' END, CASE WHEN event_id % 2 = 0 THEN 'own' END) AS domain, CASE WHEN event_id % 5 < 2 THEN 'c1' END AS camera_id FROM events"),
 }

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from trackloom.plans import manifest_queries, signal_queries, similarity_queries
+    from trackloom.plans import manifest_queries, signal_queries, similarity_queries, workflow_queries
 
-    return similarity_queries, signal_queries, manifest_queries
+    return similarity_queries, signal_queries, manifest_queries, workflow_queries
 
 
 def queries() -> dict[str, Query]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
@@ -125,32 +126,38 @@ def is_pointer_file(content):
 
 
 def write_version(df: DataFrame, folder: str, keep: int = 5) -> str:
-    """Writes a new version of a table and moves its pointer; readers see the old one or the new one, and keep versions stay."""
+    """Writes a new version of a table, then its pointer; keep versions stay.
+
+    A writer claims its number by creating a file that mustn't be there yet; the
+    pointer is a new file too, and readers take the greatest: they see the old
+    version or the new one, at no moment none.
+    """
     spark = df.sparkSession
-    fs, current = _files(spark, folder), _current(spark, folder)
-    version = (current or 0) + 1
+    fs = _files(spark, folder)
+    version = max([0, *_numbers(spark, folder, "claim"), *_numbers(spark, folder, "pointer")]) + 1
+    while not fs.createNewFile(_path(spark, f"{folder}/claim.{version:06d}")):
+        version += 1
     df.write.mode("overwrite").parquet(f"{folder}/version={version:06d}")
-    temporary = _path(spark, f"{folder}/pointer.{version}.tmp")
-    out = fs.create(temporary, True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
-    out.close()
-    target = _path(spark, f"{folder}/pointer.json")
-    fs.delete(target, False)
-    fs.rename(temporary, target)
-    old = sorted(int(re.search(r"version=(\d+)", s.getPath().toString())[1]) for s in fs.listStatus(_path(spark, folder)) if "version=" in s.getPath().toString())
-    for v in old[: max(0, len(old) - keep)]:
-        fs.delete(_path(spark, f"{folder}/version={v:06d}"), True)
+    fs.create(_path(spark, f"{folder}/pointer.{version:06d}"), False).close()
+    for v in sorted(_numbers(spark, folder, "pointer"))[:-keep]:
+        for name in (f"pointer.{v:06d}", f"claim.{v:06d}", f"version={v:06d}"):
+            fs.delete(_path(spark, f"{folder}/{name}"), True)
     return f"{folder}/version={version:06d}"
 
 
-def _current(spark: SparkSession, folder: str) -> int | None:
-    if not exists(spark, f"{folder}/pointer.json"):
-        return None
-    return json.loads(spark.read.text(f"{folder}/pointer.json").first()[0])["version"]
+def _numbers(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    if not exists(spark, folder):
+        return []
+    names = [s.getPath().getName() for s in _files(spark, folder).listStatus(_path(spark, folder))]
+    return [int(m[1]) for n in names if (m := re.fullmatch(rf"{kind}\.(\d+)", n))]
+
+
+def has_version(spark: SparkSession, folder: str) -> bool:
+    return bool(_numbers(spark, folder, "pointer"))
 
 
 def read_version(spark: SparkSession, folder: str, schema: T.StructType | None = None, version: int | None = None) -> DataFrame:
-    number = version or _current(spark, folder)
+    number = version or max(_numbers(spark, folder, "pointer"), default=None)
     if number is None:
         if schema is None:
             raise FileNotFoundError(folder)
@@ -242,6 +249,35 @@ class Settings:
         return replace(self, **flat)
 
 
+def load_settings(path: str | None = None, base: Settings | None = None) -> Settings:
+    """Settings with the changes of a YAML file (JSON where no YAML reader is installed)."""
+    settings = base or Settings()
+    if path is None:
+        return settings
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+    except ImportError:
+        return settings.with_changes(json.loads(text or "{}"))
+    return settings.with_changes(yaml.safe_load(text) or {})
+
+
+def resolved_path(path: str, beside: str) -> str:
+    """A path of a settings file: absolute ones and URLs as they are, others from the file's folder."""
+    return path if "://" in path or os.path.isabs(path) else os.path.normpath(os.path.join(os.path.dirname(os.path.abspath(beside)), path))
+
+
+def existing(df: DataFrame, path_col: str, files: DataFrame) -> DataFrame:
+    """Rows whose file is in a listing (path)."""
+    return df.join(files.select(F.col("path").alias(path_col)).distinct(), path_col, "left_semi")
+
+
+def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
+    """Rows that name a parent that isn't there; null names none."""
+    return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key or key).alias(key)).distinct(), key, "left_anti").select(*child.columns)
+
+
 def anti_append(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of new whose key isn't in existing, one for each key: an idempotent insert."""
     return new.dropDuplicates(list(keys)).join(existing.select(*keys).distinct(), list(keys), "left_anti")
