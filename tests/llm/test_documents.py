@@ -150,6 +150,8 @@ def plain_features(text, buckets):
 def test_features_match_a_plain_count(text):
     ids, counts = classifier.bag(text, 1 << 10)
     assert dict(zip(ids.tolist(), counts.tolist())) == plain_features(text, 1 << 10)
+    again = classifier.unpacked(classifier.packed((ids, counts)))
+    assert again[0].tolist() == ids.tolist() and again[1].tolist() == counts.tolist()
 
 
 def test_one_step_and_the_score_match_plain_arithmetic():
@@ -189,7 +191,7 @@ def test_words_hash_alike_anywhere(monkeypatch):
 
 @pytest.mark.parametrize("labels", [[], [1, 1]])
 def test_classifier_without_two_classes(labels):
-    model = classifier.train([classifier.bag("a b", 1 << 10)] * len(labels), labels, buckets=1 << 10)
+    model = classifier.train([classifier.packed(classifier.bag("a b", 1 << 10))] * len(labels), labels, buckets=1 << 10)
     assert 0 < model.score("x") < 1 and model.score(None) == model.score("")
 
 
@@ -199,7 +201,7 @@ def test_training_bags_are_bounded(spark):
     every, ys = classifier.training_bags(docs, labels, 1000, 10**6)
     assert len(every) == len(ys) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(50))
     few, _ = classifier.training_bags(docs, labels, 1000, 200)
-    assert 1 <= len(few) < len(every) and sum(len(i) for i, _ in few) <= 200
+    assert 1 <= len(few) < len(every) and sum(len(classifier.unpacked(b)[0]) for b in few) <= 200
     assert len(classifier.training_bags(docs, labels, 7, 10**6)[0]) == 7
 
 
