@@ -236,3 +236,37 @@ def test_bundle(spark):
         bundle.joined_embeddings(e("a"), e("a"))
     with pytest.raises(ValueError, match="backend"):
         bundle.joined_embeddings(e("a"), e("b").withColumn("backend", F.lit("c")))
+
+
+def test_entity_scores_of_large_entities(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    owners = ["big"] * 40 + ["mid"] * 7 + [f"e{i % 11}" for i in range(25)] + ["lone"]
+    g = [(f"p{i}", rng.normal(size=4).tolist(), e) for i, e in enumerate(owners)]
+    q = [(f"q{i}", rng.normal(size=4).tolist()) for i in range(9)]
+    size = lambda v: np.array(v) / np.linalg.norm(v)
+    want = {}
+    for name, v in q:
+        for e in set(owners):
+            best = sorted((float(size(v) @ size(p)) for _, p, o in g if o == e), reverse=True)
+            want[name, e] = best[0] if len(best) == 1 else 0.7 * best[0] + 0.3 * float(np.median(best[:3]))
+    queries, gallery = spark.createDataFrame(q, "id string, vector array<double>"), spark.createDataFrame(g, "id string, vector array<double>, entity_id string")
+    plain = sim.block_compare
+    monkeypatch.setattr(sim, "SLICE", 5)
+    monkeypatch.setattr(sim, "block_compare", lambda *a, **k: plain(*a, **k | {"block": 20}))
+    scores = lambda k: {(r.id, r.entity_id): r.score for r in sim.entity_scores(queries, gallery, k).collect()}
+    assert scores(None) == pytest.approx(want)
+    few = scores(2)
+    assert len(few) < len(want) and all(want[x] == pytest.approx(few[x]) for x in few)
+    for r in sim.identify(queries, gallery, -1.0, 0.0, 2).collect():
+        ranked = sorted((e for e in set(owners)), key=lambda e: -want[r.id, e])
+        assert [c.entity_id for c in r.candidates] == ranked[:2]
+
+
+def test_retrieval_among_equal_scores(spark):
+    rows = [(f"t{i:02}", [1.0, float(i % 3)], f"s{i % 5}", "ab"[i % 2]) for i in range(20)]
+    got = {r.query_id: r for r in sim.evaluate_retrieval(vectors(spark, rows)).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, *_ in rows}
+    for name, _, session, label in rows:
+        ranked = sorted(((-round(float(unit[name] @ unit[i]), 9), i, e) for i, _, s, e in rows if s != session))
+        places = [n + 1 for n, x in enumerate(ranked) if x[2] == label]
+        assert got[name].correct_rank == places[0] and got[name].average_precision == pytest.approx(np.mean([(n + 1) / p for n, p in enumerate(places)]))

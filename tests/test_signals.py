@@ -125,3 +125,25 @@ def test_landing_runs_once(spark, tmp_path):
         stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
         incremental.process_landing(stream, lambda df, n: seen.append(df.count()), f"{tmp_path}/c").awaitTermination(120)
     assert sum(seen) == 5
+
+
+def test_baseline_over_spans_and_long_history(spark):
+    rng = np.random.default_rng(5)
+    times = sorted(int(x) for x in rng.integers(0, 400 * 86_400, 300))
+    rows = pd.DataFrame({"k": rng.choice(["a", "a", "b"], 300), "n": range(300), "observed_at": [T0 + timedelta(seconds=t) for t in times], "value": np.round(rng.normal(size=300), 1)})
+    got = posture.baseline(spark.createDataFrame(rows), ["k"], window_days=20).toPandas().set_index("n")
+    assert sorted(got.index) == list(range(300))
+    told = posture.history(spark.createDataFrame(rows), ["k"], "value", F.col("n")).toPandas().set_index("n")
+    for r in rows.itertuples():
+        own = rows[(rows.k == r.k) & (rows.observed_at < r.observed_at)]
+        frame = own[own.observed_at >= r.observed_at - timedelta(days=20)]
+        days = frame.observed_at.dt.date.nunique()
+        assert got.baseline_day_count[r.n] == days
+        if days >= 3:
+            middle = frame.value.median()
+            assert got.baseline[r.n] == pytest.approx(middle) and got.mad[r.n] == pytest.approx((frame.value - middle).abs().median())
+        else:
+            assert pd.isna(got.baseline[r.n])
+        before = rows[(rows.k == r.k) & (rows.n < r.n)].value
+        assert told.observation_order[r.n] == len(before) + 1
+        assert told.personal_baseline[r.n] == pytest.approx(before.median()) if len(before) >= 3 else pd.isna(told.personal_baseline[r.n])

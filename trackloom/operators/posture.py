@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from trackloom.functions import exprs, windows
 
@@ -92,18 +95,27 @@ def reason_counts(reasons: DataFrame, column: str = "reasons") -> DataFrame:
     return reasons.select(F.explode(column).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+#: A baseline's time line is cut into spans of this many windows.
+SPAN = 4
+
+
 def baseline(observations: DataFrame, keys: Sequence[str], time: str = "observed_at", value: str = "value", window_days: int = 30, min_days: int = 3, epsilon: float = 1e-6) -> DataFrame:
     """Rows with a time and a value, with baseline, mad, baseline_day_count, delta and robust_z.
 
     The baseline is the median of the key's values in the window before the row,
     its time and later ones left out; null unless they fall on min_days dates.
-    Each key's rows are sorted once and the frame moves over them.
+    A key's time line is cut into spans of SPAN windows, each with a copy of the
+    window before it, so a key of many rows is several tasks.
     """
     own = observations.where(F.col(time).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    own = own.withColumn("__us", exprs.micros(F.col(time)))
-    frame = Window.partitionBy(*keys).orderBy("__us").rangeBetween(-window_days * 86_400_000_000, -1)
+    window = window_days * 86_400_000_000
+    span = lambda us: F.floor(us / F.lit(SPAN * window))
+    timed = own.withColumn("__us", exprs.micros(F.col(time)))
+    here, later = span(F.col("__us")), span(F.col("__us") + window)
+    spread = timed.withColumn("__span", F.explode(F.when(later > here, F.array(here, later)).otherwise(F.array(here))))
+    frame = Window.partitionBy(*keys, "__span").orderBy("__us").rangeBetween(-window, -1)
     days = F.size(F.collect_set(F.to_date(time)).over(frame))
-    held = own.withColumns({"baseline_day_count": days, "__values": F.collect_list(F.col(value).cast("double")).over(frame)})
+    held = spread.withColumns({"baseline_day_count": days, "__values": F.collect_list(F.col(value).cast("double")).over(frame)}).where(F.col("__span") == here).drop("__span")
     enough = F.col("baseline_day_count") >= min_days
     median = held.withColumn("baseline", F.when(enough, windows.array_median(F.col("__values"))))
     mad = median.withColumn("mad", F.when(enough, windows.array_mad(F.col("__values"), F.col("baseline"))))
@@ -124,11 +136,38 @@ def alerts(rows: DataFrame, keys: Sequence[str], *order: Column, z: str = "robus
 
 
 def history(rows: DataFrame, keys: Sequence[str], value: str, *order: Column, min_values: int = 3) -> DataFrame:
-    """rows with observation_order, personal_baseline (median of all earlier values, from min_values) and delta_from_baseline."""
+    """rows with observation_order, personal_baseline (median of all earlier values, from min_values) and delta_from_baseline.
+
+    Nulls are no values; NaN counts as infinity.  A pass over the sorted rows
+    keeps the lower and the upper half of a key's values in two heaps, so a key
+    of n rows takes n log n steps.
+    """
     own = Window.partitionBy(*keys).orderBy(*order)
-    before = own.rowsBetween(Window.unboundedPreceding, -1)
-    base = F.when(F.count(value).over(before) >= min_values, F.percentile(value, F.lit(0.5)).over(before))
-    out = rows.withColumns({"observation_order": F.row_number().over(own), "personal_baseline": base})
+    numbered = rows.withColumns({"observation_order": F.row_number().over(own), "__v": F.col(value).cast("double")})
+    schema = T.StructType([*numbered.schema.fields, T.StructField("personal_baseline", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: list[float] = []  # negated
+        high: list[float] = []
+        last = 0
+        for batch in batches:
+            out = []
+            for n, v in zip(batch.column("observation_order").to_pylist(), batch.column("__v").to_pylist(), strict=True):
+                if n == 1:
+                    low, high = [], []
+                elif n != last + 1:
+                    raise RuntimeError("a key's rows don't come in order")
+                last = n
+                size = len(low) + len(high)
+                out.append(None if size < min_values or not size else -low[0] if size % 2 else (high[0] - low[0]) / 2)
+                if v is None:
+                    continue
+                heapq.heappush(high, -heapq.heappushpop(low, -(math.inf if math.isnan(v) else v)))
+                if len(high) > len(low):
+                    heapq.heappush(low, -heapq.heappop(high))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "personal_baseline"])
+
+    out = numbered.mapInArrow(run, schema).drop("__v")
     return out.withColumn("delta_from_baseline", F.col(value) - F.col("personal_baseline"))
 
 

@@ -179,12 +179,18 @@ def check_contract(gallery: DataFrame, queries: DataFrame) -> None:
             raise ValueError(f"gallery and queries disagree on {c}: {a[c]!r}, {b[c]!r}")
 
 
-def entity_scores(queries: DataFrame, gallery: DataFrame) -> DataFrame:
-    """id, entity_id and score of every query and entity.
+#: An entity of more prototypes is cut into slices of this many, so that no block holds more than a few of them.
+SLICE = BLOCK // 4
+
+
+def entity_scores(queries: DataFrame, gallery: DataFrame, k: int | None = None) -> DataFrame:
+    """id, entity_id and score of every query and entity, or of at least the k best entities of each query.
 
     One prototype gives its similarity; more give 0.7 of the best and 0.3 of the
-    median of the best three.  Blocks give each entity's best three, and those
-    merge, so an entity's prototypes may lie in any block.
+    median of the best three.  An entity's prototypes lie in one block, whose
+    task finishes its score; entities of more than SLICE prototypes lie in one
+    block for each slice, which gives their best three, and those merge.  So with
+    k a query makes k rows a block and one row for each slice of a large entity.
     """
     kind = queries.schema["id"].dataType.simpleString()
 
@@ -193,27 +199,52 @@ def entity_scores(queries: DataFrame, gallery: DataFrame) -> DataFrame:
         a, b = normalized(_matrix(q.column("vector"))), normalized(_matrix(c.column("vector")))
         by = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[by], np.arange(len(names) + 1))
-        ids, entities, best, counts = [], [], [], []
-        qid = q.column("id")
+        sizes = np.diff(cuts)
+        cut = np.zeros(len(names), bool)
+        cut[owner] = c.column("slices").to_numpy() > 1
+        whole, qid = np.flatnonzero(~cut), q.column("id")
+        rows, entities, best = [], [], []
         for lo in range(0, len(q), 512):
             scores = a[lo : lo + 512] @ b[by].T
-            for e, name in enumerate(names):
-                own = np.sort(scores[:, cuts[e] : cuts[e + 1]], axis=1)[:, ::-1][:, :3]
-                ids.append(qid.slice(lo, len(own)).combine_chunks())
-                entities += [name] * len(own)
-                best += own.tolist()
-                counts += [int(cuts[e + 1] - cuts[e])] * len(own)
-        return pa.table([pa.concat_arrays(ids), pa.array(entities), pa.array(best, pa.list_(pa.float64())), pa.array(counts, pa.int64())], names=["id", "entity_id", "best", "n"])
-
-    parts = block_compare(queries.select("id", "vector", F.lit(None).cast("string").alias("entity")), gallery.select("id", "vector", F.col("entity_id").cast("string").alias("entity")), kernel, f"id {kind}, entity_id string, best array<double>, n bigint")
+            three = np.full((len(scores), len(names), 3), np.nan)
+            for e, n in enumerate(np.minimum(sizes, 3)):
+                three[:, e, :n] = np.sort(scores[:, cuts[e] : cuts[e + 1]], axis=1)[:, : -n - 1 : -1]
+            if k is None:
+                i, j = (x.ravel() for x in np.indices(three.shape[:2]))
+            else:
+                i, j = _best(_entity_score(three[:, whole], sizes[whole]), names[whole], k)
+                more, large = (x.ravel() for x in np.meshgrid(np.arange(len(scores)), np.flatnonzero(cut), indexing="ij"))
+                i, j = np.concatenate([i, more]), np.concatenate([whole[j], large])
+            rows.append(i + lo)
+            entities.append(j)
+            best.append(three[i, j])
+        i, j = np.concatenate(rows), np.concatenate(entities)
+        kept = np.minimum(sizes[j], 3)
+        flat = np.concatenate(best)[np.arange(3) < kept[:, None]]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(flat))
+        return pa.table([qid.take(pa.array(i)), pa.array(names.astype(object)[j], pa.string()), lists, pa.array(sizes[j], pa.int64())], names=["id", "entity_id", "best", "n"])
+
+    prototypes = gallery.select("id", "vector", F.col("entity_id").cast("string").alias("entity"))
+    large = prototypes.groupBy("entity").agg(F.ceil(F.count("*") / F.lit(SLICE)).alias("slices")).where("slices > 1")
+    dealt = prototypes.join(large, "entity", "left").select("id", "vector", "entity", F.coalesce("slices", F.lit(1)).alias("slices"))
+    place = F.struct("entity", F.pmod(F.xxhash64("id"), F.col("slices")))
+    none = queries.select("id", "vector", F.lit(None).cast("string").alias("entity"), F.lit(1).cast("bigint").alias("slices"))
+    parts = block_compare(none, dealt, kernel, f"id {kind}, entity_id string, best array<double>, n bigint", candidate_key=place)
     merged = parts.groupBy("id", "entity_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, 3).alias("best"), F.sum("n").alias("n"))
     top = F.element_at("best", 1)
     return merged.select("id", "entity_id", F.when(F.col("n") == 1, top).otherwise(0.7 * top + 0.3 * windows.array_median(F.col("best"))).alias("score"))
 
 
+def _entity_score(three: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Scores from the best three similarities (last axis, descending) of entities of these sizes."""
+    first, second = three[..., 0], three[..., 1]
+    middle = np.where(sizes == 2, (first + second) / 2, second)
+    return np.where(sizes == 1, first, 0.7 * first + 0.3 * middle)
+
+
 def identify(queries: DataFrame, gallery: DataFrame, threshold: float = 0.95, min_margin: float = 0.02, k: int = 5) -> DataFrame:
     """id, predicted, confidence, is_unknown, is_ambiguous, margin and candidates, the k best (entity_id, score)."""
-    scores = entity_scores(queries, gallery)
+    scores = entity_scores(queries, gallery, max(k, 2))
     ranked = windows.top_k(scores, ["id"], max(k, 2), F.round("score", PLACES).desc(), F.col("entity_id").asc())
     rows = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "entity_id", "score"))).alias("r"))
     best, second = F.element_at("r", 1), F.try_element_at("r", F.lit(2)) if k > 1 else F.lit(None)
@@ -303,12 +334,16 @@ def evaluate_retrieval(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
         lists = q.column("positives").combine_chunks()
         cuts, flat = lists.offsets.to_numpy(), lists.values
         own, wanted = flat.field("minus").to_numpy(), np.searchsorted(cid, np.array(flat.field("cid").to_pylist()))
-        before = np.zeros(cuts[-1], np.int64)
+        low, high = np.zeros(cuts[-1], np.int64), np.zeros(cuts[-1], np.int64)
         for row in range(len(ranked)):
             part = slice(cuts[row], cuts[row + 1])
-            low, high = (np.searchsorted(ranked[row], own[part], side) for side in ("left", "right"))
-            # among equal scores, those of a smaller id
-            before[part] = low + [np.searchsorted(order[row, x:y], w) if y > x else 0 for x, y, w in zip(low, high, wanted[part])]
+            low[part], high[part] = (np.searchsorted(ranked[row], own[part], side) for side in ("left", "right"))
+        # among equal scores, those of a smaller id; mostly the positive is alone
+        before, at = low.copy(), np.repeat(np.arange(len(ranked)), np.diff(cuts))
+        alone = np.flatnonzero(high - low == 1)
+        before[alone] += order[at[alone], low[alone]] < wanted[alone]
+        for n in np.flatnonzero(high - low > 1):
+            before[n] += np.searchsorted(order[at[n], low[n] : high[n]], wanted[n])
         eligible, best = allowed.sum(axis=1), order[:, 0]
         some = pa.array(eligible > 0)
         return pa.table([q.column("id").combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(before)), pa.array(eligible), pc.if_else(some, pa.array(ranked[:, 0]), None), pc.if_else(some, c.column("id").combine_chunks().take(pa.array(by_id[best])), None)], names=names)
