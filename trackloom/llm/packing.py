@@ -39,8 +39,8 @@ def _split_at(pattern: re.Pattern, text: str):
         yield text[at:], False
 
 
-def _fast_encoder(spec: dict):
-    """The vocabulary of a plain byte-level BPE file run by tiktoken, or None if the file is of another kind."""
+def _fast_encoder(spec: dict, plain_text: bool = False):
+    """The vocabulary of a plain byte-level BPE file run by tiktoken, or None if the file is of another kind; with plain_text, added tokens' strings are plain text."""
     model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
     plain = model.get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
     if not plain or len(model["merges"]) + 256 > len(model["vocab"]) or any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
@@ -66,7 +66,7 @@ def _fast_encoder(spec: dict):
         yield fast.encode_to_numpy(text[at:], disallowed_special=())
 
     def encode(text: str) -> np.ndarray:
-        if not names or not special.search(text):
+        if plain_text or not names or not special.search(text):
             return np.concatenate([*ordinary(text)])
         return np.concatenate([ids for part, known in _split_at(special, text) for ids in ([np.array([names[part]], np.uint32)] if known else ordinary(part))])
 
@@ -92,6 +92,20 @@ def encoder(path: str):
     return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@functools.lru_cache(maxsize=2)
+def plain_encoder(path: str):
+    """encoder, but with the strings of added tokens as plain text."""
+    with open(path, encoding="utf-8") as f:
+        fast = _fast_encoder(json.load(f), plain_text=True)
+    if fast:
+        return fast
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+    return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def piece_cost(n, linear: float, quadratic: float):
     """Estimated cost of a piece of n tokens that attends within itself."""
     return linear * n + quadratic * n * n

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trackloom.llm.alignment import align
 from trackloom.llm.classifier import quality_classifier
 from trackloom.llm.exact_dedup import exact_dedup
 from trackloom.llm.jaccard_join import jaccard_join
@@ -12,8 +13,11 @@ from trackloom.llm.line_dedup import line_dedup
 from trackloom.llm.mixing import mix_sources
 from trackloom.llm.packing import pack
 from trackloom.llm.quality_rules import quality_rules
+from trackloom.llm.scratch import new_path, stored
 from trackloom.llm.secrets import BASE_KINDS, secret_scan
 from trackloom.llm.suffix_dedup import suffix_dedup
+from trackloom.llm.token_output import read_ids, with_starts, write_ids
+from trackloom.llm.whitening import whiten
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +139,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "path", "license", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "first_line", "end_line", "origin", "license_dir")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "ids")
+    write_ids(_documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    read = stored(read_ids(spark, path).select("part", "doc_id", "first", "n_tokens", F.crc32("ids").alias("ids_crc32")), "documents")
+    return with_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, OP1_SQL),
     "op2_source_mixing": (op2_source_mixing, None),
@@ -146,6 +169,9 @@ QUERIES = {
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_packing": (op9_packing, None),
     "op10_license_scan": (op10_license_scan, None),
+    "op11_embedding_whitening": (op11_embedding_whitening, None),
+    "op12_token_output": (op12_token_output, None),
+    "op13_tokenizer_alignment": (op13_tokenizer_alignment, None),
 }
 
 

@@ -9,20 +9,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of a local master that names none; that setting can't be changed in a running session.
+_fallback: str | None = None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir.
 
     Where none is named, one process that is driver and executors (local[...])
-    takes a temporary folder, set once; on a cluster that is an error, as
-    executors don't see each other's folders.
+    takes a temporary folder, kept for the process; on a cluster that is an
+    error, as executors don't see each other's folders.
     """
+    global _fallback
     key = "spark.checkpoint.dir"
     folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not folder:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError(f"{key} must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="trackloom-")
-        spark.conf.set(key, folder)
+        _fallback = _fallback or "file://" + tempfile.mkdtemp(prefix="trackloom-")
+        folder = _fallback
     return folder.rstrip("/")
 
 
@@ -37,6 +42,13 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder where nothing is, for files that a writer makes; dropped like stored tables."""
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
+    _made.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: a lost executor recomputes a scan, not the job."""
     spark = df.sparkSession
