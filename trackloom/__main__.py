@@ -6,11 +6,12 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.operators import bundle, cluster, labels, manifest, posture, registry, similarity, splits
+from trackloom.operators import bundle, cluster, labels, manifest, posture, registry, similarity, splits, worker
 from trackloom.sources import tables
 
 
@@ -121,6 +122,23 @@ def timestamp_import(run: Run, a) -> str:
     return run.write("videos", registry.override_times(run.read("videos"), tables.read_csv(run.spark, a.manifest, "video_manifest")))
 
 
+def _function(name: str | None):
+    """module:function, or None."""
+    if not name:
+        return None
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+def process_new(run: Run, a) -> str:
+    """Works on the recordings in videos: the stages are functions of the user's modules."""
+    own = worker.Worker(run.spark, f"{run.folder}/worker", _function(a.extract), _function(a.embed), _function(a.identify), a.batch, a.lease, a.attempts)
+    if tables.has_version(run.spark, f"{run.folder}/videos"):
+        own.land(run.read("videos"))
+    own.run()
+    return run.write("video_states", own.states())
+
+
 COMMANDS = {
     "inventory": (inventory, {"--videos": {}, "--pattern": {"default": "*.mp4"}, "--camera": {"default": "unknown"}}),
     "build-manifest": (build_manifest, {"--raw": {"action": "append", "default": []}, "--correction": {"action": "append", "default": []}}),
@@ -137,6 +155,7 @@ COMMANDS = {
     "pose-scores": (pose_scores, {}),
     "review-bundle": (review_bundle, {"--base": {}, "--new": {}, "--prefix": {"default": "NEW_"}}),
     "ingest": (ingest, {"--videos": {}, "--pattern": {"default": "*.mp4"}, "--camera": {"default": "unknown"}}),
+    "process-new": (process_new, {"--extract": {}, "--embed": {}, "--identify": {"default": None}, "--batch": {"type": int, "default": 1000}, "--lease": {"type": float, "default": 21600.0}, "--attempts": {"type": int, "default": 3}}),
     "timestamp-import": (timestamp_import, {"--manifest": {}}),
 }
 

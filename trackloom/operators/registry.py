@@ -59,6 +59,14 @@ def model_version(name: str, sha256: str) -> str:
     return f"{name}:{sha256[:16]}"
 
 
+def register_models(models: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The versions that found (model_name, checkpoint_sha256, code_commit, config_hash) adds to models, one row each; of rows of one version that of the least commit and config."""
+    version = F.concat_ws(":", "model_name", F.left("checkpoint_sha256", F.lit(16)))
+    rows = windows.keep_one(found.withColumn("model_version", version), ["model_version"], F.struct("code_commit", "config_hash"))
+    rows = rows.select("model_version", "model_name", "checkpoint_sha256", "code_commit", "config_hash")
+    return rows if models is None else anti_append(models, rows, ["model_version"])
+
+
 def register_model(models: DataFrame, name: str, sha256: str, code: str = "unknown", config: str = "unknown") -> DataFrame:
     row = models.sparkSession.createDataFrame([(model_version(name, sha256), name, sha256, code, config)], "model_version string, model_name string, checkpoint_sha256 string, code_commit string, config_hash string")
     return anti_append(models, row, ["model_version"])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trackloom.functions import exprs
 from trackloom.operators import manifest, registry, tracks
 from trackloom.operators.labels import confirmed_labels
+from trackloom.sources import tables
 
 
 def extract(
@@ -96,20 +97,21 @@ def process_new(videos: DataFrame, tracked: DataFrame, embedded: DataFrame, extr
     """advance after running each stage for the recordings that lack it.
 
     A stage takes the recordings it is for, all at once, and gives video_id and
-    error (null where it went well); identify_stage gives predictions.
+    error (null where it went well); identify_stage gives predictions.  Each
+    stage's result is written once and read from there, so that it runs once.
     """
     own = videos.where(F.coalesce("canonical_video_id", "video_id") == F.col("video_id"))
     todo = own.where("status = 'INGESTED'").join(tracked.select("video_id"), "video_id", "left_anti")
-    first = extract_stage(todo)
+    first = tables.held(extract_stage(todo))
     now_tracked = tracked.select("video_id").unionByName(first.where("error IS NULL").select("video_id")).distinct()
     ready = own.where("status = 'TRACKED'").select("video_id").unionByName(own.where("status = 'INGESTED'").select("video_id").join(now_tracked, "video_id", "left_semi"))
-    second = embed_stage(own.join(ready, "video_id", "left_semi").join(embedded.select("video_id"), "video_id", "left_anti"))
+    second = tables.held(embed_stage(own.join(ready, "video_id", "left_semi").join(embedded.select("video_id"), "video_id", "left_anti")))
     now_embedded = embedded.select("video_id").unionByName(second.where("error IS NULL").select("video_id")).distinct()
     failures = first.where("error IS NOT NULL").select("video_id", "error").unionByName(second.where("error IS NOT NULL").select("video_id", "error"))
     predictions = None
     if identify_stage is not None:
         at_end = own.where("status = 'EMBEDDED'").select("video_id").unionByName(ready.join(now_embedded, "video_id", "left_semi")).distinct()
-        predictions = identify_stage(own.join(at_end, "video_id", "left_semi"))
+        predictions = tables.held(identify_stage(own.join(at_end, "video_id", "left_semi")))
     return advance(videos, now_tracked, now_embedded, predictions, failures)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -165,6 +167,22 @@ def read_version(spark: SparkSession, folder: str, schema: T.StructType | None =
     return spark.read.parquet(f"{folder}/version={number:06d}")
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df written below spark.checkpoint.dir and read again, so what made it runs once and a lost executor recomputes a scan.
+
+    A local master that names no folder gets a temporary one; a cluster must name one that all share.
+    """
+    spark, key = df.sparkSession, "spark.checkpoint.dir"
+    folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{key} must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="trackloom-")
+    path = f"{folder.rstrip('/')}/trackloom/{spark.sparkContext.applicationId}/held/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_once(df: DataFrame, path: str, format: str = "parquet") -> None:
     """Refuses to overwrite."""
     df.write.mode("errorifexists").format(format).save(path)
