@@ -69,12 +69,25 @@ def test_the_query_equals_a_plain_version(spark, small):
     assert sorted(map(tuple, op13_tokenizer_alignment(spark, small).collect()), key=str) == plain(docs)
 
 
-@pytest.mark.parametrize("limits", [{}, {"SLICE": 7, "LISTED": 3, "BROADCAST_PAIRS": 0, "HOT_SHARE": 5}])
-def test_odd_texts_repeats_and_clashing_columns(spark, monkeypatch, limits):
+@pytest.mark.parametrize(("size", "limits"), [(alignment.SLICE, {}), (7, {"BROADCAST_PAIRS": 0, "HOT_SHARE": 5})])
+def test_odd_texts_repeats_and_clashing_columns(spark, monkeypatch, size, limits):
     for name, value in limits.items():
         monkeypatch.setattr(alignment, name, value)
     df = spark.createDataFrame(ODD, "doc_id bigint, text string").selectExpr("*", "1 AS pairs", "2 AS row", "3 AS slice").repartition(5)
-    assert sorted(map(tuple, alignment.align(df, A, B).collect()), key=str) == plain(ODD)
+    assert sorted(map(tuple, alignment.align(df, A, B, slice_bytes=size).collect()), key=str) == plain(ODD)
+
+
+def test_links_of_large_groups_are_counted_like_those_of_small_ones(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    na, nb = r.integers(1, 9, 40), r.integers(1, 9, 40)
+    a, b = r.integers(0, 5, na.sum()), r.integers(0, 5, nb.sum())
+    expected = Counter((int(x), int(y)) for g in range(40) for x in np.split(a, np.cumsum(na))[g] for y in np.split(b, np.cumsum(nb))[g])
+    for limit in (1, 9, 30, 1 << 16):
+        monkeypatch.setattr(alignment, "LISTED", limit)
+        keys, counts = alignment.linked(a, b, na, nb)
+        assert {(int(k) >> 32, int(k) & 0xFFFFFFFF): int(c) for k, c in zip(keys, counts, strict=True)} == expected
 
 
 def test_empty_table(spark):

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -69,11 +70,14 @@ def tokens(text: str, a, b) -> list[tuple[np.ndarray, np.ndarray]] | None:
     return found
 
 
-def end_events(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
-    """row (a number for each input row), doc_id, slice, side, ids and ends; a document without tokens has one row without them."""
+def end_events(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str, size: int) -> DataFrame:
+    """row (a number for each input row), doc_id, slice, side and events: ids (4 bytes each), then how far each end lies after the one before or the slice's start (2 bytes each), deflated.
+
+    A document without tokens has one row without events.
+    """
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "slice", "side", "ids", "ends"]
+    names = ["row", "doc_id", "slice", "side", "events"]
 
     def run(batches):
         a, b = byte_level(path_a), pieces(path_b)
@@ -81,20 +85,21 @@ def end_events(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col:
             at, cells, held = [], [], 0
 
             def made():
-                cut, side, ids, ends = zip(*cells, strict=True)
+                cut, side, events = zip(*cells, strict=True)
                 each = pa.array(at)
-                rest = [pa.array(c, k) for c, k in ((cut, pa.int64()), (side, pa.int32()), (ids, pa.binary()), (ends, pa.binary()))]
+                rest = [pa.array(c, k) for c, k in ((cut, pa.int64()), (side, pa.int32()), (events, pa.binary()))]
                 return pa.RecordBatch.from_arrays([batch.column(0).take(each), batch.column(1).take(each), *rest], names)  # noqa: B023
 
             for i, text in enumerate(batch.column(2)):
                 found = tokens(text.as_py() or "", a, b)
                 if found is None:
-                    at.append(i), cells.append((0, 0, b"", b""))
+                    at.append(i), cells.append((0, 0, zlib.compress(b"")))
                 for side, (ids, ends) in enumerate(found or ()):
-                    cut = (ends - 1) // SLICE
+                    cut = (ends - 1) // size
                     edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(ids)]
                     for x, y in zip(edges, edges[1:], strict=False):
-                        at.append(i), cells.append((int(cut[x]), side, ids[x:y].astype("<u4").tobytes(), ends[x:y].astype("<i8").tobytes()))
+                        steps = np.diff(ends[x:y], prepend=cut[x] * size).astype("<u2")
+                        at.append(i), cells.append((int(cut[x]), side, zlib.compress(ids[x:y].astype("<u4").tobytes() + steps.tobytes(), 1)))
                     held += len(ids)
                 if held >= 1 << 19:
                     yield made()
@@ -102,7 +107,7 @@ def end_events(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col:
             if cells:
                 yield made()
 
-    return own.mapInArrow(trimmed(run), f"row bigint, doc_id {kind}, slice bigint, side int, ids binary, ends binary")
+    return own.mapInArrow(trimmed(run), f"row bigint, doc_id {kind}, slice bigint, side int, events binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +181,7 @@ class Sweep:
         return *self.n, self.groups, int(counts.sum()), self.hash.hexdigest() if sum(self.n) else "", keys, counts
 
 
-def swept(events: DataFrame) -> DataFrame:
+def swept(events: DataFrame, size: int) -> DataFrame:
     """A row for each input row: n_a, n_b, n_groups, n_links, groups_sha256, and its distinct pairs with their numbers of links."""
     kind = events.schema["doc_id"].dataType.simpleString()
     kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -194,7 +199,7 @@ def swept(events: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(each, pa.int64()), pa.concat_arrays(docs), *rest], names)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() if c in (0, 2, 3) else batch.column(c) for c in range(6)]
+            columns = [batch.column(c).to_pylist() if c in (0, 2, 3) else batch.column(c) for c in range(5)]
             for i in range(batch.num_rows):
                 if columns[0][i] != row:
                     if sweep:
@@ -208,7 +213,9 @@ def swept(events: DataFrame) -> DataFrame:
                 elif columns[2][i] != cut:
                     sweep.slice(side)
                     cut, side = columns[2][i], [empty, empty]
-                side[columns[3][i]] = (np.frombuffer(columns[4][i].as_buffer(), "<u4").astype(np.int64), np.frombuffer(columns[5][i].as_buffer(), "<i8"))
+                raw = zlib.decompress(columns[4][i].as_buffer())
+                n = len(raw) // 6
+                side[columns[3][i]] = (np.frombuffer(raw, "<u4", n).astype(np.int64), cut * size + np.cumsum(np.frombuffer(raw, "<u2", n, 4 * n), dtype=np.int64))
         if sweep:
             sweep.slice(side)
             rows.append((row, doc, sweep.row()))
@@ -218,9 +225,11 @@ def swept(events: DataFrame) -> DataFrame:
     return ordered.mapInArrow(trimmed(run), schema)
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE) -> DataFrame:
     """One row for each input row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
+    slice_bytes, below 65536, is how much text's events travel in one row.
+
     A null or empty text, or one whose joined tokens don't spell space + text,
     has zeros and ''.  Repeated rows and equal or null ids are documents of
     their own and count as such; other columns are ignored; an empty table
@@ -230,7 +239,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     than 1/HOT_SHARE of the rows hold are split off to a broadcast bounded by
     that share, the rest shuffle.
     """
-    found = stored(swept(end_events(docs, path_a, path_b, id_col, text_col)), "sweeps")
+    found = stored(swept(end_events(docs, path_a, path_b, id_col, text_col, slice_bytes), slice_bytes), "sweeps")
     counts = stored(found.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("docs")), "pairs")
     best = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("most"))
     judged = stored(counts.withColumn("a", F.shiftright("pair", 32)).join(best, "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "judged")
