@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -23,11 +23,33 @@ KINDS = BASE_KINDS + FOUND_KINDS
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 # a run is tried from its start alone and never given back, so a long one costs its length once
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}+(?:\r?\n[A-Za-z0-9+/_-]++)*+={0,2}")
-_BREAK = re.compile(r"\r?\n|-{5,}")
-_HEX_BLOB = re.compile(r"(?:[0-9a-f]{2}){16,}+|(?:[0-9A-F]{2}){16,}+")
+_OBJECT = re.compile(r'\{\s*"')
 #: The object ids (DER) below which the password-based encryptions of keys lie.
 PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+SSH_MAGIC = b"openssh-key-v1\0"
+#: No private key has more parts on a level: ten of RSA with more than two primes.
+MOST_PARTS = 10
+#: Keys in one SSH container; its only writer makes one.
+MOST_SSH_KEYS = 16
+
+# what stands between two lines of a wrapped key: what closes the first (quotes, blanks, signs, an escaped
+# line end), a line end, and what opens the second; or an escaped line end alone.  Base64's own signs open a
+# line if another sign follows them.
+_CLOSES = r"(?:\\++[rn]?+|[^A-Za-z0-9\r\n=\\])*+\r?\n"
+_ESCAPED = r"[ \t]*+(?:\\++r)?\\++n[ \t]*+"
+_OPENS = r"(?:[^A-Za-z0-9+/_\r\n-]|[+/_-]++(?=[^A-Za-z0-9+/_\r\n-]))*+"
+_RUN = r"(?:[A-Za-z0-9+/_]++|-{1,4}+(?!-))++"
+_HEX_RUN = r"[0-9A-Fa-f]++"
+#: Ways to go on from line to line: base64 as it stands, behind the signs of a diff, and hexadecimal digits.
+_WRAPPED = {
+    "plain": (re.compile(_RUN), re.compile(rf"(?:{_CLOSES}{_OPENS}|{_ESCAPED})({_RUN})")),
+    "added": (re.compile(_RUN), re.compile(rf"{_CLOSES}{_OPENS}\+({_RUN})")),
+    "removed": (re.compile(_RUN), re.compile(rf"{_CLOSES}{_OPENS}-({_RUN})")),
+    "hex": (re.compile(_HEX_RUN), re.compile(rf"(?:{_CLOSES}[^A-Za-z0-9\r\n]*+|{_ESCAPED})({_HEX_RUN})")),
+}
+# where a key may begin: a sequence's header with its length, or the magic of a container
+_STARTS = re.compile(r"M(?=(?:I[E-T]|[A-H][A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{5})|b3BlbnNzaC1rZXktdjE")
+_HEX_STARTS = re.compile(r"(?i:30(?=(?:[0-7][0-9a-f]|81[0-9a-f]{2}|82[0-9a-f]{4}|83[0-9a-f]{6}|84[0-9a-f]{8})(?:0201|30))|6f70656e7373682d6b65792d763100)")
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -42,168 +64,221 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def decoded(run: str) -> bytes | None:
-    """Base64 of either alphabet, with or without padding and line ends; None if it isn't."""
-    plain = re.sub(r"[\r\n=]", "", run).replace("-", "+").replace("_", "/")
-    if len(plain) % 4 == 1:
+class Chain:
+    """Lines of an encoding from one place of a text on, as one string without what wraps them.
+
+    Bytes are decoded where they are asked for, so looking at a few lengths costs
+    the same however long the chain is.
+    """
+
+    def __init__(self, text: str, at: int, way: str):
+        first, more = _WRAPPED[way]
+        self.hex = way == "hex"
+        m, group = first.match(text, at), 0
+        self.starts, self.offsets, pieces, n = [], [], [], 0
+        while m:
+            self.starts.append(m.start(group))
+            self.offsets.append(n)
+            pieces.append(m[group])
+            n += len(m[group])
+            self.end = m.end()
+            m, group = more.match(text, self.end), 1
+        self.body = "".join(pieces).replace("-", "+").replace("_", "/")
+        self.cuts = set(self.offsets[1:]) | {n}
+        self.last = {cut % 4: cut for cut in sorted(self.cuts)}  # the last cut of each remainder
+
+    def offset(self, at: int) -> int:
+        k = bisect_right(self.starts, at) - 1
+        return self.offsets[k] + at - self.starts[k]
+
+    def place(self, cut: int) -> int:
+        """Where in the text the line ends that ends at this cut."""
+        k = bisect_left(self.offsets, cut) - 1
+        return self.starts[k] + cut - self.offsets[k]
+
+    def size(self, offset: int) -> int:
+        """How many bytes the rest from this offset holds."""
+        rest = len(self.body) - offset
+        return rest // 2 if self.hex else rest * 3 // 4
+
+    def read(self, offset: int, at: int, n: int) -> bytes:
+        """Bytes at to at + n of what begins at this offset; fewer at the chain's end."""
+        if self.hex:
+            digits = self.body[offset + 2 * at : offset + 2 * (at + n)]
+            return bytes.fromhex(digits[: len(digits) // 2 * 2])
+        groups = self.body[offset + at // 3 * 4 : offset + (at + n + 2) // 3 * 4]
+        if len(groups) % 4 == 1:
+            groups = groups[:-1]
+        return base64.b64decode(groups + "=" * (-len(groups) % 4))[at % 3 : at % 3 + n]
+
+    def digits(self, size: int) -> int:
+        return 2 * size if self.hex else -(-4 * size // 3)
+
+
+def der_head(read, at: int) -> tuple[int, int, int] | None:
+    """(tag, start, end) of the element whose header is at this byte; None if it has no proper length."""
+    head = read(at, 6)
+    if len(head) < 2:
         return None
-    try:
-        return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
-    except binascii.Error:
+    if not head[1] & 0x80:
+        return head[0], at + 2, at + 2 + head[1]
+    n = head[1] & 0x7F
+    if not 1 <= n <= 4 or len(head) < 2 + n or head[2] == 0:
         return None
+    return head[0], at + 2 + n, at + 2 + n + int.from_bytes(head[2 : 2 + n], "big")
 
 
-def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the elements that fill data[at:end] exactly; None if lengths don't nest."""
+def der_items(read, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill these bytes exactly; None if lengths don't nest or there are more than MOST_PARTS."""
     items = []
     while at < end:
-        if at + 2 > end:
-            return None
-        tag, length, at = data[at], data[at + 1], at + 2
-        if length & 0x80:
-            n = length & 0x7F
-            if not 1 <= n <= 4 or at + n > end or data[at] == 0:
-                return None
-            length, at = int.from_bytes(data[at : at + n], "big"), at + n
-        if at + length > end:
+        item = der_head(read, at)
+        if not item or item[2] > end or len(items) == MOST_PARTS:
             return None
-        items.append((tag, at, at + length))
-        at += length
+        items.append(item)
+        at = item[2]
     return items
 
 
-def is_private_key(data: bytes) -> bool:
-    """A DER private key: nine or six integers, a version with algorithm and octets, a version with octets, or a password-based algorithm with octets."""
-    top = der_items(data, 0, len(data))
-    if not top or len(top) != 1 or top[0][0] != 0x30:
-        return False
-    parts = der_items(data, *top[0][1:])
-    if parts and [tag for tag, _, _ in parts] == [0x30, 0x04]:
-        algorithm = der_items(data, *parts[0][1:])
-        return bool(algorithm) and algorithm[0][0] == 0x06 and data[algorithm[0][1] : algorithm[0][2]].startswith(PASSWORD_BASED) and parts[1][2] - parts[1][1] >= 16
-    if not parts or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1 or data[parts[0][1]] > 1:
-        return False
+def private_key_size(read, available: int) -> int | None:
+    """Bytes of the DER private key that begins here: nine or six integers, a version with algorithm and octets, a version with octets, or a password-based algorithm with octets."""
+    top = der_head(read, 0)
+    if not top or top[0] != 0x30 or top[2] > available or read(top[1], 1) not in (b"\x02", b"\x30"):
+        return None
+    parts = der_items(read, top[1], top[2])
+    if not parts:
+        return None
     tags = [tag for tag, _, _ in parts]
-    if tags[:9] == [0x02] * 9 or tags == [0x02] * 6 and parts[1][2] - parts[1][1] >= 64:
-        return True
-    if tags[:3] == [0x02, 0x30, 0x04]:
-        algorithm = der_items(data, *parts[1][1:])
-        return bool(algorithm) and algorithm[0][0] == 0x06
-    return tags[:2] == [0x02, 0x04] and parts[1][2] - parts[1][1] >= 16
-
-
-def is_ssh_key(data: bytes) -> bool:
-    """The container of a private key: magic, then length-prefixed cipher, kdf and options."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
-    for _ in range(3):
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at + 4 <= len(data)
-
-
-def der_size(head: bytes) -> int | None:
-    """Bytes of the sequence that begins so, its header included; None if it isn't one."""
-    if len(head) < 6 or head[0] != 0x30:
+    length = lambda k: parts[k][2] - parts[k][1]
+
+    def algorithm() -> bytes:
+        inner = der_items(read, *parts[tags.index(0x30)][1:])
+        return read(inner[0][1], min(inner[0][2] - inner[0][1], 16)) if inner and inner[0][0] == 0x06 else b""
+
+    if tags == [0x30, 0x04]:
+        return top[2] if algorithm().startswith(PASSWORD_BASED) and length(1) >= 16 else None
+    if tags[0] != 0x02 or length(0) != 1 or read(parts[0][1], 1) > b"\x01":
         return None
-    if not head[1] & 0x80:
-        return 2 + head[1]
-    n = head[1] & 0x7F
-    return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else None
+    if tags[:9] == [0x02] * 9 or tags == [0x02] * 6 and length(1) >= 64:
+        return top[2]
+    if tags[:3] == [0x02, 0x30, 0x04]:
+        return top[2] if algorithm() else None
+    return top[2] if tags[:2] == [0x02, 0x04] and length(1) >= 16 else None
 
 
-def ssh_size(data: bytes) -> int | None:
-    """Bytes of a private key's container, all its parts counted; None if its lengths don't nest."""
-    at = len(b"openssh-key-v1\0")
+def ssh_key_size(read, available: int) -> int | None:
+    """Bytes of the container of a private key that begins here: magic, cipher, kdf, options, and as many keys as it says.
+
+    0 if only the lengths of the first three nest; None if it isn't one.
+    """
 
     def after(at: int, parts: int) -> int | None:
         for _ in range(parts):
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-            if at > len(data):
+            head = read(at, 4)
+            at += 4 + int.from_bytes(head, "big")
+            if len(head) < 4 or at > available:
                 return None
         return at
 
-    at = after(at, 3)
-    if at is None or at + 4 > len(data):
+    if read(0, len(SSH_MAGIC)) != SSH_MAGIC:
+        return None
+    at = after(len(SSH_MAGIC), 3)
+    if at is None or at + 4 > available:
+        return None
+    keys = int.from_bytes(read(at, 4), "big")
+    return (after(at + 4, keys + 1) if keys <= MOST_SSH_KEYS else None) or 0
+
+
+def key_at(text: str, at: int, chain: Chain) -> tuple[bool, str, int] | None:
+    """The key that begins at this place of a chain: whether its own lengths end it where a line or the chain ends, its kind and its end."""
+    offset = chain.offset(at)
+    read = lambda start, n: chain.read(offset, start, n)
+    ssh = text.startswith("b" if not chain.hex else "6", at)
+    size = (ssh_key_size if ssh else private_key_size)(read, chain.size(offset))
+    if size is None:
+        return None
+    cut = offset + chain.digits(size)
+    exact = cut in chain.cuts and size > 0
+    if ssh and not exact:
+        # a container whose lengths don't nest: all lines that can be decoded
+        cut = max((c for c in chain.last.values() if (c - offset) % (2 if chain.hex else 4) != 1), default=0)
+    if cut not in chain.cuts or cut - offset < 32:
         return None
-    return after(at + 4, int.from_bytes(data[at : at + 4], "big") + 1)
+    end = chain.place(cut)
+    if not chain.hex:
+        room = -(cut - offset) % 4
+        end += len(text[end : end + room]) - len(text[end : end + room].lstrip("="))
+    return exact, "ssh_key" if ssh else "key_hex" if chain.hex else "key_b64", end
 
 
-def keys_in_run(run: str) -> list[tuple[str, int, int]]:
-    """Keys in a run that goes on over line ends or rows of dashes into what isn't theirs.
+def keys(text: str, starts: re.Pattern, ways: tuple[str, ...]) -> list[tuple[str, int, int]]:
+    """Keys that begin anywhere in a run of an encoding, on one line or wrapped in one of these ways.
 
-    A key begins at the run's start or after a break and says how long it is;
-    it counts if a break or the run's end is there.
+    Of several ways the first by which the lengths fit counts, else the one that
+    goes furthest.  Places inside a key already found are passed over.  A chain of lines is
+    joined once for all places in it, and each of these reads a bounded number of lengths.
     """
-    breaks = list(_BREAK.finditer(run))
-    begins, cuts, skipped = [(0, 0)], [], 0  # place in the run, and without line ends
-    for m in breaks:
-        cuts.append((m.start(), m.start() - skipped))
-        if m[0][0] != "-":
-            skipped += len(m[0])
-        begins.append((m.end(), m.end() - skipped))
-    body = len(run.rstrip("="))
-    cuts.append((body, body - skipped))
-    ends = {}
-    for at, n in cuts:
-        ends.setdefault(n, len(run) if at == body else at)
-    found, free = [], 0
-    for k, (at, n) in enumerate(begins):
-        if at < free:
+    found, free, chains = [], 0, {}
+    for m in starts.finditer(text):
+        at = m.start()
+        if at < free or m[0] == "M" and not _may_begin(text[at : at + 8]):
             continue
-        if run.startswith("M", at):
-            size = der_size(decoded(re.sub(r"[\r\n]", "", run[at : at + 24])[:8]) or b"")
-            end = size and ends.get(n - (-4 * size // 3))
-            if end and is_private_key(decoded(run[at:end]) or b""):
-                found.append(("key_b64", at, free := end))
-        elif run.startswith("b3BlbnNzaC1rZXktdjE", at):
-            # the whole container where its lengths nest, else all up to a row of dashes that can be decoded
-            dashes = next((m.start() for m in breaks[k:] if m[0][0] == "-"), len(run))
-            tries = [len(run) if c == body else c for c, _ in cuts if at < c <= dashes]
-            data = next((d for d in map(decoded, (run[at:c] for c in tries[::-1])) if d), b"")
-            size = is_ssh_key(data) and ssh_size(data)
-            end = size and ends.get(n - (-4 * size // 3)) or next((at + len(run[at:c].rstrip("\r\n")) for c in tries[::-1] if decoded(run[at:c])), 0)
-            if end and is_ssh_key(decoded(run[at:end]) or b""):
-                found.append(("ssh_key", at, free := end))
+        best = None
+        for way in ways:
+            if way not in chains or chains[way].end <= at:
+                chains[way] = Chain(text, at, way)
+            key = key_at(text, at, chains[way])
+            if key and (not best or key[0] > best[0] or not best[0] and key[2] > best[2]):
+                best = key
+        if best:
+            found.append((best[1], at, free := best[2]))
     return found
 
 
-def is_signed_header(part: str) -> bool:
-    """A signed token's header: base64 of a JSON object that names its algorithm."""
-    data = decoded(part)
-    if not data or data[:1] != b"{":
-        return False
-    try:
-        header = json.loads(data)
-    except (ValueError, RecursionError):  # the latter for brackets nested without end
-        return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str)
+def _may_begin(eight: str) -> bool:
+    """Whether a sequence's header, in base64, is followed by a version or another sequence."""
+    head = base64.b64decode(eight.replace("-", "+").replace("_", "/"))
+    after = 2 + (head[1] & 0x7F if head[1] & 0x80 else 0)
+    return after >= len(head) or head[after] in (0x02, 0x30)
+
+
+def header_start(part: str) -> int | None:
+    """Where in a run the header of a signed token begins: base64, up to the run's end, of a JSON object that names its algorithm.
+
+    The run is decoded once for each of four alignments.
+    """
+    plain, found = part.replace("-", "+").replace("_", "/"), []
+    for shift in range(min(4, len(part))):
+        own = plain[shift:]
+        if len(own) % 4 == 1:
+            continue
+        data = base64.b64decode(own + "=" * (-len(own) % 4)).decode("latin-1")
+        if not data.rstrip().endswith("}"):
+            continue
+        for m in _OBJECT.finditer(data):
+            if m.start() % 3:
+                continue
+            try:
+                header, end = _JSON.raw_decode(data, m.start())
+            except (ValueError, RecursionError):  # the latter for brackets nested without end
+                continue
+            if not data[end:].strip() and isinstance(header.get("alg"), str):
+                found.append(shift + m.start() // 3 * 4)
+                break
+    return min(found, default=None)
+
+
+_JSON = json.JSONDecoder()
 
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates whose decoded form has the structure of a key or a signed token."""
     found = []
     for m in _TOKEN.finditer(text) if "." in text else ():
-        if is_signed_header(m[0].split(".", 1)[0]):
-            found.append(("signed_token", m.start(), m.end()))
-    for m in _BASE64.finditer(text):
-        data = decoded(m[0])
-        if data and is_private_key(data):
-            found.append(("key_b64", m.start(), m.end()))
-        elif _BREAK.search(m[0]):
-            found += [(kind, m.start() + a, m.start() + b) for kind, a, b in keys_in_run(m[0])]
-        elif data and is_ssh_key(data):
-            found.append(("ssh_key", m.start(), m.end()))
-    for m in _HEX_BLOB.finditer(text):
-        data = bytes.fromhex(m[0])
-        if is_private_key(data):
-            found.append(("key_hex", m.start(), m.end()))
-        elif is_ssh_key(data):
-            found.append(("ssh_key", m.start(), m.end()))
-    return found
+        at = header_start(m[0].split(".", 1)[0])
+        if at is not None:
+            found.append(("signed_token", m.start() + at, m.end()))
+    return found + keys(text, _STARTS, ("added", "removed", "plain")) + keys(text, _HEX_STARTS, ("hex",))
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
@@ -219,7 +294,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A null or empty text has no spans.  Every whole text is read; rows with
     equal ids, and repeated rows, are scanned each by itself; other columns are
     ignored and an empty table gives an empty result.  No shuffle: one pass,
-    batch by batch, in time proportional to the text.
+    batch by batch, in time proportional to the text.  A key may be indented,
+    quoted, escaped, marked as mail or a diff, or stand behind other characters
+    of its encoding; its span reaches from its first to its last character in
+    the text as it is.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
