@@ -20,7 +20,7 @@ def oracle(small):
     return con
 
 
-@pytest.mark.parametrize("name", ["extract_tracks", "extract_frames", "track_embeddings", "worker_states", "worker_process", "register_models", "import_assigned", "import_edges", "canonical_manifest", "duplicate_files", "accept_pair", "import_scores", "merged_identities", "registry_replay", "retrieval_eval", "enriched_tracks"])
+@pytest.mark.parametrize("name", ["extract_tracks", "extract_frames", "track_embeddings", "worker_states", "worker_process", "register_models", "import_assigned", "import_edges", "canonical_manifest", "duplicate_files", "accept_pair", "unite_pairs", "accepted_pairs", "import_scores", "merged_identities", "registry_replay", "retrieval_eval", "enriched_tracks"])
 def test_queries_match_their_sql(spark, small, oracle, name):
     got, sql = entry.queries()[name](spark, small), oracle.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in sql.description]

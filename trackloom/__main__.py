@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackloom.operators import bundle, cluster, labels, manifest, posture, registry, similarity, splits, worker
+from trackloom.operators import bundle, cluster, labels, manifest, merging, posture, registry, similarity, splits, worker
 from trackloom.sources import tables
 
 
@@ -69,9 +69,10 @@ def identify(run: Run, a) -> str:
 
 
 def auto_confirm(run: Run, a) -> str:
-    own, reviews, applied = labels.auto_confirm(run.read("labels"), run.read("pair_reviews"), run.read("identity_exclusions"), run.read("candidate_pairs"), a.now, a.cosine, a.geometry)
+    own, reviews, applied = merging.auto_confirm(run.read("labels"), run.read("pair_reviews"), run.read("identity_exclusions"), run.read("candidate_pairs"), a.now, a.cosine, a.geometry)
     if a.dry_run:
-        return "\n".join(map(str, applied))
+        shown = applied.orderBy("left_id", "right_id").limit(1000).collect()
+        return "\n".join([f"{applied.count()} pairs", *(str(tuple(r)) for r in shown)])
     run.write("pair_reviews", reviews)
     return run.write("labels", own)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import exprs
-from trackloom.operators import bundle, cluster, labels as ids, manifest, posture, registry, similarity as sim, workflow as wf
+from trackloom.operators import bundle, cluster, labels as ids, merging, manifest, posture, registry, similarity as sim, workflow as wf
 from trackloom.plans import similarity_queries
 from trackloom.plans.session import table
 from trackloom.sources import tables
@@ -387,6 +387,50 @@ def assign_checked(spark, sf):
     return _brief(own)
 
 
+def _bulk(spark, sf):
+    """Neighbours as candidates, with decisions and exclusions that forbid some of them."""
+    e = table(spark, sf, "embeddings")
+    side = lambda of, step: (_text(of).alias("left_id"), _text(F.col(of) + step).alias("right_id"))
+    pairs = e.where("vec_id % 3 < 2").select(*side("vec_id", 19)).unionByName(e.where("vec_id % 10 = 0").select(*side("vec_id", 5)))
+    rest = (F.lit("").alias("entity_id"), F.lit(None).cast("double").alias("similarity"), F.lit("").alias("notes"), F.lit("").alias("updated_at"))
+    reviews = e.where("vec_id % 12 = 1").select(*side("vec_id", 43), F.lit("different").alias("decision"), *rest)
+    barred = e.where("vec_id % 9 = 2").select(F.format_string("cow %d", F.floor(F.col("vec_id") / 20).cast("int") + 1).alias("entity_id"), _text("vec_id").alias("tracklet_id"), F.lit("").alias("reason"), F.lit("").alias("updated_at"))
+    return reviews, barred, pairs
+
+
+def unite_pairs(spark, sf):
+    """Labels after all candidates are taken in order, refusals included."""
+    return merging.unite(_label_rows(spark, sf), *_bulk(spark, sf), NOW)[0].select("tracklet_id", "entity_id", "confirmed")
+
+
+def accepted_pairs(spark, sf):
+    return merging.accept_pairs(_label_rows(spark, sf), *_bulk(spark, sf)).select("left_id", "right_id", "entity_id")
+
+
+#: One pair after the other over a list of names, as numbers: what unite_pairs gives by forests and folds.
+FOLD = r"""
+n AS (SELECT count(*) AS n, greatest(max(vec_id // 20) FILTER (vec_id % 5 > 0), max(vec_id // 20 + 1) FILTER (vec_id % 9 = 2)) AS g FROM embeddings),
+start AS (SELECT list(CASE WHEN c THEN i // 20 END ORDER BY i) AS own FROM l),
+q AS (SELECT row_number() OVER (ORDER BY x, y) AS k, x, y, x::INT AS a, y::INT AS b FROM (
+        SELECT least(v::VARCHAR, w::VARCHAR) AS x, greatest(v::VARCHAR, w::VARCHAR) AS y FROM (
+          SELECT vec_id AS v, vec_id + 19 AS w FROM embeddings WHERE vec_id % 3 < 2 UNION SELECT vec_id, vec_id + 5 FROM embeddings WHERE vec_id % 10 = 0)
+        WHERE w < (SELECT n FROM n))),
+d AS (SELECT list([vec_id, vec_id + 43]) AS d FROM embeddings WHERE vec_id % 12 = 1 AND vec_id + 43 < (SELECT n FROM n)),
+f AS (
+  SELECT 0::BIGINT AS k, own, (SELECT g FROM n)::BIGINT AS last, false AS ok, NULL::BIGINT AS new FROM start
+  UNION ALL
+  SELECT k, CASE WHEN ok THEN list_transform(own, lambda c, i: CASE WHEN i - 1 IN (a, b) OR c = ca OR c = cb THEN new ELSE c END) ELSE own END,
+         CASE WHEN ok AND ca IS NULL AND cb IS NULL THEN last + 1 ELSE last END, ok, CASE WHEN ok THEN new END
+  FROM (SELECT *, ca IS DISTINCT FROM cb OR ca IS NULL AS apart, coalesce(least(ca, cb), last + 1) AS new,
+               (ca IS DISTINCT FROM cb OR ca IS NULL)
+               AND NOT coalesce(cb = a // 20 + 1 AND a % 9 = 2, false) AND NOT coalesce(ca = b // 20 + 1 AND b % 9 = 2, false)
+               AND len(list_filter(d, lambda p: (p[1] IN (a, b) OR coalesce(own[p[1] + 1] IN (ca, cb), false)) AND (p[2] IN (a, b) OR coalesce(own[p[2] + 1] IN (ca, cb), false)))) = 0 AS ok
+        FROM (SELECT q.k, q.a, q.b, f.own, f.last, d.d, f.own[q.a + 1] AS ca, f.own[q.b + 1] AS cb FROM f JOIN q ON q.k = f.k + 1 CROSS JOIN d))),
+o AS (SELECT i, own[i + 1] AS c FROM (SELECT own FROM f ORDER BY k DESC LIMIT 1), l),
+m AS (SELECT c, CASE WHEN c > (SELECT g FROM n) THEN (SELECT g FROM n) + dense_rank() OVER (PARTITION BY c > (SELECT g FROM n) ORDER BY c) ELSE c END AS name FROM (SELECT DISTINCT c FROM o WHERE c IS NOT NULL))
+"""
+
+
 def review_states(spark, sf):
     e = table(spark, sf, "embeddings")
     states = e.select(_text("vec_id").alias("tracklet_id"), F.lit("valid").alias("state"), F.lit(None).cast("double").alias("split_at_s"), F.lit("").alias("notes"), F.lit("").alias("updated_at"))
@@ -478,6 +522,8 @@ QUERIES = {
     "rename_labels": (rename_labels, f"WITH {LABELS} SELECT i::VARCHAR AS tracklet_id, CASE WHEN e = 'COW_0003' THEN 'Bella' ELSE e END AS entity_id, c AS confirmed, CASE WHEN e = 'COW_0003' THEN 'identity_rename' ELSE 'old' END AS assignment_source FROM l"),
     "unassign_labels": (unassign_labels, f"WITH {LABELS} SELECT i::VARCHAR AS tracklet_id, CASE WHEN i IN (41, 42, 43) THEN '' ELSE e END AS entity_id, c AND i NOT IN (41, 42, 43) AS confirmed, CASE WHEN i IN (41, 42, 43) THEN '' ELSE 'old' END AS assignment_source FROM l"),
     "accept_pair": (accept_pair, f"WITH {LABELS} SELECT i::VARCHAR AS tracklet_id, CASE WHEN e = 'COW_0005' THEN 'COW_0002' ELSE e END AS entity_id, c OR e IN ('COW_0002', 'COW_0005') AS confirmed, CASE WHEN i IN (41, 101) THEN 'pair_review' WHEN e IN ('COW_0002', 'COW_0005') THEN 'identity_merge' ELSE 'old' END AS assignment_source FROM l"),
+    "unite_pairs": (unite_pairs, f"WITH RECURSIVE {LABELS}, {FOLD} SELECT l.i::VARCHAR AS tracklet_id, CASE WHEN o.c IS NULL THEN l.e ELSE printf('COW_%04d', name::INT) END AS entity_id, o.c IS NOT NULL OR l.c AS confirmed FROM l JOIN o ON o.i = l.i LEFT JOIN m ON m.c = o.c"),
+    "accepted_pairs": (accepted_pairs, f"WITH RECURSIVE {LABELS}, {FOLD} SELECT x AS left_id, y AS right_id, printf('COW_%04d', name::INT) AS entity_id FROM f JOIN q ON q.k = f.k AND f.ok JOIN o ON o.i = q.a JOIN m ON m.c = o.c"),
     "assign_checked": (assign_checked, f"WITH {LABELS} SELECT i::VARCHAR AS tracklet_id, CASE WHEN i IN (40, 45, 50) THEN 'COW_0009' ELSE e END AS entity_id, c OR i IN (40, 45, 50) AS confirmed, CASE WHEN i IN (40, 45, 50) THEN 'manual' ELSE 'old' END AS assignment_source FROM l"),
     "review_states": (review_states, "SELECT vec_id::VARCHAR AS tracklet_id, CASE WHEN vec_id = 17 THEN 'tracklet_error' ELSE 'valid' END AS state FROM embeddings"),
     "matching_labels": (matching_labels, f"WITH {LABELS} SELECT i::VARCHAR AS tracklet_id, e AS entity_id FROM l WHERE e LIKE '%COW_001%'"),
