@@ -390,7 +390,7 @@ def assign_checked(spark, sf):
 def _bulk(spark, sf):
     """Neighbours as candidates, with decisions and exclusions that forbid some of them."""
     e = table(spark, sf, "embeddings")
-    side = lambda of, step: (_text(of).alias("left_id"), _text(F.col(of) + step).alias("right_id"))
+    side = lambda of, step: (_text(of).alias("left_id"), (F.col(of) + step).cast("string").alias("right_id"))
     pairs = e.where("vec_id % 3 < 2").select(*side("vec_id", 19)).unionByName(e.where("vec_id % 10 = 0").select(*side("vec_id", 5)))
     rest = (F.lit("").alias("entity_id"), F.lit(None).cast("double").alias("similarity"), F.lit("").alias("notes"), F.lit("").alias("updated_at"))
     reviews = e.where("vec_id % 12 = 1").select(*side("vec_id", 43), F.lit("different").alias("decision"), *rest)
