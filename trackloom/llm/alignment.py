@@ -31,7 +31,7 @@ BROADCAST_PAIRS, HOT_SHARE = 1 << 20, 1000
 
 @functools.lru_cache(maxsize=2)
 def byte_level(path: str):
-    """(encode, bytes of each id) of a byte-level BPE file; special tokens' strings are plain text."""
+    """(encode, bytes of each id, their lengths) of a byte-level BPE file; special tokens' strings are plain text."""
     from tokenizers import Tokenizer
 
     from trackloom.llm.packing import _byte_symbols, plain_encoder
@@ -39,17 +39,18 @@ def byte_level(path: str):
     library, symbols = Tokenizer.from_file(path), _byte_symbols()
     size = library.get_vocab_size(with_added_tokens=True)
     words = [library.id_to_token(i) or "" for i in range(size)]
-    return plain_encoder(path), [bytes(symbols[c] for c in w) if all(c in symbols for c in w) else w.encode() for w in words]
+    spelled = [bytes(symbols[c] for c in w) if all(c in symbols for c in w) else w.encode() for w in words]
+    return plain_encoder(path), spelled, np.array([len(w) for w in spelled], np.int64)
 
 
 @functools.lru_cache(maxsize=2)
 def pieces(path: str):
-    """(encode, bytes of each id) of a sentencepiece model with byte fallback."""
+    """(encode, bytes of each id, their lengths) of a sentencepiece model with byte fallback."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     spelled = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, model.id_to_piece(i)) for i in range(model.get_piece_size()))]
-    return lambda text: np.array(model.encode(text), np.uint32), spelled
+    return lambda text: np.array(model.encode(text), np.uint32), spelled, np.array([len(w) for w in spelled], np.int64)
 
 
 def tokens(text: str, a, b) -> list[tuple[np.ndarray, np.ndarray]] | None:
@@ -61,12 +62,11 @@ def tokens(text: str, a, b) -> list[tuple[np.ndarray, np.ndarray]] | None:
     except UnicodeEncodeError:
         return None
     found = []
-    for (encode, spelled), given in ((a, f" {text}"), (b, text)):
+    for (encode, spelled, sizes), given in ((a, f" {text}"), (b, text)):
         ids = encode(given)
-        parts = [spelled[i] for i in ids.tolist()]
-        if b"".join(parts) != whole:
+        if b"".join(map(spelled.__getitem__, ids.tolist())) != whole:
             return None
-        found.append((ids.astype(np.int64), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))
+        found.append((ids.astype(np.int64), np.cumsum(sizes[ids])))
     return found
 
 
@@ -132,10 +132,25 @@ def linked(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tupl
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(unique), np.int64)
-    np.add.at(total, place, np.concatenate(counts))
-    return unique, total
+    """Distinct keys, in order, of arrays of distinct keys in order, and the sums of their counts."""
+    full = [k for k in range(len(keys)) if len(keys[k])]
+    if len(full) < 2:
+        return (keys[full[0]], counts[full[0]]) if full else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    key, count = np.concatenate([keys[k] for k in full]), np.concatenate([counts[k] for k in full])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+    return key[first], np.add.reduceat(count[order], first)
+
+
+def _spelled_ids(most: int) -> list[str]:
+    """Decimal ids followed by a comma, a bar or a semicolon, at 3 * id, + 1 and + 2; the list grows to the vocabulary's size."""
+    for i in range(len(_IDS) // 3, most // 3 + 1):
+        _IDS.extend((f"{i},", f"{i}|", f"{i};"))
+    return _IDS
+
+
+_IDS: list[str] = []
 
 
 class Sweep:
@@ -148,7 +163,13 @@ class Sweep:
 
     def slice(self, side: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """(ids, ends) of both tokenizers inside one slice."""
-        ends = np.intersect1d(side[0][1], side[1][1], assume_unique=False)
+        ends, other = side[0][1], side[1][1]
+        if len(ends) and len(other):
+            # both are sorted: look up, and take an end of empty tokens once
+            ends = ends[other[np.minimum(np.searchsorted(other, ends), len(other) - 1)] == ends]
+            ends = ends[np.diff(ends, prepend=-1) > 0]
+        else:
+            ends = ends[:0]
         sizes, closed = [], []
         for s, (ids, at) in enumerate(side):
             self.n[s] += len(ids)
@@ -161,14 +182,15 @@ class Sweep:
             self.close(*closed, *sizes)
 
     def close(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> None:
-        texts = [list(map(str, ids.tolist())) for ids in (a, b)]
-        x = y = 0
-        out = []
-        for i, j in zip((x_ := np.cumsum(na)).tolist(), np.cumsum(nb).tolist(), strict=True):
-            out.append(f"{texts[0][x] if i == x + 1 else ','.join(texts[0][x:i])}|{texts[1][y] if j == y + 1 else ','.join(texts[1][y:j])}")
-            x, y = i, j
-        self.hash.update(((";" if self.groups else "") + ";".join(out)).encode())
-        self.groups += len(x_)
+        # each id with what follows it, at its place in the text
+        each = np.zeros(len(a) + len(b), np.int64)
+        a_after, b_after = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_after[np.cumsum(na) - 1], b_after[np.cumsum(nb) - 1] = 1, 2
+        each[np.arange(len(a)) + np.repeat(np.cumsum(nb) - nb, na)] = 3 * a + a_after
+        each[np.arange(len(b)) + np.repeat(np.cumsum(na), nb)] = 3 * b + b_after
+        text = "".join(map(_spelled_ids(int(each.max())).__getitem__, each.tolist()))
+        self.hash.update(((";" if self.groups else "") + text[:-1]).encode())
+        self.groups += len(na)
         keys, counts = linked(a, b, na, nb)
         self.keys.append(keys), self.counts.append(counts)
         self.held += len(keys)
