@@ -49,6 +49,24 @@ def test_overlap_groups_match_pairwise_components(spark, seed):
             assert (g[a].overlap_group_id == g[b].overlap_group_id) == (root(a) == root(b))
 
 
+def test_an_islands_name_is_made_once_and_streams(spark):
+    """Ids of an island are in no row of the plan, and its hash goes on from batch to batch."""
+    import hashlib
+
+    rows = [(f"v{i % 97:03d}" if i % 10 else None, c, i, i + 3, None) for c in ("x", "y") for i in range(200)] + [("z", "y", 900, 901, None)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = manifest.overlap_groups(videos(spark, *rows))
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r.camera_id, r.overlap_group_id, r.canonical_video_id) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    name = lambda ids: "ovl_" + hashlib.sha1("|".join(sorted(ids)).encode()).hexdigest()[:12]
+    whole = name(v for v, c, *_ in rows if c == "x" and v)
+    assert got == {("x", whole, None), ("y", whole, None), ("y", name(["z"]), "z")}
+
+
 def test_corrections_apply_in_order_and_unknown_ids_fail(spark):
     raw = videos(spark, ("vid_a", "side", 0, 10, None), ("vid_b", "side", None, None, None))
     at = lambda m: T0 + timedelta(minutes=m)

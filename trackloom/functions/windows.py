@@ -31,12 +31,16 @@ def top_k(df: DataFrame, keys: Sequence[str], k: int, *order: Column, rank: str
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, tie: str, island: str = "island") -> DataFrame:
-    """Numbers the runs of intervals that overlap one of those before them; intervals that only touch don't."""
+def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, tie: str, island: str = "island", opener: str | None = None) -> DataFrame:
+    """Numbers the runs of intervals that overlap one of those before them; intervals that only touch don't.
+
+    opener, where given, is a column for the tie of the row that opens the run.
+    """
     own = Window.partitionBy(*keys).orderBy(start, tie)
-    reached = F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    reached, so_far = F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1)), own.rowsBetween(Window.unboundedPreceding, 0)
     opened = df.withColumn("__new", F.when(reached.isNull() | (F.col(start) >= reached), 1).otherwise(0))
-    return opened.withColumn(island, F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    numbered = opened.withColumns({island: F.sum("__new").over(so_far)} | ({opener: F.last(F.when(F.col("__new") == 1, F.struct(tie)), ignorenulls=True).over(so_far)[tie]} if opener else {}))
+    return numbered.drop("__new")
 
 
 def array_median(values: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackloom.functions import exprs, windows
@@ -59,6 +62,52 @@ def timestamp_fit(samples: DataFrame, key: str, offset: str = "offset_s", time:
     )
 
 
+def _island_names(numbered: DataFrame, camera_col: str, id_col: str) -> DataFrame:
+    """camera, __island and overlap_group_id, the start of the SHA-1 of the island's ids, sorted and joined by a bar.
+
+    The ids stream through the hash in sorted order, so an island of any size
+    takes no more memory than a batch, and its text is made once.
+    """
+    own = numbered.select(F.col(camera_col).alias("__camera"), "__island", F.col(id_col).cast("string").alias("__id"))
+    ranged = own.repartition("__camera", "__island").sortWithinPartitions("__camera", "__island", "__id")
+
+    def run(batches):
+        last = digest = None
+        begun = False
+        for batch in batches:
+            cameras, islands, ids = batch.columns
+            # a run ends where the camera or the island changes
+            changed = np.ones(len(ids), bool)
+            for k, c in enumerate((cameras, islands)):
+                codes = np.asarray(c.dictionary_encode().indices.fill_null(-1))
+                changed[1:] = codes[1:] != codes[:-1] if k == 0 else changed[1:] | (codes[1:] != codes[:-1])
+            cuts, texts, done = [*np.flatnonzero(changed).tolist(), len(ids)], ids.to_pylist(), []
+            for begin, end in zip(cuts, cuts[1:]):
+                key = (cameras[begin].as_py(), islands[begin].as_py())
+                if key != last or digest is None:
+                    if digest is not None:
+                        done.append((*last, digest.hexdigest()[:12]))
+                    last, digest, begun = key, hashlib.sha1(), False
+                known = [t for t in texts[begin:end] if t is not None]
+                if known:
+                    digest.update((("|" if begun else "") + "|".join(known)).encode())
+                    begun = True
+            if done:
+                yield made(done)
+        if digest is not None:
+            yield made([(*last, digest.hexdigest()[:12])])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = own.select("__camera", "__island", F.lit("").alias("__name")).schema
+    arrow = to_arrow_schema(schema)
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return ranged.mapInArrow(run, schema).select(F.col("__camera").alias(camera_col), "__island", F.concat(F.lit("ovl_"), "__name").alias("overlap_group_id"))
+
+
 def overlap_groups(manifest: DataFrame, id_col: str = "video_id", camera_col: str = "camera_id", start_col: str = "recording_start", end_col: str = "recording_end", duplicate_col: str | None = None) -> DataFrame:
     """overlap_group_id, canonical_video_id and overlap_unverified of every recording.
 
@@ -72,15 +121,14 @@ def overlap_groups(manifest: DataFrame, id_col: str = "video_id", camera_col: st
     base = manifest.withColumn("__unverified", start.isNull() | end.isNull())
     alone = base.where(F.col(camera_col).isNull() | F.col("__unverified") | (end <= start))
     timed = base.where(F.col(camera_col).isNotNull() & ~F.col("__unverified") & (end > start))
-    numbered = windows.islands(timed, [camera_col], start_col, end_col, id_col, "__island")
-    members = numbered.groupBy(camera_col, "__island").agg(F.concat_ws("|", F.array_sort(F.collect_list(F.col(id_col).cast("string")))).alias("__ids"), F.min_by(F.col(id_col).cast("string"), F.struct(start_col, id_col)).alias("canonical_video_id"))
-    grouped = numbered.join(members, [camera_col, "__island"]).withColumn("overlap_group_id", exprs.short_sha1(F.col("__ids"), "ovl_")).drop("__island", "__ids")
+    numbered = windows.islands(timed, [camera_col], start_col, end_col, id_col, "__island", "__first")
+    grouped = numbered.join(_island_names(numbered, camera_col, id_col), [camera_col, "__island"]).withColumn("canonical_video_id", F.col("__first").cast("string")).drop("__island", "__first")
     own = F.col(id_col).cast("string")
     single = alone.withColumns({"canonical_video_id": own, "overlap_group_id": F.when(F.col(camera_col).isNull(), "").otherwise(exprs.short_sha1(own, "ovl_"))})
     out = grouped.unionByName(single).withColumnRenamed("__unverified", "overlap_unverified")
     if duplicate_col is None:
         return out.select(*manifest.columns, "overlap_group_id", "canonical_video_id", "overlap_unverified")
-    originals = windows.keep_one(out, [id_col], F.col("canonical_video_id").desc()).select(own.alias("__id"), F.col("canonical_video_id").alias("__canonical"))
+    originals = out.groupBy(own.alias("__id")).agg(F.max("canonical_video_id").alias("__canonical"))
     of = exprs.blank_to_null(F.col(duplicate_col).cast("string"))
     linked = out.join(originals, of == F.col("__id"), "left")
     canonical = F.when(of.isNotNull(), F.coalesce("__canonical", of)).otherwise(F.col("canonical_video_id"))
