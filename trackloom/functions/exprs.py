@@ -228,10 +228,21 @@ def clip01(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 
+def scaled_round(value: Column, places: int) -> Column:
+    """A double rounded by scaling it first; F.round goes by its shortest decimal text, which differs at halves."""
+    return F.round(value * 10.0**places) / 10.0**places
+
+
 def frame_quality(box: Sequence[Column], width: Column, height: Column, confidence: Column, sharpness: Column, overlap: Column, gate: tuple[float, float] = (0.18, 0.82)) -> Column:
-    """How well a frame shows its subject, 0 to 1: confidence, centring, size, sharpness and margins, less overlap."""
-    middle, radius = (gate[0] + gate[1]) / 2, max(0.05, (gate[1] - gate[0]) / 2)
+    """How well a frame shows its subject, 0 to 1: confidence, centring, size, sharpness and margins, less overlap.
+
+    The gate's middle and radius are those of its decimals (0.32 for 0.18 to
+    0.82, not the double below it), and the area is a share of the picture
+    before it is weighed: frames whose qualities are equal on paper then differ
+    in the last bit, and so in rank, wherever they do by that formula.
+    """
+    middle, radius = round((gate[0] + gate[1]) / 2, 12), max(0.05, round((gate[1] - gate[0]) / 2, 12))
     centre = clip01(1 - F.abs((box[0] + box[2]) / 2 / width - middle) / radius)
-    area = clip01((box[2] - box[0]) * (box[3] - box[1]) / (0.12 * width * height))
+    area = clip01((box[2] - box[0]) * (box[3] - box[1]) / (width * height) / 0.12)
     edge = clip01(F.least(box[0] / width, (width - box[2]) / width, box[1] / height, (height - box[3]) / height) / 0.03)
     return clip01(0.30 * clip01(confidence) + 0.22 * centre + 0.18 * area + 0.17 * sharpness + 0.13 * edge - 0.35 * clip01(overlap))

@@ -45,11 +45,11 @@ v AS (SELECT *, n_frames >= 8 AND span >= 0.16 AND dx >= 0.35 * 0.16 AND n_best_
 
 def extract_tracks(spark, sf):
     rows = _extracted(spark, sf)[0]
-    return rows.select("video_id", "track_id", "n_frames", "n_best_frames", F.round("span", 6).alias("span"), F.round("mean_quality", 9).alias("mean_quality"), "valid")
+    return rows.select("video_id", "track_id", "n_frames", "n_best_frames", F.round("span", 6).alias("span"), exprs.scaled_round(F.col("mean_quality"), 9).alias("mean_quality"), "valid")
 
 
 def extract_frames(spark, sf):
-    return _extracted(spark, sf)[1].select("video_id", "track_id", "rank", "frame_idx", F.round("quality", 9).alias("quality"))
+    return _extracted(spark, sf)[1].select("video_id", "track_id", "rank", "frame_idx", exprs.scaled_round(F.col("quality"), 9).alias("quality"))
 
 
 def extract_counts(spark, sf):
