@@ -270,3 +270,28 @@ def test_retrieval_among_equal_scores(spark):
         ranked = sorted(((-round(float(unit[name] @ unit[i]), 9), i, e) for i, _, s, e in rows if s != session))
         places = [n + 1 for n, x in enumerate(ranked) if x[2] == label]
         assert got[name].correct_rank == places[0] and got[name].average_precision == pytest.approx(np.mean([(n + 1) / p for n, p in enumerate(places)]))
+
+
+def test_candidates_among_copies(spark):
+    """Thousands of copies of one vector beside others: ties go to the least ids, in few large blocks."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(7, 6)).astype(np.float32).tolist()
+    rows = [(f"t{i:05d}", base[0 if i % 2 else i % 7], f"s{i % 3}", "x") for i in range(5000)]
+    v = vectors(spark, rows)
+    assert sim._large_blocks(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 6) == 3
+    assert sim._large_blocks(spark.range(60000).select("id", F.array(F.lit(1.0)).alias("vector")), 6) == 6  # 15 blocks of BLOCK rows
+    got = {}
+    for r in sim.candidate_pairs(v, 3).where("query_id < 't00040'").collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.candidate_id
+    unit = np.array([x[1] for x in rows], float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for i in range(40):
+        score = np.round(unit @ unit[i], 9)
+        ranked = sorted((-score[j], rows[j][0]) for j in range(5000) if j % 3 != i % 3)[:3]
+        assert [got[f"t{i:05d}"][n] for n in (1, 2, 3)] == [name for _, name in ranked]
+
+
+def test_evaluation_stores_no_positives(spark):
+    v = vectors(spark, [(f"t{i}", [1.0, float(i % 5)], f"s{i % 4}", "ab"[i % 2]) for i in range(40)])
+    plan = sim.evaluate_retrieval(v)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "collect_list" not in plan

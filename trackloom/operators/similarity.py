@@ -3,7 +3,10 @@
 All pairs of two vector tables are compared block by block: each side is dealt
 to blocks of about BLOCK rows, every pair of blocks is one grouped task that
 multiplies two matrices and keeps the best few of each query, and a window
-merges those.  Nothing is broadcast and no row is made for a pair.
+merges those.  Nothing is broadcast and no row is made for a pair.  Top-k search
+takes larger blocks as the table grows, so that a row is copied to few of them,
+and evaluation, which ranks every positive, one block of queries at a time
+against all candidates.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from trackloom.functions import exprs, windows
 
 BLOCK = 4096
+#: Rows and bytes of double vectors that a large block may have.
+LARGE, LARGE_BYTES = 1 << 15, 1 << 26
 #: Similarities that agree to this many places are ties, broken by the candidate's id.
 PLACES = 9
 
@@ -39,13 +44,14 @@ def _dealt(df: DataFrame, id_col: str, blocks: int, others: int, first: bool, ke
     return df.withColumn("qb" if first else "cb", own).withColumn("cb" if first else "qb", other).withColumn("is_query", F.lit(first))
 
 
-def block_compare(queries: DataFrame, candidates: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, candidate_key: Column | None = None, block: int = BLOCK) -> DataFrame:
+def block_compare(queries: DataFrame, candidates: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, candidate_key: Column | None = None, block: int | tuple[int, int] = BLOCK) -> DataFrame:
     """kernel(queries, candidates) for every pair of blocks.
 
     Both tables have id, vector and the same further columns; candidates with
-    equal candidate_key meet in one block.
+    equal candidate_key meet in one block.  block is the rows of a block, or the
+    numbers of blocks of both sides.
     """
-    nq, nc = (max(1, -(-df.count() // block)) for df in (queries, candidates))
+    nq, nc = block if isinstance(block, tuple) else (max(1, -(-df.count() // block)) for df in (queries, candidates))
     both = _dealt(queries, "id", nq, nc, True).unionByName(_dealt(candidates, "id", nc, nq, False, candidate_key), allowMissingColumns=True)
     empty = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
 
@@ -57,6 +63,77 @@ def block_compare(queries: DataFrame, candidates: DataFrame, kernel: Callable[[p
     return both.groupBy("qb", "cb").applyInArrow(run, schema)
 
 
+def _large_blocks(vectors: DataFrame, most: int) -> int:
+    """Blocks for a table (id, vector): up to most while blocks of 2048 rows fill them, then as many as large blocks need."""
+    n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    rows = max(BLOCK // 4, min(LARGE, LARGE_BYTES // (8 * max(width, 1))))
+    return max(1, -(-n // rows), min(most, -(-n // 2048)))
+
+
+def _codes(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the values of two columns, equal where the values are; nulls are equal."""
+    both = pa.chunked_array([*a.chunks, *b.chunks], a.type).combine_chunks()
+    codes = np.asarray(both.dictionary_encode().indices.fill_null(-1)).astype(np.int64)
+    return codes[: len(a)], codes[len(a) :]
+
+
+def _equal_runs(asked: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the codes that equal each asked one begin and end in sorted codes."""
+    return np.searchsorted(codes, asked, "left"), np.searchsorted(codes, asked, "right")
+
+
+def _best_of_others(a: np.ndarray, b: np.ndarray, qs: np.ndarray, cs: np.ndarray, qid: np.ndarray, cid: np.ndarray, by_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and cosine of the k best of each row of a among the rows of b of another session and id.
+
+    Products in single precision choose: of many groups of columns the k-th
+    greatest maximum is no more than the k-th greatest product, so what lies below it by more
+    than the error of both can't be among the best.  The rest is multiplied
+    again in double precision and ranked as _best ranks; rows where many are left (copies of one
+    vector) are ranked whole.
+    """
+    place = np.empty(len(cid), np.int64)
+    place[by_id] = np.arange(len(cid))
+    groups = max(64, 4 * k)
+    by = np.argsort(cs, kind="stable")
+    width = -(-len(by) // groups) * groups
+    small = np.zeros((width, b.shape[1]), np.float32)
+    small[: len(by)] = b[by]
+    left, right = _equal_runs(qs, cs[by])
+    own = np.argsort(cid[by], kind="stable")
+    first, last = _equal_runs(qid, cid[by][own])
+    slack = np.float32(2 * (b.shape[1] + 8) * 1.2e-7)
+    step = max(1, (1 << 22) // width)
+    out = []
+
+    def hide(scores, lo):
+        for r in range(len(scores)):
+            scores[r, left[lo + r] : right[lo + r]] = -np.inf
+            if last[lo + r] > first[lo + r]:
+                scores[r, own[first[lo + r] : last[lo + r]]] = -np.inf
+
+    for lo in range(0, len(a), step):
+        scores = a[lo : lo + step].astype(np.float32) @ small.T
+        scores[:, len(by) :] = -np.inf
+        hide(scores, lo)
+        most = scores.reshape(len(scores), groups, -1).max(axis=2)
+        bar = np.partition(most, groups - k, axis=1)[:, groups - k] - slack
+        near = scores >= np.maximum(bar, np.float32(-3.0))[:, None]  # -inf never counts
+        many = np.count_nonzero(near, axis=1) > 1024
+        for r in np.flatnonzero(many):
+            whole = (b @ a[lo + r])[by]
+            hide(whole[None], lo + r)
+            i, j = _best(whole[None], place[by], k)
+            out.append((np.full(len(j), lo + r), by[j], whole[j]))
+        near[many] = False
+        i, j = np.nonzero(near)
+        exact = np.concatenate([np.einsum("ij,ij->i", a[lo + i[n : n + 65536]], b[by[j[n : n + 65536]]]) for n in range(0, max(len(i), 1), 65536)])
+        order = np.lexsort((place[by[j]], -np.round(exact, PLACES), i))
+        i, j, exact = i[order], j[order], exact[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((lo + i[kept], by[j[kept]], exact[kept]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the k best of each row by score, then the least id; -inf doesn't count."""
     rounded = np.round(scores, PLACES)
@@ -79,16 +156,9 @@ def candidate_pairs(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vect
 
     def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
         names = ["query_id", "query_session", "candidate_id", "candidate_session", "cosine", "geometry_cosine"]
-        qid, cid = (np.array(t.column("id").to_pylist()) for t in (q, c))
-        qs, cs = (np.array(t.column("session").to_pylist()) for t in (q, c))
-        out = []
-        a, b = normalized(_matrix(q.column("vector"))), normalized(_matrix(c.column("vector")))
-        for lo in range(0, len(q), 512):
-            scores = a[lo : lo + 512] @ b.T
-            scores[(qs[lo : lo + 512, None] == cs[None]) | (qid[lo : lo + 512, None] == cid[None])] = -np.inf
-            i, j = _best(scores, cid, k)
-            out.append((i + lo, j, scores[i, j]))
-        i, j, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        by_id = np.argsort(np.array(c.column("id").to_pylist()), kind="stable")
+        qs, cs = _codes(q.column("session"), c.column("session"))
+        i, j, s = _best_of_others(normalized(_matrix(q.column("vector"))), normalized(_matrix(c.column("vector"))), qs, cs, *_codes(q.column("id"), c.column("id")), by_id, k)
         if not has_geometry:
             g = pa.nulls(len(i), pa.float64())
         else:
@@ -97,7 +167,7 @@ def candidate_pairs(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vect
         i, j = pa.array(i), pa.array(j)
         return pa.table([q.column("id").take(i), q.column("session").take(i), c.column("id").take(j), c.column("session").take(j), pa.array(s), g], names=names)
 
-    found = block_compare(own, own, kernel, f"query_id {kinds['id']}, query_session {kinds['session']}, candidate_id {kinds['id']}, candidate_session {kinds['session']}, cosine double, geometry_cosine double")
+    found = block_compare(own, own, kernel, f"query_id {kinds['id']}, query_session {kinds['session']}, candidate_id {kinds['id']}, candidate_session {kinds['session']}, cosine double, geometry_cosine double", block=(_large_blocks(own, 6),) * 2)
     best = windows.top_k(found, ["query_id"], k, F.round("cosine", PLACES).desc(), F.col("candidate_id").asc())
     return best.select("query_id", "query_session", "rank", "candidate_id", "candidate_session", "cosine", "geometry_cosine")
 
@@ -292,70 +362,64 @@ def entity_candidates(vectors: DataFrame, labels: DataFrame, entity: str, k: int
     return scored.orderBy(F.round("similarity", PLACES).desc(), "tracklet_id").limit(k)
 
 
-def _evaluation_kernel(q: pa.Table, c: pa.Table, exclude_session: bool) -> tuple:
-    qid, cid = (np.array(t.column("id").to_pylist()) for t in (q, c))
-    qs, cs = (np.array(t.column("session").to_pylist()) for t in (q, c))
-    qe, ce = (np.array(t.column("entity").to_pylist()) for t in (q, c))
-    scores = np.round(normalized(_matrix(q.column("vector"))) @ normalized(_matrix(c.column("vector"))).T, PLACES)
-    allowed = qid[:, None] != cid[None]
-    if exclude_session:
-        allowed &= qs[:, None] != cs[None]
-    return scores, allowed, allowed & (qe[:, None] == ce[None])
+def _ranked_positives(q: pa.Table, c: pa.Table) -> pa.Table:
+    """What evaluate_retrieval returns for queries against all candidates.
+
+    A candidate is one integer: how far its rounded similarity is from 1, then its
+    place by id, then whether it is of the query's entity.  Sorted, those are the
+    ranking; a few rows at a time, so that they take 16 MB.
+    """
+    by_id = np.argsort(np.array(c.column("id").to_pylist()), kind="stable")
+    (qs, cs), (qe, ce), (qid, cid) = (_codes(q.column(n), c.column(n)) for n in ("session", "entity", "id"))
+    by = by_id[np.argsort(cs[by_id], kind="stable")]
+    a, b, ce = normalized(_matrix(q.column("vector"))), normalized(_matrix(c.column("vector")))[by], ce[by]
+    place = np.empty(len(by), np.int64)
+    place[by_id] = np.arange(len(by))
+    base, hidden, unit = place[by] << 1, np.int64(2**63 - 2), 10**PLACES
+    left, right = _equal_runs(qs, cs[by])
+    own = np.argsort(cid[by], kind="stable")
+    first, last = _equal_runs(qid, cid[by][own])
+    step = max(1, (1 << 21) // len(by))
+    out = []
+    for lo in range(0, len(a), step):
+        far = np.rint(a[lo : lo + step] @ b.T * -float(unit)) + float(unit)
+        far[np.isnan(far)] = 5 * unit // 2  # vectors that aren't numbers come last
+        keys = (far.astype(np.int64) << 31) + base
+        keys += qe[lo : lo + step, None] == ce[None]
+        for r in range(len(keys)):
+            keys[r, left[lo + r] : right[lo + r]] = hidden
+            if last[lo + r] > first[lo + r]:
+                keys[r, own[first[lo + r] : last[lo + r]]] = hidden
+        keys.sort(axis=1)
+        i, p = np.nonzero(keys & 1)
+        found, at = np.unique(i, return_index=True)
+        n = np.arange(len(i)) - np.repeat(at, np.diff([*at, len(i)])) + 1
+        precision = np.bincount(i, n / (p + 1), len(keys))[found] / np.diff([*at, len(i)])
+        top = keys[found, 0]
+        away = top >> 31
+        similarity = np.where(away > 2 * unit + 9, np.nan, (unit - away) / unit)
+        out.append((found + lo, by_id[(top & (2**31 - 1)) >> 1], similarity, p[at] + 1, precision, np.count_nonzero(keys[found] != hidden, axis=1)))
+    i, best, similarity, rank, precision, eligible = (np.concatenate(x) for x in zip(*out, strict=True))
+    rows = [q.column(n).combine_chunks().take(pa.array(i)) for n in ("id", "entity")]
+    return pa.table([*rows, c.column("id").combine_chunks().take(pa.array(best)), pa.array(similarity), pa.array(rank, pa.int64()), pa.array(precision), pa.array(eligible, pa.int64())], names=["query_id", "entity", "best_candidate_id", "best_similarity", "correct_rank", "average_precision", "eligible"])
 
 
 def evaluate_retrieval(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", entity: str | Column = "label", session: str | Column = "session_id") -> DataFrame:
     """Cross-session leave-one-out retrieval, a row for each query with a positive: query_id, entity, best_candidate_id, best_similarity, correct_rank, top1, top5, average_precision, eligible.
 
-    Two block passes.  The first gives the positives of each query with their
-    scores; the second counts, in every block, the candidates before each of
-    them, so only positives make rows and ranks come from sums of counts.
+    Average precision needs the rank of every positive among all candidates,
+    and there are quadratically many of them: a block of queries meets all
+    candidates in one task, which ranks a few queries at a time and returns one
+    row for each, so neither positives nor ranks are ever stored.  A task holds
+    the candidates' vectors: 0.8 GB for a million of 64 dimensions, by when the
+    comparisons themselves take hours.
     """
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
     own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), as_column(entity).alias("entity"), as_column(session).alias("session"))
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-
-    def positives(q: pa.Table, c: pa.Table) -> pa.Table:
-        scores, _, right = _evaluation_kernel(q, c, True)
-        i, j = np.nonzero(right)
-        return pa.table([q.column("id").take(pa.array(i)), c.column("id").take(pa.array(j)), pa.array(scores[i, j])], names=["id", "cid", "score"])
-
-    good = block_compare(own, own, positives, f"id {kinds['id']}, cid {kinds['id']}, score double")
-    lists = good.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "cid"))).alias("positives"))
-    asked = own.join(lists, "id")
-
-    def counts(q: pa.Table, c: pa.Table) -> pa.Table:
-        names = ["id", "before", "eligible", "best_minus", "best_id"]
-        scores, allowed, _ = _evaluation_kernel(q, c, True)
-        by_id = np.argsort(np.array(c.column("id").to_pylist()), kind="stable")
-        cid = np.array(c.column("id").to_pylist())[by_id]
-        minus = np.where(allowed, -scores, np.inf)[:, by_id]
-        order = np.argsort(minus, axis=1, kind="stable")  # by score, then id
-        ranked = np.take_along_axis(minus, order, axis=1)
-        lists = q.column("positives").combine_chunks()
-        cuts, flat = lists.offsets.to_numpy(), lists.values
-        own, wanted = flat.field("minus").to_numpy(), np.searchsorted(cid, np.array(flat.field("cid").to_pylist()))
-        low, high = np.zeros(cuts[-1], np.int64), np.zeros(cuts[-1], np.int64)
-        for row in range(len(ranked)):
-            part = slice(cuts[row], cuts[row + 1])
-            low[part], high[part] = (np.searchsorted(ranked[row], own[part], side) for side in ("left", "right"))
-        # among equal scores, those of a smaller id; mostly the positive is alone
-        before, at = low.copy(), np.repeat(np.arange(len(ranked)), np.diff(cuts))
-        alone = np.flatnonzero(high - low == 1)
-        before[alone] += order[at[alone], low[alone]] < wanted[alone]
-        for n in np.flatnonzero(high - low > 1):
-            before[n] += np.searchsorted(order[at[n], low[n] : high[n]], wanted[n])
-        eligible, best = allowed.sum(axis=1), order[:, 0]
-        some = pa.array(eligible > 0)
-        return pa.table([q.column("id").combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(before)), pa.array(eligible), pc.if_else(some, pa.array(ranked[:, 0]), None), pc.if_else(some, c.column("id").combine_chunks().take(pa.array(by_id[best])), None)], names=names)
-
-    parts = block_compare(asked, own, counts, f"id {kinds['id']}, before array<bigint>, eligible bigint, best_minus double, best_id {kinds['id']}")
-    spread = parts.select("id", F.posexplode("before").alias("n", "before"), "eligible", "best_minus", "best_id")
-    ranks = spread.groupBy("id", "n").agg((F.sum("before") + 1).alias("rank"), F.sum("eligible").alias("eligible"), F.min(F.struct("best_minus", "best_id")).alias("best"))
-    by_query = ranks.groupBy("id").agg(F.min("rank").alias("correct_rank"), F.avg((F.col("n") + 1) / F.col("rank")).alias("average_precision"), F.first("eligible").alias("eligible"), F.first("best").alias("best"))
-    return by_query.join(own.select("id", "entity"), "id").select(
-        F.col("id").alias("query_id"), "entity", F.col("best.best_id").alias("best_candidate_id"), (-F.col("best.best_minus")).alias("best_similarity"),
-        "correct_rank", (F.col("correct_rank") == 1).alias("top1"), (F.col("correct_rank") <= 5).alias("top5"), "average_precision", "eligible",
-    )
+    schema = f"query_id {kinds['id']}, entity {kinds['entity']}, best_candidate_id {kinds['id']}, best_similarity double, correct_rank bigint, average_precision double, eligible bigint"
+    rows = block_compare(own, own, _ranked_positives, schema, block=(_large_blocks(own, 24), 1))
+    return rows.select("query_id", "entity", "best_candidate_id", "best_similarity", "correct_rank", (F.col("correct_rank") == 1).alias("top1"), (F.col("correct_rank") <= 5).alias("top5"), "average_precision", "eligible")
 
 
 def retrieval_summary(rows: DataFrame) -> DataFrame:
