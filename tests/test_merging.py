@@ -97,3 +97,15 @@ def test_spanning_forest(spark):
     assert sorted(r.k for r in forest.collect()) == kept
     root = {r.node: r.root for r in roots.collect()}
     assert all((root[a] == root[b]) == (up[a] == up[b]) for a in root for b in root)
+
+
+def test_a_cut_computes_once_and_leaves_few_partitions(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    cut = graphs.cut(spark.range(40).repartition(40).mapInArrow(count, "id bigint"))
+    assert cut.rdd.getNumPartitions() < 40 and sorted(r.id for r in cut.collect()) == list(range(40)) and seen.value == 40

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trackloom.sources import tables
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df kept in the folder of spark.checkpoint.dir; a local master that names none takes a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="trackloom-"))
-    return df.checkpoint()
+    """df written below spark.checkpoint.dir and read again: computed once, in few files, so that rounds over small tables have few tasks."""
+    return tables.held(df)
 
 
 def _follow(parents: DataFrame) -> DataFrame:
