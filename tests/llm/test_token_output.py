@@ -1,4 +1,5 @@
 import functools
+import time
 import zlib
 
 import numpy as np
@@ -94,3 +95,30 @@ def test_damage_is_an_error():
             list(token_output.read_blocks(whole[:cut]))
     with pytest.raises(ValueError, match="should be"):
         list(token_output.read_blocks(blocks[1] + b"\n"))
+
+
+def test_a_block_is_coded_in_lanes():
+    r = np.random.default_rng(1)
+    ids = r.zipf(1.3, 1 << 18).clip(0, 49407).astype(np.uint32)
+    begin = time.process_time()
+    (code,) = range_coder.encode_blocks([ids], 16)
+    (back,) = range_coder.decode_blocks([code], np.array([len(ids)]), 16)
+    assert (back == ids).all() and len(code) < 2 * len(ids)
+    assert time.process_time() - begin < 10  # id by id it takes minutes
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aZéÉßàíÿ÷×Þ's|<1.!е²ª½ĿΣ\n <")), max_size=30))
+def test_pieces_give_the_ids_of_whole_texts(text):
+    for own in (text, text + "<|endoftext|>", text + "'LL", "I'm" + text):
+        assert token_output.word_encoder(PATH)(own).tolist() == ids_of(own)[:-1]
+
+
+def test_words_that_share_pieces_cost_the_library_each_piece_once(monkeypatch):
+    made = []
+    init = token_output.Known.__init__
+    monkeypatch.setattr(token_output.Known, "__init__", lambda self, make, most: init(self, lambda text: made.append(text) or make(text), most))
+    token_output.word_encoder.cache_clear()
+    assert token_output.word_encoder(PATH)("Sole sole, SOLE. (sole)").tolist() == ids_of("Sole sole, SOLE. (sole)")[:-1]
+    token_output.word_encoder.cache_clear()
+    assert made.count("sole") == 1

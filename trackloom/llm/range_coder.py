@@ -1,12 +1,17 @@
-"""Adaptive context-mixing range coder of token ids, many blocks side by side.
+"""Adaptive context-mixing range coder of token ids, the lanes of a block side by side.
 
 Three predictions of the next id are mixed: the id that followed the same two
-ids (order 2), the id that followed the same id (order 1), and counts of all
-ids so far (order 0).  What each is worth is learned by how often it came true
-lately: adaptive weights for each state of trust in the two followers.  A range
-coder codes which prediction gives the id, then by order 0, if no follower
-does, the id itself.  Nothing is carried from block to block, so a block is a
-lane of numpy's arrays and lanes go step by step together.  All arithmetic is
+ids (order 2), the id that followed the same id (order 1), and counts of the
+ids that neither gave (order 0).  What each is worth is learned by how often it
+came true lately: adaptive weights for each state of trust in the two
+followers.  A range coder (of asymmetric numerals, so it codes backwards what
+it decodes forwards) codes which prediction gives the id and, if no follower
+does, the id itself, as one range.
+
+A block is cut into lanes of about STEPS ids, which go step by step together as
+numpy's arrays and share one model: a step is predicted from all steps before
+it in all lanes.  Followers learn after each step, weights and counts at the
+steps that say so.  Nothing is carried from block to block.  All arithmetic is
 of integers: any machine decodes what another one encoded.
 """
 
@@ -14,200 +19,186 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Ids of a block; followers kept for each order (a power of two); blocks coded together.
-BLOCK, SLOTS, LANES = 16384, 1 << 14, 512
+#: Ids of a block and of a lane; followers kept for pairs of ids (a power of two).
+BLOCK, STEPS, SLOTS = 1 << 21, 256, 1 << 18
 #: What a seen id adds to its count (an unseen one has 1), what a prediction that came true adds to its weight, and the sum at which weights are halved.
-SEEN, RIGHT, FULL = 256, 32, 1 << 12
-#: Trust in a follower goes from 0 to this.
-TRUST = 7
+SEEN, RIGHT, FULL = 64, 8, 1 << 16
+#: Trust in a follower goes from 0 to 7; it stands above its id + 1 (0 is none).
+TRUST_AT, FOLLOWER = 28, np.int32((1 << 28) - 1)
+#: Trust after a prediction that was wrong (first row) or right; a wrong follower of trust 0 or 1 is replaced.
+NEXT = (np.array([[1, 1, 1, 1, 2, 2, 3, 3], [1, 2, 3, 4, 5, 6, 7, 7]], np.int32) << TRUST_AT).astype(np.int32).ravel()
+#: Bits of the sum of weights and of a word of the code; a lane's state is at least LEAST and below LEAST << WORD.
+CHOICE, WORD, LEAST = 10, 32, 1 << 31
+#: Bits of an id at most, so that a range is at most 31 bits.
+MOST_BITS = 20
 U = np.uint64
-TOP, BOTTOM = U(1 << 56), U(1 << 48)
 
 
 class Mixer:
-    """Followers, weights and counts of lanes in step, for ids of so many bits.
-
-    The counts are a binary tree: a node holds how much lies in its left half.
-    """
-
-    def __init__(self, lanes: int, bits: int):
-        self.bits, self.lane = bits, np.arange(lanes, dtype=np.int64)
-        self.follower = [np.zeros(lanes * SLOTS, np.uint32) for _ in range(2)]
-        self.trust = [np.zeros(lanes * SLOTS, np.uint8) for _ in range(2)]
-        self.weight = np.full((lanes * 128, 3), 64, np.int64)
-        left = np.ones(1 << bits, np.int32)
-        for k in range(bits):
-            left[1 << k : 2 << k] = 1 << (bits - 1 - k)
-        self.left = np.tile(left, lanes)
-        self.count = np.ones(lanes << bits, np.int32)
-        self.total = np.full(lanes, 1 << bits, np.int64)
+    """Followers, weights and counts for ids of so many bits."""
+
+    def __init__(self, bits: int, slots: bool):
+        if bits > MOST_BITS:
+            raise ValueError(f"ids of {bits} bits; the coder takes at most {MOST_BITS}")
+        self.bits, self.slots = bits, slots
+        self.literal = max(bits + 1, min(bits + 4, 31 - CHOICE))
+        self.scale = self.literal + CHOICE
+        self.two, self.one = np.zeros(SLOTS, np.int32), np.zeros(1 << bits, np.int32)
+        self.seen = np.full((128, 3), RIGHT, np.int64)
+        self.count, self.new = np.ones(1 << bits, np.int64), []
+        self._weigh()
+        self._count()
 
     def predict(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Followers by order 2 and 1 (id + 1; 0 is none), and the weights of order 2, 1 and 0."""
-        m = self.lane[: len(last)]
-        one = (last + U(1)) * U(0x9E3779B97F4A7C15)
-        two = (one ^ (before + U(1))) * U(0xD6E8FEB86659FD93)
-        self.at = [m * SLOTS + (h >> U(40)).astype(np.int64) % SLOTS for h in (two, one)]
-        self.two, self.one = (f[a] for f, a in zip(self.follower, self.at, strict=True))
-        self.trusts = [t[a] for t, a in zip(self.trust, self.at, strict=True)]
-        self.state = m * 128 + self.trusts[0].astype(np.int64) * 16 + self.trusts[1] * 2 + (self.two == self.one)
-        return self.two, self.one, self.weight[self.state]
-
-    def learn(self, choice: np.ndarray, ids: np.ndarray) -> None:
-        """Weights and followers after the ids that came; the counts are kept by encode and decode of literals."""
-        w = self.weight[self.state]
-        w[np.arange(len(choice)), choice] += RIGHT
-        full = w.sum(1) > FULL
-        if full.any():
-            w[full] = (w[full] + 1) >> 1
-        self.weight[self.state] = w
-        new = ids.astype(np.uint32) + np.uint32(1)
-        for k, old in enumerate((self.two, self.one)):
-            trust, right = self.trusts[k], old == new
-            keep = right | (trust > 1)
-            self.follower[k][self.at[k]] = np.where(keep, old, new)
-            self.trust[k][self.at[k]] = np.where(right, np.minimum(trust + 1, TRUST), np.where(keep, trust >> 1, 1))
-
-    def count_up(self, lanes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(count below each id, its count, all counts), as they were before each id's count goes up."""
-        ids = ids.astype(np.int64)
-        shift = np.arange(self.bits, 0, -1)[:, None]
-        path = (lanes << self.bits) + ((ids | 1 << self.bits) >> shift)
-        right = (ids >> (shift - 1)) & 1
-        left = self.left[path]
-        below = (left * right).sum(0, dtype=np.int64)
-        self.left[path] = left + SEEN * (1 - right)
-        return below, *self._leaf(lanes, ids)
-
-    def find(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The ids whose counts cover value, then what count_up gives for them."""
-        node, base, value, below = np.ones(len(lanes), np.int64), lanes << self.bits, value.copy(), np.zeros(len(lanes), np.int64)
-        for _ in range(self.bits):
-            at = base + node
-            left = self.left[at]
-            right = value >= left
-            over = left * right
-            value -= over
-            below += over
-            self.left[at] = left + SEEN * ~right
-            node = 2 * node + right
-        ids = node - (1 << self.bits)
-        return ids, below, *self._leaf(lanes, ids)
-
-    def _leaf(self, lanes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own, total = self.count[(lanes << self.bits) + ids], self.total[lanes]
-        self.count[(lanes << self.bits) + ids] = own + SEEN
-        self.total[lanes] = total + SEEN
-        return own, total
-
-
-class Ranges:
-    """Carryless ranges of lanes; a range that gets small across a carry is cut to end before it."""
-
-    def __init__(self, lanes: int):
-        self.low, self.span = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-
-    def narrow(self, lanes, start: np.ndarray, size: np.ndarray, step: np.ndarray):
-        """Takes the part [start, start + size) of step-sized units and yields, as often as needed, the lanes that move on by a byte."""
-        lo = self.low[lanes] + step * start.astype(U)
-        sp = step * size.astype(U)
-        self.low[lanes], self.span[lanes] = lo, sp
-        go = np.flatnonzero(((lo ^ (lo + sp)) < TOP) | (sp < BOTTOM))
-        go = go if isinstance(lanes, slice) else lanes[go]
-        while len(go):
-            lo, sp = self.low[go], self.span[go]
-            same = (lo ^ (lo + sp)) < TOP
-            cut = ~same & (sp < BOTTOM)
-            sp = np.where(cut, (~lo + U(1)) & (BOTTOM - U(1)), sp)
-            self.span[go] = sp
-            go, lo, sp = go[same | cut], lo[same | cut], sp[same | cut]
-            if len(go):
-                yield go, lo
-                self.low[go], self.span[go] = lo << U(8), sp << U(8)
-
-
-def _lockstep(lengths: np.ndarray):
-    """(step, lanes that still run) for lanes of falling length."""
-    at = 0
-    for end in np.unique(lengths[lengths > 0]):
-        m = int((lengths >= end).sum())
-        yield from ((t, m) for t in range(at, int(end)))
-        at = int(end)
-
-
-def _context(ids: np.ndarray, t: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    none = np.zeros(m, U)
-    return ids[:m, t - 2] if t > 1 else none, ids[:m, t - 1] if t else none
+        """Followers by order 2 and 1 (id + 1; 0 is none), and where the weights of their state begin."""
+        self.last = last
+        self.at = ((last * 0x9E3779B1 ^ before) * 0x85EBCA6B) >> 13 & (SLOTS - 1)
+        two, one = self.two.take(self.at), self.one.take(last)
+        self.trust = two >> TRUST_AT, one >> TRUST_AT
+        two &= FOLLOWER
+        one &= FOLLOWER
+        state = self.trust[0] << 3
+        state |= self.trust[1]
+        state <<= 1
+        state |= two == one
+        state *= 3
+        self.state = state.astype(np.int64)
+        return two, one, self.state
+
+    def learn(self, t: int, own: np.ndarray, new: np.ndarray, literals: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
+        """The model after the ids (+ 1: new) that came at step t, by the weights own."""
+        self.seen += RIGHT * np.bincount(own, minlength=384).reshape(128, 3)
+        for table, at, old, trust in ((self.two, self.at, two, self.trust[0]), (self.one, self.last, one, self.trust[1])):
+            right = old == new
+            after = NEXT.take(right * np.int32(8) + trust)
+            right |= trust > 1
+            after |= np.where(right, old, new)
+            table[at] = after
+        self.new.append(literals)
+        t += 1
+        if t < 32 or t % 4 == 0:
+            self._weigh()
+        if t & (t - 1) == 0 or t % 128 == 0:
+            self._count()
+
+    def _weigh(self) -> None:
+        sums = self.seen.sum(1)
+        if (full := sums > FULL).any():
+            self.seen[full] = (self.seen[full] + 1) >> 1
+            sums = self.seen.sum(1)
+        size = 1 + self.seen * ((1 << CHOICE) - 3) // sums[:, None]
+        size[np.arange(128), size.argmax(1)] += (1 << CHOICE) - size.sum(1)
+        ends = size.cumsum(1)
+        self.size, self.low = size.ravel(), (ends - size).ravel() << self.literal
+        self.low_one, self.low_none = (ends[:, k].repeat(3) << self.literal for k in range(2))
+
+    def _count(self) -> None:
+        if self.new:
+            self.count += SEEN * np.bincount(np.concatenate(self.new), minlength=1 << self.bits)
+            self.new.clear()
+        size = 1 + self.count * ((1 << self.literal) - (1 << self.bits)) // self.count.sum()
+        size[size.argmax()] += (1 << self.literal) - size.sum()
+        self.id_size, self.id_low = size, size.cumsum() - size
+        if self.slots:
+            self.id_at = np.arange(1 << self.bits, dtype=np.uint16 if self.bits <= 16 else np.uint32).repeat(size)
+
+
+def _lanes(n: int) -> tuple[int, int]:
+    """Steps and lanes of a block of n ids; the last lane may be shorter."""
+    steps = -(-n // max(n // STEPS, 1))
+    return steps, -(-n // steps) if n else 0
+
+
+def encode_block(ids: np.ndarray, bits: int) -> bytes:
+    """The code of ids below 2^bits: the lanes' states, then words in the order in which they are read."""
+    n = len(ids)
+    steps, lanes = _lanes(n)
+    table = np.zeros(steps * lanes, np.int64)
+    table[:n] = ids
+    table = np.ascontiguousarray(table.reshape(lanes, steps).T) if n else table
+    mixer, ranges = Mixer(bits, slots=False), []
+    before = last = np.zeros(lanes, np.int64)
+    literal = mixer.literal
+    for t in range(steps):
+        m = -(-(n - t) // steps)
+        now = table[t, :m]
+        two, one, own = mixer.predict(before[:m], last[:m])
+        new = now.astype(np.int32)
+        new += np.int32(1)
+        miss = two != new
+        own = own + miss
+        own += miss & (one != new)
+        low, size = mixer.low.take(own), mixer.size.take(own)
+        rest = np.flatnonzero(miss & (one != new))
+        literals, weight = now.take(rest), size.take(rest)
+        size <<= literal
+        low[rest] += weight * mixer.id_low.take(literals)
+        size[rest] = weight * mixer.id_size.take(literals)
+        ranges.append((low.astype(np.uint32), size.astype(np.uint32)))
+        mixer.learn(t, own, new, literals, two, one)
+        before, last = last, now
+    state, words, room = np.full(lanes, LEAST, U), [], U(63 - mixer.scale)
+    for low, size in reversed(ranges):
+        size = size.astype(U)
+        x = state[: len(low)]
+        full = np.flatnonzero(x >= size << room)
+        if len(full):
+            over = x[full]
+            words.append(over.astype("<u4"))
+            x[full] = over >> U(WORD)
+        q = x // size
+        x += ((q << U(mixer.scale)) + low) - q * size
+    return state.astype("<u8").tobytes() + b"".join(w.tobytes() for w in reversed(words))
+
+
+def decode_block(code: bytes, n: int, bits: int) -> np.ndarray:
+    """The n ids of a block.  A damaged code gives wrong ids, no error: callers compare checksums."""
+    steps, lanes = _lanes(n)
+    raw = np.zeros(max(len(code) + 4, 8 * lanes) // 4 + n, "<u4")
+    raw.view(np.uint8)[: len(code)] = np.frombuffer(code, np.uint8)
+    x, words, at = raw[: 2 * lanes].view("<i8").astype(np.int64), raw[2 * lanes :], 0
+    out = np.zeros((steps, lanes), np.uint32)
+    mixer = Mixer(bits, slots=True)
+    before = last = np.zeros(lanes, np.int64)
+    literal, most, inside = mixer.literal, np.int32((1 << bits) - 1), (1 << mixer.scale) - 1
+    for t in range(steps):
+        m = -(-(n - t) // steps)
+        x = x[:m]
+        two, one, state = mixer.predict(before[:m], last[:m])
+        slot = x & inside
+        miss, none = slot >= mixer.low_one.take(state), slot >= mixer.low_none.take(state)
+        own = state + miss
+        own += none
+        slot -= mixer.low.take(own)
+        size = mixer.size.take(own)
+        now = np.where(miss, one, two)
+        now -= np.int32(1)
+        now &= most
+        rest = np.flatnonzero(none)
+        weight, inner = size.take(rest), slot.take(rest)
+        literals = mixer.id_at.take((inner.view(U) // weight.view(U)).view(np.int64), mode="clip").astype(np.int64)
+        now[rest] = literals
+        size <<= literal
+        slot[rest] = inner - weight * mixer.id_low.take(literals)
+        size[rest] = weight * mixer.id_size.take(literals)
+        x >>= mixer.scale
+        x *= size
+        x += slot
+        short = np.flatnonzero(x < LEAST)
+        if len(short):
+            x[short] = x.take(short) << WORD | words[at : at + len(short)]
+            at += len(short)
+        out[t, :m] = now
+        mixer.learn(t, own, now + np.int32(1), literals, two, one)
+        before, last = last, now.astype(np.int64)
+    return out.T.ravel()[:n]
 
 
 def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
-    """The code of each block of ids below 2^bits; at most LANES blocks, of falling length."""
-    lengths = np.array([len(b) for b in blocks], np.int64)
-    n, width = len(blocks), int(lengths.max(initial=0))
-    ids = np.zeros((n, width), U)
-    for i, b in enumerate(blocks):
-        ids[i, : len(b)] = b
-    out, put = np.zeros((n, width * 8 + 16), np.uint8), np.zeros(n, np.int64)
-    ranges, mixer = Ranges(n), Mixer(n, bits)
-
-    def code(lanes, start, size, total):
-        for go, low in ranges.narrow(lanes, start, size, ranges.span[lanes] // total.astype(U)):
-            out[go, put[go]] = low >> U(56)
-            put[go] += 1
-
-    for t, m in _lockstep(lengths):
-        now = ids[:m, t]
-        two, one, weight = mixer.predict(*_context(ids, t, m))
-        choice = np.where(two == now + U(1), 0, np.where(one == now + U(1), 1, 2))
-        sums = np.cumsum(weight, 1)
-        own = weight[mixer.lane[:m], choice]
-        code(slice(0, m), sums[mixer.lane[:m], choice] - own, own, sums[:, 2])
-        rest = np.flatnonzero(choice == 2)
-        if len(rest):
-            code(rest, *mixer.count_up(rest, now[rest]))
-        mixer.learn(choice, now)
-    for shift in range(56, -1, -8):
-        out[np.arange(n), put] = (ranges.low >> U(shift)) & U(255)
-        put += 1
-    return [out[i, : put[i]].tobytes() for i in range(n)]
+    """The code of each block of ids below 2^bits."""
+    return [encode_block(b, bits) for b in blocks]
 
 
 def decode_blocks(codes: list[bytes], lengths: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The ids of each block; at most LANES blocks, of falling length.  A damaged code gives wrong ids, no error: callers compare checksums."""
-    n, width = len(codes), int(lengths.max(initial=0))
-    data = np.zeros((n, max(map(len, codes), default=0) + 8), np.uint8)
-    for i, c in enumerate(codes):
-        data[i, : len(c)] = np.frombuffer(c, np.uint8)
-    last, got, value = data.shape[1] - 1, np.full(n, 8, np.int64), np.zeros(n, U)
-    for i in range(8):
-        value = (value << U(8)) | data[:, i]
-    ids = np.zeros((n, width), U)
-    ranges, mixer = Ranges(n), Mixer(n, bits)
-
-    def where(lanes, total):
-        step = ranges.span[lanes] // total.astype(U)
-        place = (value[lanes] - ranges.low[lanes]) // np.maximum(step, U(1))
-        return step, np.minimum(place, (total - 1).astype(U)).astype(np.int64)
-
-    def move(lanes, start, size, step):
-        for go, _ in ranges.narrow(lanes, start, size, step):
-            value[go] = (value[go] << U(8)) | data[go, np.minimum(got[go], last)]
-            got[go] += 1
-
-    for t, m in _lockstep(lengths):
-        two, one, weight = mixer.predict(*_context(ids, t, m))
-        sums, lanes = np.cumsum(weight, 1), slice(0, m)
-        step, place = where(lanes, sums[:, 2])
-        choice = (place >= sums[:, 0]).astype(np.int64) + (place >= sums[:, 1])
-        own = weight[mixer.lane[:m], choice]
-        move(lanes, sums[mixer.lane[:m], choice] - own, own, step)
-        now = np.where(choice == 0, two, one).astype(np.int64) - 1
-        rest = np.flatnonzero(choice == 2)
-        if len(rest):
-            step, place = where(rest, mixer.total[rest])
-            now[rest], below, own, _ = mixer.find(rest, place)
-            move(rest, below, own, step)
-        now &= (1 << bits) - 1
-        ids[:m, t] = now
-        mixer.learn(choice, now)
-    return [ids[i, : lengths[i]].astype(np.uint32) for i in range(n)]
+    """The ids of each block."""
+    return [decode_block(c, int(n), bits) for c, n in zip(codes, lengths, strict=True)]

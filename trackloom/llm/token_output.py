@@ -18,7 +18,9 @@ files, so any shared file system will do.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import struct
 import zlib
 
@@ -27,12 +29,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from trackloom.llm.memory import trimmed
-from trackloom.llm.range_coder import BLOCK, LANES, decode_blocks, encode_blocks
+from trackloom.llm.range_coder import BLOCK, decode_block, encode_block
 
 HEAD = struct.Struct("<4sBBBxIIIIIII")
-MARK, FORMAT = b"TLid", 1
-#: Distinct words whose ids a worker remembers, and the longest word that it remembers.
-WORDS, LONGEST = 1 << 18, 64
+MARK, FORMAT = b"TLid", 2
+#: Distinct words and pieces of words whose ids a worker remembers, and the longest that it remembers.
+WORDS, PIECES, LONGEST = 1 << 20, 1 << 19, 64
+#: The split of the files that are read by pieces, and the same split for lower-case words of these letters, which NFC leaves alone.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS = "a-zß-öø-ÿ"
+PLAIN, PIECE = re.compile("[!-~À-ÖØ-öø-ÿ]+"), re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+#: The byte-level letters of a plain word's UTF-8 bytes.
+BYTES = {c: chr(b[0]) + {0x9F: "Ł", 0xA0: "ł", 0xAD: "Ń"}.get(b[1], chr(b[1])) for c in range(0xDF, 0x100) if (b := chr(c).encode())}
+
+
+class Known(dict):
+    """The ids (uint32 bytes) that make gives for texts, remembered for at most so many of them."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.make(text)
+        if len(text) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[text] = ids
+        return ids
 
 
 @functools.lru_cache(maxsize=2)
@@ -41,31 +65,44 @@ def word_encoder(path: str):
 
     Where the file drops white space, no token crosses a blank or line feed, so
     each distinct word between them is given to the library once and then
-    remembered; any other file gets whole texts.
+    remembered; any other file gets whole texts.  Where the file lowers words
+    and splits them by SPLIT, words of plain letters are split here, and each
+    distinct piece is given to the library's model alone.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    library, known = Tokenizer.from_file(path), {}
+    library = Tokenizer.from_file(path)
     whole = lambda text: library.encode(text, add_special_tokens=False).ids
     probe = ["a", " a", "a ", "\na", "don't", "<|endoftext|>", "é", "Σ"]
     if any(whole(f"{x} {y}") != whole(x) + whole(y) or whole(f"{x}\n\n{y}") != whole(x) + whole(y) for x in probe for y in probe) or whole(" \n "):
         return lambda text: np.array(whole(text), np.uint32)
 
-    def encode(text: str) -> np.ndarray:
-        out: list[int] = []
-        for word in text.replace("\n", " ").split(" "):
-            ids = known.get(word)
-            if ids is None:
-                ids = whole(word)
-                if len(word) <= LONGEST:
-                    if len(known) >= WORDS:
-                        known.clear()
-                    known[word] = ids
-            out += ids
-        return np.array(out, np.uint32)
+    packed = lambda ids: np.array(ids, "<u4").tobytes()
+    word, special = lambda text: packed(whole(text)), _plain_split(path)
+    if special is not None:
+        model = library.model
+        piece = Known(lambda text: packed([t.id for t in model.tokenize(text.translate(BYTES) if not text.isascii() else text)]), PIECES).__getitem__
+
+        def word(text: str) -> bytes:
+            if PLAIN.fullmatch(text) and not any(s in text for s in special):
+                return b"".join(map(piece, PIECE.findall(text.lower())))
+            return packed(whole(text))
 
-    return encode
+    known = Known(word, WORDS).__getitem__
+    return lambda text: np.frombuffer(b"".join(map(known, text.replace("\n", " ").split(" "))), "<u4")
+
+
+def _plain_split(path: str) -> list[str] | None:
+    """The strings of a file's added tokens, if it lowers words and splits them by SPLIT into byte-level pieces; else None."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    steps = (file["normalizer"] or {}).get("normalizers", [])
+    splits = (file["pre_tokenizer"] or {}).get("pretokenizers", [])
+    lowers = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    cuts = len(splits) == 2 and splits[0].get("pattern") == {"Regex": SPLIT} and (splits[0]["behavior"], splits[0]["invert"]) == ("Removed", True) and (splits[1]["type"], splits[1]["add_prefix_space"], splits[1]["use_regex"]) == ("ByteLevel", False, False)
+    plain = file["post_processor"] is None and file["truncation"] is None and file["padding"] is None and all(not t["lstrip"] and not t["rstrip"] and not t["normalized"] and not t["single_word"] for t in file["added_tokens"])
+    return [t["content"] for t in file["added_tokens"]] if lowers and cuts and plain else None
 
 
 def vocabulary_bits(path: str, end_id: int) -> int:
@@ -75,16 +112,18 @@ def vocabulary_bits(path: str, end_id: int) -> int:
     return max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) - 1, end_id, 1).bit_length()
 
 
+def make_block(goes_on: bool, ids: np.ndarray, names: list, sizes: list[int], bits: int, part: int, number: int) -> bytes:
+    """A block of ids whose pieces belong to the documents of these ids."""
+    code = encode_block(ids, bits)
+    null = np.array([x is None for x in names], np.uint8)
+    table = zlib.compress(np.array([x or 0 for x in names], "<i8").tobytes() + np.array(sizes, "<u4").tobytes() + null.tobytes(), 6)
+    check = zlib.crc32(ids.astype("<u4").tobytes(), zlib.crc32(code, zlib.crc32(table)))
+    return HEAD.pack(MARK, FORMAT, bits, goes_on, part, number, len(ids), len(names), len(table), len(code), check) + table + code
+
+
 def make_blocks(blocks: list[tuple], bits: int, part: int, first: int) -> list[bytes]:
-    """Blocks of (goes on, ids, document ids, their lengths); only the last may be shorter than the others."""
-    made = []
-    codes = encode_blocks([b[1] for b in blocks], bits)
-    for k, ((goes_on, ids, names, sizes), code) in enumerate(zip(blocks, codes, strict=True)):
-        null = np.array([x is None for x in names], np.uint8)
-        table = zlib.compress(np.array([x or 0 for x in names], "<i8").tobytes() + np.array(sizes, "<u4").tobytes() + null.tobytes(), 6)
-        check = zlib.crc32(ids.astype("<u4").tobytes(), zlib.crc32(code, zlib.crc32(table)))
-        made.append(HEAD.pack(MARK, FORMAT, bits, goes_on, part, first + k, len(ids), len(names), len(table), len(code), check) + table + code)
-    return made
+    """Blocks of (goes on, ids, document ids, their lengths), numbered from first."""
+    return [make_block(*b, bits, part, first + k) for k, b in enumerate(blocks)]
 
 
 def split_blocks(content):
@@ -106,34 +145,18 @@ def split_blocks(content):
 
 def read_blocks(content):
     """(part, goes on, ids, document ids, lengths) of each block of a file, in order; an error where a checksum differs."""
-    waiting: list = []
-    number = 0
-
-    def decode():
-        nonlocal number
-        order = sorted(range(len(waiting)), key=lambda i: -waiting[i][0][6])
-        sizes = np.array([waiting[i][0][6] for i in order], np.int64)
-        found = dict(zip(order, decode_blocks([waiting[i][2] for i in order], sizes, waiting[0][0][2]), strict=True))
-        for i, (head, table, code) in enumerate(waiting):
-            _, _, _, goes_on, part, own, n, pieces, _, _, check = head
-            ids = found[i].astype("<u4")
-            if zlib.crc32(ids.tobytes(), zlib.crc32(code, zlib.crc32(table))) != check:
-                raise ValueError(f"block {own} of part {part} is damaged")
-            if own != number:
-                raise ValueError(f"part {part} has block {own} where block {number} should be")
-            number += 1
-            raw = zlib.decompress(table)
-            null = np.frombuffer(raw, np.uint8, pieces, 12 * pieces)
-            names = [None if z else int(x) for x, z in zip(np.frombuffer(raw, "<i8", pieces), null, strict=True)]
-            yield part, bool(goes_on), ids, names, np.frombuffer(raw, "<u4", pieces, 8 * pieces)
-        waiting.clear()
-
-    for block in split_blocks(content):
-        if waiting and (len(waiting) == LANES or waiting[0][0][2] != block[0][2]):
-            yield from decode()
-        waiting.append(block)
-    if waiting:
-        yield from decode()
+    for number, (head, table, code) in enumerate(split_blocks(content)):
+        _, _, bits, goes_on, part, own, n, pieces, _, _, check = head
+        ids = decode_block(code, n, bits).astype("<u4")
+        if zlib.crc32(ids.tobytes(), zlib.crc32(code, zlib.crc32(table))) != check:
+            raise ValueError(f"block {own} of part {part} is damaged")
+        if own != number:
+            raise ValueError(f"part {part} has block {own} where block {number} should be")
+        raw = zlib.decompress(table)
+        names = np.frombuffer(raw, "<i8", pieces).tolist()
+        for k in np.flatnonzero(np.frombuffer(raw, np.uint8, pieces, 12 * pieces)).tolist():
+            names[k] = None
+        yield part, bool(goes_on), ids, names, np.frombuffer(raw, "<u4", pieces, 8 * pieces)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -153,23 +176,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, first = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        blocks: list[tuple] = []
+        encode, part, number = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         ids, names, sizes, held, goes_on = [], [], [], 0, False
 
         def close(cut: bool):
-            nonlocal held, goes_on
-            blocks.append((goes_on, np.concatenate(ids), [*names], [*sizes]))
+            nonlocal held, goes_on, number
+            block = make_block(goes_on, np.concatenate(ids), names, sizes, bits, part, number)
             ids.clear(), names.clear(), sizes.clear()
-            held, goes_on = 0, cut
-
-        def flush():
-            nonlocal first
-            made = make_blocks(blocks, bits, part, first)
-            first += len(made)
-            blocks.clear()
-            for block in made:
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], ["block"])
+            held, goes_on, number = 0, cut, number + 1
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], ["block"])
 
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -180,13 +195,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
                     ids.append(tokens[at : at + n]), names.append(name), sizes.append(n)
                     at, held = at + n, held + n
                     if held == BLOCK:
-                        close(at < len(tokens))
-                        if len(blocks) == LANES:
-                            yield from flush()
+                        yield close(at < len(tokens))
         if held:
-            close(False)
-        if blocks:
-            yield from flush()
+            yield close(False)
 
     ranged.drop("h").mapInArrow(trimmed(run), "block binary").select(F.col("block").cast("string").alias("value")).write.text(path)
 
@@ -194,7 +205,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """part, place (in the part), doc_id, first (ids of the part before it), n_tokens and ids (little-endian unsigned 32-bit) of every document in the files.
 
-    A file is read by one task, which decodes LANES blocks at a time; a damaged
+    A file is read by one task, which decodes a block at a time; a damaged
     or cut file is an error.  A folder without a block gives no row.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
