@@ -295,3 +295,34 @@ def test_evaluation_stores_no_positives(spark):
     v = vectors(spark, [(f"t{i}", [1.0, float(i % 5)], f"s{i % 4}", "ab"[i % 2]) for i in range(40)])
     plan = sim.evaluate_retrieval(v)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInArrow") == 1 and "collect_list" not in plan
+
+
+def test_clusters_in_blocks_equal_one_by_one(monkeypatch):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(400, 6))
+    v[7], v[300, 2] = 0, np.nan
+    for sessions in (sorted(map(str, r.integers(0, 4, 400))), list(map(str, r.integers(0, 4, 400)))):
+        monkeypatch.setattr(cluster, "STRETCH", 4)
+        got = cluster.assign_in_order(list(map(str, range(400))), v, sessions, 0.6, 0.02)
+        units = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        sums, seen, expected = [], [], []
+        for u, s in zip(units, sessions, strict=True):
+            scores = {c: float(u @ x / max(np.linalg.norm(x), 1e-12)) for c, x in enumerate(sums) if s not in seen[c]}
+            order = sorted((c for c in scores if scores[c] == scores[c]), key=lambda c: (-scores[c], c))
+            best, second = (scores[order[0]] if order else None), (scores[order[1]] if len(order) > 1 else -1.0)
+            if best is not None and best >= 0.6 and (second < 0 or best - second >= 0.02):
+                own = order[0]
+                sums[own], seen[own] = sums[own] + u, seen[own] | {s}
+            else:
+                own = len(sums)
+                sums.append(u), seen.append({s})
+            expected.append(f"PSEUDO_{own + 1:04d}")
+        assert got.pseudo_id.tolist() == expected
+
+
+def test_clusters_of_session_runs_take_block_products(monkeypatch):
+    v, made, matmul = np.random.default_rng(4).normal(size=(2000, 16)), [], np.matmul
+    monkeypatch.setattr(cluster.np, "matmul", lambda *a, **k: made.append(len(a[0])) or matmul(*a, **k))
+    got = cluster.assign_in_order(list(map(str, range(2000))), v, [str(i // 500) for i in range(2000)], 0.6)
+    assert got.groupby("pseudo_id").session_id.nunique().max() > 1 and not got.duplicated(["pseudo_id", "session_id"]).any()
+    assert made == [256, 244] * 3  # the first session's vectors have no cluster to join
