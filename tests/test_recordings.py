@@ -163,3 +163,28 @@ def test_tables_are_created_once_and_functions_registered(spark):
     register.register(spark)
     row = spark.sql("SELECT tl_normal_id(' cow 7') AS a, tl_dot(array(1.0D, 2.0D), array(3.0D, 4.0D)) AS b, tl_uuid5('x') AS c, tl_overlap_seconds(TIMESTAMP '2026-01-01 00:00:00', TIMESTAMP '2026-01-01 00:01:00', TIMESTAMP '2026-01-01 00:00:30', TIMESTAMP '2026-01-01 00:02:00') AS d").first()
     assert (row.a, row.b, len(row.c), row.d) == ("COW_0007", 11.0, 36, 30.0)
+
+
+def test_overlapping_pairs_equal_all_pairs_compared(spark):
+    import datetime
+    import random
+
+    r, zero = random.Random(5), datetime.datetime(1970, 1, 1)
+    lengths = [0, 1, 999_500, 150_000_000, 600_000_000, 3_600_000_000, 3_600_000_001, 40_000_000_000]
+    rows = [(i // 2 if i < 6 else i, i % 2, s := r.choice([r.randrange(-20_000, 20_000) * 1_000_000, r.randrange(-40, 40) * 150_000_000, r.randrange(-(10**10), 10**10)]), s + r.choice(lengths)) for i in range(160)]
+    at = lambda x: zero + datetime.timedelta(microseconds=x)
+    v = spark.createDataFrame([(i, c, at(s), at(e)) for i, c, s, e in rows] + [(500, 0, None, at(0)), (501, 1, at(0), None)], "id bigint, camera int, s timestamp_ntz, e timestamp_ntz")
+    v = v.select("id", "camera", F.col("s").cast("timestamp").alias("s"), F.col("e").cast("timestamp").alias("e"))
+    shared = [(a[0], b[0], min(a[3], b[3]) - max(a[2], b[2])) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] < a[3] and b[2] < b[3]]
+    expected = sorted((a, b, (n + 500) // 1000 / 1000) for a, b, n in shared if n > 0)
+    got = manifest.overlapping_pairs(v, "id", "camera", "s", "e", digits=3)
+    assert sorted(map(tuple, got.collect())) == expected and len(expected) > 100
+    exact = manifest.overlapping_pairs(v, "id", "camera", "s", "e")
+    assert sorted(r.seconds for r in exact.collect()) == sorted(n / 1e6 for *_, n in shared if n > 0)
+
+
+def test_few_pairs_of_short_recordings_are_compared(spark):
+    v = spark.range(7200).selectExpr("id", "0 AS camera", "timestamp_seconds(id) AS s", "timestamp_seconds(id + 2) AS e")
+    pairs = manifest.overlapping_pairs(v, "id", "camera", "s", "e", digits=3)
+    spread = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.count() == 7199 and "150000000" in spread  # buckets of 150 s, not of an hour
