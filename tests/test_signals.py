@@ -74,6 +74,18 @@ def test_least_cost_assignment(n, m, seed):
     assert len(found) == short and sum(cost[r, c] for r, c in found) == pytest.approx(best)
 
 
+@given(st.integers(1, 5), st.integers(1, 6), st.integers(0, 10**6))
+@settings(max_examples=60, deadline=None)
+def test_least_cost_with_ties_and_barred_pairs(n, m, seed):
+    import itertools
+
+    cost = np.random.default_rng(seed).choice([0.0, 1.0, 2.0, 1e6], (n, m))
+    found = tracks.least_cost(cost)
+    own = cost if n <= m else cost.T
+    best = min(sum(own[i, p[i]] for i in range(len(own))) for p in itertools.permutations(range(own.shape[1]), len(own)))
+    assert len({r for r, _ in found}) == len({c for _, c in found}) == len(own) and sum(cost[r, c] for r, c in found) == best
+
+
 def test_tracks_link_move_and_end():
     box = lambda x: [x, 0.0, x + 10, 10.0]
     frames = [[box(10.0), box(80.0)], [box(14.0), box(76.0)], [], [box(22.0)], *[[]] * 9, [box(22.0)]]
