@@ -92,6 +92,68 @@ def test_tracks_link_move_and_end():
     assert tracks.link_frames([np.array(f) for f in frames], 100) == [[1, 2], [1, 2], [], [1], *[[]] * 9, [3]]
 
 
+def test_crowded_frames_hold_no_matrix():
+    """1500 boxes a frame: a whole matrix of costs would be 18 MB, and its makings several times that."""
+    import tracemalloc
+
+    x = np.arange(1500.0)
+    frames = [np.column_stack([x * 20 + k, 0 * x, x * 20 + k + 10, 0 * x + 10]) for k in (0, 2)]
+    tracemalloc.start()
+    try:
+        assert tracks.link_frames(frames, 1000.0) == [list(range(1, 1501))] * 2
+        assert tracemalloc.get_traced_memory()[1] < 16e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_copies_of_boxes_link_as_units(monkeypatch):
+    """Equal boxes are one node with their number: 200 copies cost no more rows than one, and link alike."""
+    r, asked = np.random.default_rng(5), []
+    base = [np.column_stack([x := np.round(r.random(n) * 300), 0 * x, x + 50, 0 * x + 40]) for n in (6, 7, 5, 6, 8)]
+    flow = tracks.least_cost_flow
+    monkeypatch.setattr(tracks, "least_cost_flow", lambda costs, supply, room: asked.append((len(supply), len(room))) or flow(costs, supply, room))
+    one = tracks.link_frames(base, 1000.0)
+    few, asked[:] = list(asked), []
+    many = tracks.link_frames([np.repeat(b, 200, axis=0) for b in base], 1000.0)
+    assert asked == few
+    for a, b in zip(one, many):
+        for k, name in enumerate(a):
+            assert all((n - 1) // 200 + 1 == name for n in b[200 * k : 200 * k + 200])
+
+
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=3), st.lists(st.integers(1, 3), min_size=2, max_size=4), st.integers(0, 10**6))
+@settings(max_examples=60, deadline=None)
+def test_flow_costs_what_an_assignment_of_units_costs(supply, room, seed):
+    import itertools
+
+    room = [*room, max(0, sum(supply) - sum(room)) + 1]
+    cost = np.random.default_rng(seed).choice([0.0, 1.0, 2.0, 5.0, 1e6], (len(supply), len(room)))
+    sent = tracks.least_cost_flow(cost.__getitem__, supply, room)
+    assert [sum(u for r, _, u in sent if r == i) for i in range(len(supply))] == supply and all(sum(u for _, c, u in sent if c == j) <= n for j, n in enumerate(room))
+    units = np.repeat(np.repeat(cost, supply, axis=0), room, axis=1)
+    assert sum(cost[r, c] * u for r, c, u in sent) == sum(units[r, c] for r, c in tracks.least_cost(units))
+
+
+def test_a_recording_streams_in_order(spark):
+    """Batches of a few rows, frames over several, gaps and rows without a frame."""
+    rows = [("v" if i % 3 else "w", None if i % 50 == 7 else i // 12 + (9 if i > 200 else 0) + (2 if i > 300 else 0), i, float(i * 37 % 400)) for i in range(420)]
+    d = spark.createDataFrame([(v, f, i, x, 0.0, x + 50, 40.0) for v, f, i, x in rows], "video_id string, frame_idx int, det_id int, x1 double, y1 double, x2 double, y2 double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.det_id: r.track_id for r in tracks.track_boxes(d.repartition(5), width=100.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {i: 0 for _, f, i, _ in rows if f is None}
+    for video in "vw":
+        own = sorted((f, i, x) for v, f, i, x in rows if v == video and f is not None)
+        span = range(own[0][0], own[-1][0] + 1)
+        found = tracks.link_frames([np.array([[x, 0.0, x + 50, 40.0] for g, _, x in own if g == f]) for f in span], 100.0)
+        for f, names in zip(span, found):
+            want |= dict(zip([i for g, i, _ in own if g == f], names))
+    assert got == want
+
+
 def test_track_frame(spark):
     rows = [("v", 0, 1, 0.0), ("v", 0, 2, 50.0), ("v", 1, 3, 1.0), ("v", 1, 4, 51.0), ("w", 5, 5, 0.0)]
     d = spark.createDataFrame([(v, f, i, x, 0.0, x + 10, 10.0) for v, f, i, x in rows], "video_id string, frame_idx int, det_id int, x1 double, y1 double, x2 double, y2 double")
