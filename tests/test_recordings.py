@@ -188,3 +188,36 @@ def test_few_pairs_of_short_recordings_are_compared(spark):
     pairs = manifest.overlapping_pairs(v, "id", "camera", "s", "e", digits=3)
     spread = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert pairs.count() == 7199 and "150000000" in spread  # buckets of 150 s, not of an hour
+
+
+def test_pairs_shuffle_about_a_row_a_recording(spark):
+    """Ten minutes in an hour's buckets: dealt once and a sixth, where 150 s take five rows and two more for the other side."""
+    v = spark.range(7200).selectExpr("id", "id % 2 AS camera", "timestamp_seconds(id * 10) AS s", "timestamp_seconds(id * 10 + 600) AS e")
+    pairs = manifest.overlapping_pairs(v, "id", "camera", "s", "e", digits=3)
+    plan = pairs._jdf.queryExecution()
+    assert pairs.count() == sum(min(29, (7199 - i) // 2) for i in range(7200))
+    node = plan.optimizedPlan()
+    while "RepartitionByExpression" not in node.nodeName():
+        assert node.children().size() == 1, "no join"
+        node = node.children().apply(0)
+    from pyspark.sql import DataFrame
+
+    dealt = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node)
+    assert 7200 <= DataFrame(dealt, spark).count() <= 7200 * 1.2
+
+
+def test_pairs_run_on_over_batches(spark):
+    """Small batches, equal ids, equal starts and recordings that run over many buckets give each pair once."""
+    import random
+
+    r = random.Random(7)
+    rows = [(f"v{i // 2 if i < 20 else i}", r.choice("xy"), s := r.choice([r.randrange(20000), 3600 * r.randrange(5)]), s + r.choice([1, 600, 600, 9000])) for i in range(300)] + [(None, "x", 0, 9000), ("n", None, 0, 9000)]
+    v = spark.createDataFrame(rows, "id string, camera string, s long, e long").select("id", "camera", F.timestamp_seconds("s").alias("s"), F.timestamp_seconds("e").alias("e"))
+    want = sorted((*sorted((a[0], b[0])), float(min(a[3], b[3]) - max(a[2], b[2]))) for k, a in enumerate(rows[:300]) for b in rows[k + 1 : 300] if a[0] != b[0] and a[1] == b[1] and a[2] < b[3] and b[2] < a[3])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(map(tuple, manifest.overlapping_pairs(v, "id", "camera", "s", "e", digits=3).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want
