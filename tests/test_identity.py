@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +298,46 @@ def test_evaluation_stores_no_positives(spark):
     assert plan.count("FlatMapGroupsInArrow") == 1 and "collect_list" not in plan
 
 
+def test_evaluation_deals_blocks_by_range_and_sorts_short_keys(spark, monkeypatch):
+    v = vectors(spark, [(f"t{i}", [1.0, float(i % 5)], f"s{i % 4}", "ab"[i % 2]) for i in range(40)])
+    assert "rangepartitioning" in sim.evaluate_retrieval(v)._jdf.queryExecution().executedPlan().toString()
+    import tracemalloc
+
+    r, n = np.random.default_rng(2), 4000
+    t = pa.table({"id": pa.array(range(n)), "vector": pa.array(r.normal(size=(n, 4)).tolist(), pa.list_(pa.float32())), "session": pa.array([i % 4 for i in range(n)]), "entity": pa.array([i % 10 for i in range(n)])})
+    tracemalloc.start()
+    try:
+        assert len(sim._ranked_positives(t.slice(0, 600), t)) == 600
+        assert tracemalloc.get_traced_memory()[1] < 24e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_evaluation_ranks_equal_similarities_by_id(monkeypatch, seed):
+    """Few distinct vectors, some not numbers, equal ids, null sessions and entities, in blocks of a few queries and columns."""
+    monkeypatch.setattr(sim, "KEYS", 900)
+    monkeypatch.setattr(sim, "COLUMNS", 16)
+    r, n = np.random.default_rng(seed), 90
+    v = r.integers(-1, 3, (n, 2)).astype(float)
+    if seed % 2:
+        v[r.integers(0, n, 3)] = np.nan
+    ids = (r.permutation(n) // (1 + seed % 3)).tolist()
+    sessions, entities = ([None if x == 2 else int(x) for x in r.integers(0, 2 + seed % 4, n)] for _ in range(2))
+    t = pa.table({"id": pa.array(ids), "vector": pa.array(v.tolist(), pa.list_(pa.float32())), "session": pa.array(sessions), "entity": pa.array(entities)})
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    similar = np.round(unit @ unit.T, 9)
+    want = []
+    for i in range(n):
+        far = lambda j: 9.0 if np.isnan(similar[i, j]) else -similar[i, j]
+        ranked = sorted((j for j in range(n) if sessions[j] != sessions[i] and ids[j] != ids[i]), key=lambda j: (far(j), ids[j], [k for k in range(n) if ids[k] == ids[j]].index(j)))
+        places = [k + 1 for k, j in enumerate(ranked) if entities[j] == entities[i]]
+        if places:
+            want.append((ids[i], str(entities[i]), ids[ranked[0]], str(-far(ranked[0]) + 0.0 if far(ranked[0]) < 9 else np.nan), places[0], round(float(np.mean([(k + 1) / p for k, p in enumerate(places)])), 12), len(ranked)))
+    got = sim._ranked_positives(t, t).to_pylist()
+    assert sorted((g["query_id"], str(g["entity"]), g["best_candidate_id"], str(g["best_similarity"] + 0.0), g["correct_rank"], round(g["average_precision"], 12), g["eligible"]) for g in got) == sorted(want)
+
+
 def test_clusters_in_blocks_equal_one_by_one(monkeypatch):
     r = np.random.default_rng(3)
     v = r.normal(size=(400, 6))

@@ -60,6 +60,8 @@ def block_compare(queries: DataFrame, candidates: DataFrame, kernel: Callable[[p
         q, c = group.filter(mask), group.filter(pc.invert(mask))
         return kernel(q, c) if len(q) and len(c) else empty
 
+    if nc == 1:  # few blocks of much work: by ranges, as several of them would meet by hash in one task
+        both = both.repartitionByRange(4 * nq, "qb")
     return both.groupBy("qb", "cb").applyInArrow(run, schema)
 
 
@@ -362,46 +364,98 @@ def entity_candidates(vectors: DataFrame, labels: DataFrame, entity: str, k: int
     return scored.orderBy(F.round("similarity", PLACES).desc(), "tracklet_id").limit(k)
 
 
+#: Ranking keys: twice the rounded similarity downwards, so that twice the unit fits 32 bits; those that aren't numbers come last, hidden ones not at all.
+UNKNOWN, HIDDEN = np.int32(2_100_000_000), np.int32(2**31 - 1)
+#: Keys that a task holds at once, and columns of one product.
+KEYS, COLUMNS = 1 << 24, 2048
+
+
 def _ranked_positives(q: pa.Table, c: pa.Table) -> pa.Table:
     """What evaluate_retrieval returns for queries against all candidates.
 
-    A candidate is one integer: how far its rounded similarity is from 1, then its
-    place by id, then whether it is of the query's entity.  Sorted, those are the
-    ranking; a few rows at a time, so that they take 16 MB.
+    A candidate is a 32-bit key: its rounded similarity, then whether it is of
+    the query's entity.  Sorted, those are the ranking but for the places of
+    equal similarities, which are found by id where an entity's own and others
+    are equal.  Products are made for some queries at once, column block by
+    column block, but for those of the queries' own session; their keys take
+    64 MB at most, or those of 8 queries.
     """
     by_id = np.argsort(np.array(c.column("id").to_pylist()), kind="stable")
+    q = q.take(pa.array(np.argsort(_codes(q.column("session"), c.column("session"))[0], kind="stable")))
     (qs, cs), (qe, ce), (qid, cid) = (_codes(q.column(n), c.column(n)) for n in ("session", "entity", "id"))
     by = by_id[np.argsort(cs[by_id], kind="stable")]
-    a, b, ce = normalized(_matrix(q.column("vector"))), normalized(_matrix(c.column("vector")))[by], ce[by]
-    place = np.empty(len(by), np.int64)
+    a, b = normalized(_matrix(q.column("vector"))), _matrix(c.column("vector"))[by]
+    b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+    place, unit = np.empty(len(by), np.int64), 10**PLACES
     place[by_id] = np.arange(len(by))
-    base, hidden, unit = place[by] << 1, np.int64(2**63 - 2), 10**PLACES
+    place = place[by]
     left, right = _equal_runs(qs, cs[by])
-    own = np.argsort(cid[by], kind="stable")
-    first, last = _equal_runs(qid, cid[by][own])
-    step = max(1, (1 << 21) // len(by))
-    out = []
+    ids, entities = (np.argsort(x[by], kind="stable") for x in (cid, ce))
+    first, last = _equal_runs(qid, cid[by][ids])
+    begin, end = _equal_runs(qe, ce[by][entities])
+    lost, lost_rows = np.flatnonzero(np.isnan(b).any(axis=1)), np.isnan(a).any(axis=1)
+    step = max(8, min(128, KEYS // len(by)))
+    keys, out = np.empty((min(step, len(a)), len(by)), np.int32), []
     for lo in range(0, len(a), step):
-        far = np.rint(a[lo : lo + step] @ b.T * -float(unit)) + float(unit)
-        far[np.isnan(far)] = 5 * unit // 2  # vectors that aren't numbers come last
-        keys = (far.astype(np.int64) << 31) + base
-        keys += qe[lo : lo + step, None] == ce[None]
-        for r in range(len(keys)):
-            keys[r, left[lo + r] : right[lo + r]] = hidden
-            if last[lo + r] > first[lo + r]:
-                keys[r, own[first[lo + r] : last[lo + r]]] = hidden
-        keys.sort(axis=1)
-        i, p = np.nonzero(keys & 1)
-        found, at = np.unique(i, return_index=True)
-        n = np.arange(len(i)) - np.repeat(at, np.diff([*at, len(i)])) + 1
-        precision = np.bincount(i, n / (p + 1), len(keys))[found] / np.diff([*at, len(i)])
-        top = keys[found, 0]
-        away = top >> 31
-        similarity = np.where(away > 2 * unit + 9, np.nan, (unit - away) / unit)
-        out.append((found + lo, by_id[(top & (2**31 - 1)) >> 1], similarity, p[at] + 1, precision, np.count_nonzero(keys[found] != hidden, axis=1)))
-    i, best, similarity, rank, precision, eligible = (np.concatenate(x) for x in zip(*out, strict=True))
-    rows = [q.column(n).combine_chunks().take(pa.array(i)) for n in ("id", "entity")]
-    return pa.table([*rows, c.column("id").combine_chunks().take(pa.array(best)), pa.array(similarity), pa.array(rank, pa.int64()), pa.array(precision), pa.array(eligible, pa.int64())], names=["query_id", "entity", "best_candidate_id", "best_similarity", "correct_rank", "average_precision", "eligible"])
+        block = a[lo : lo + step]
+        none = left[lo : lo + step].max(), right[lo : lo + step].min()  # columns hidden from all of the block
+        for at in range(0, len(by), COLUMNS):
+            if none[0] <= at and at + COLUMNS <= none[1]:
+                continue
+            scores = block @ b[at : at + COLUMNS].T
+            scores *= -float(unit)
+            np.rint(scores, out=scores)
+            scores += scores
+            with np.errstate(invalid="ignore"):
+                keys[: len(block), at : at + COLUMNS] = scores.astype(np.int32)
+        keys[:, lost] = UNKNOWN
+        keys[: len(block)][lost_rows[lo : lo + step]] = UNKNOWN
+        for n, row in enumerate(range(lo, lo + len(block))):
+            own, mine, same = keys[n], entities[begin[row] : end[row]], ids[first[row] : last[row]]
+            own[mine] |= 1
+            own[left[row] : right[row]] = HIDDEN
+            own[same] = HIDDEN
+            ranked = np.concatenate([own[: left[row]], own[right[row] :]])
+            ranked.sort()
+            ranked = ranked[: len(ranked) - np.count_nonzero((same < left[row]) | (same >= right[row]))]
+            found = np.flatnonzero((ranked & 1).astype(bool))
+            if len(found):
+                ranks = _ranks(own, mine, ranked, found, place)
+                best = int(own.argmin())
+                if len(ranked) > 1 and ranked[0] | 1 == ranked[1] | 1:
+                    equal = np.flatnonzero((own | 1) == ranked[0] | 1)
+                    best = equal[place[equal].argmin()]
+                away = int(ranked[0]) >> 1
+                out.append((row, by[best], np.nan if away > unit + 9 else -away / unit, ranks[0], (np.arange(1, len(ranks) + 1) / ranks).mean(), len(ranked)))
+    i, best, similarity, rank, precision, eligible = zip(*out) if out else [()] * 6
+    rows = [q.column(n).combine_chunks().take(pa.array(i, pa.int64())) for n in ("id", "entity")]
+    return pa.table([*rows, c.column("id").combine_chunks().take(pa.array(best, pa.int64())), pa.array(similarity, pa.float64()), pa.array(rank, pa.int64()), pa.array(precision, pa.float64()), pa.array(eligible, pa.int64())], names=["query_id", "entity", "best_candidate_id", "best_similarity", "correct_rank", "average_precision", "eligible"])
+
+
+def _ranks(own: np.ndarray, mine: np.ndarray, ranked: np.ndarray, found: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Ranks, ascending, of a query's own candidates (columns mine) from keys by column, those in order and where odd ones lie in it.
+
+    Keys say the ranks but where others have the same similarity: those lie just
+    before, and all of such a similarity are put in order by place.
+    """
+    ranks, odd = found + 1, ranked[found]
+    mixed = odd[(found > 0) & (ranked[found - 1] == odd - 1)] - 1
+    if not len(mixed):
+        return ranks
+    marks = np.zeros(1 << 16, bool)
+    marks[mixed & 0xFFFF] = True
+
+    def among(keys: np.ndarray) -> np.ndarray:
+        near = np.flatnonzero(marks.take(keys & 0xFFFF))
+        return near[mixed[np.minimum(np.searchsorted(mixed, keys[near]), len(mixed) - 1)] == keys[near]]
+
+    others, tied = among(own), mine[among(own[mine] - 1)]
+    order = np.concatenate([(own[others].astype(np.int64) << 32) + (place[others] << 1), ((own[tied].astype(np.int64) - 1) << 32) + (place[tied] << 1) + 1])
+    order.sort()
+    value = order >> 32
+    rank = np.searchsorted(ranked, value) + np.arange(len(order)) - np.searchsorted(value, value) + 1
+    ranks[among(odd - 1)] = rank[(order & 1).astype(bool)]
+    return ranks
 
 
 def evaluate_retrieval(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", entity: str | Column = "label", session: str | Column = "session_id") -> DataFrame:
